@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from marlstone.llm.packing import op6_packing
 from marlstone.llm.sharding import op7_sharding
 
 QUERIES = {
+    "op6_packing": op6_packing,
     "op7_sharding": op7_sharding,
 }
 
