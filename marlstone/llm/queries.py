@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from marlstone.llm.packing import op6_packing
+from marlstone.llm.pseudonyms import op5_pii
 from marlstone.llm.quality_rules import op10_quality_rules
 from marlstone.llm.sharding import op7_sharding
 
 QUERIES = {
+    "op5_pii": op5_pii,
     "op6_packing": op6_packing,
     "op10_quality_rules": op10_quality_rules,
     "op7_sharding": op7_sharding,
