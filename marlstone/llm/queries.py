@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from marlstone.llm.language_id import op9_language_id
 from marlstone.llm.packing import op6_packing
 from marlstone.llm.pseudonyms import op5_pii
 from marlstone.llm.quality_rules import op10_quality_rules
@@ -10,6 +11,7 @@ from marlstone.llm.sharding import op7_sharding
 QUERIES = {
     "op5_pii": op5_pii,
     "op6_packing": op6_packing,
+    "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
     "op7_sharding": op7_sharding,
 }
