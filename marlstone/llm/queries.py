@@ -5,10 +5,12 @@ from __future__ import annotations
 from marlstone.llm.language_id import op9_language_id
 from marlstone.llm.packing import op6_packing
 from marlstone.llm.pseudonyms import op5_pii
+from marlstone.llm.quality_knn import op3_quality_classifier
 from marlstone.llm.quality_rules import op10_quality_rules
 from marlstone.llm.sharding import op7_sharding
 
 QUERIES = {
+    "op3_quality_classifier": op3_quality_classifier,
     "op5_pii": op5_pii,
     "op6_packing": op6_packing,
     "op9_language_id": op9_language_id,
