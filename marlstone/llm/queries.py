@@ -8,11 +8,13 @@ from marlstone.llm.pseudonyms import op5_pii
 from marlstone.llm.quality_knn import op3_quality_classifier
 from marlstone.llm.quality_rules import op10_quality_rules
 from marlstone.llm.sharding import op7_sharding
+from marlstone.llm.simhash import op8_simhash
 
 QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op5_pii": op5_pii,
     "op6_packing": op6_packing,
+    "op8_simhash": op8_simhash,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
     "op7_sharding": op7_sharding,
