@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from marlstone.llm.decontamination import op4_decontamination
 from marlstone.llm.language_id import op9_language_id
 from marlstone.llm.packing import op6_packing
 from marlstone.llm.pseudonyms import op5_pii
@@ -12,6 +13,7 @@ from marlstone.llm.simhash import op8_simhash
 
 QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_decontamination": op4_decontamination,
     "op5_pii": op5_pii,
     "op6_packing": op6_packing,
     "op8_simhash": op8_simhash,
