@@ -53,6 +53,9 @@ class Encoder:
             return self.fast.encode_ordinary(text)
         return self.full.encode(text, add_special_tokens=False).ids
 
+    def count(self, text: str | None) -> int:
+        return len(self.id_list(text))
+
     def ids(self, text: str | None) -> bytes:
         return array("I", self.id_list(text)).tobytes()
 
