@@ -10,9 +10,11 @@ from marlstone.llm.quality_knn import op3_quality_classifier
 from marlstone.llm.quality_rules import op10_quality_rules
 from marlstone.llm.sharding import op7_sharding
 from marlstone.llm.simhash import op8_simhash
+from marlstone.llm.suffix_dedup import op1_suffix_dedup
 from marlstone.llm.token_counts import op2_token_counts
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_decontamination": op4_decontamination,
