@@ -1,6 +1,18 @@
-"""All registered queries with their SQL equivalents."""
+"""All registered queries of the reference's own operators with their SQL equivalents."""
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = (
+    "marlstone.operators.metrics",
+    "marlstone.operators.vectors",
+    "marlstone.operators.chunking",
+    "marlstone.operators.sheets",
+)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _name in MODULES:
+    _module = import_module(_name)
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
