@@ -9,6 +9,11 @@ MODULES = (
     "marlstone.operators.vectors",
     "marlstone.operators.chunking",
     "marlstone.operators.sheets",
+    "marlstone.operators.retrieval",
+    "marlstone.operators.rerank",
+    "marlstone.operators.context",
+    "marlstone.operators.graph",
+    "marlstone.operators.rules",
 )
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
