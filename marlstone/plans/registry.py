@@ -14,6 +14,8 @@ MODULES = (
     "marlstone.operators.context",
     "marlstone.operators.graph",
     "marlstone.operators.rules",
+    "marlstone.sources.queries",
+    "marlstone.streaming.queries",
 )
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
