@@ -108,7 +108,8 @@ def unit(v: np.ndarray) -> np.ndarray:
 def vote(model: dict, rows: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
     """Similarity-weighted share of label 1 among the nearest labelled vectors; one vote's worth of 0.01 for the prior."""
     sims = unit(weigh(rows.copy(), model["idf"]) @ model["basis"]) @ model["vectors"].T
-    k = min(neighbours, sims.shape[1])
+    # half the root of the number of labelled vectors where they are few: a rare kind has only a few of its own
+    k = min(neighbours, max(3, round(sims.shape[1] ** 0.5 / 2)), sims.shape[1])
     near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
     w = np.maximum(np.take_along_axis(sims, near, 1), 0).astype(np.float64)
     y = model["labels"][near]
