@@ -41,14 +41,27 @@ def price_cut(duals: np.ndarray, cost: float) -> tuple[float, int, int]:
     found = (0.0, 0, 0)
     for c in range(2, n + 1):
         half = c // 2
-        pair = duals[:half] + duals[c - 2 : c - 2 - half : -1] if c - 2 - half >= 0 else duals[:half] + duals[c - 2 :: -1][:half]
-        a = int(pair.argmax())
-        reduced = cost - (pair[a] - duals[c - 1])
+        pair = duals[:half] + duals[c - 2 - np.arange(half)]  # classes a and c - a
+        a = int(pair.argmin())
+        reduced = cost - (duals[c - 1] - pair[a])
         if reduced < found[0] - 1e-12:
             found = (float(reduced), c, a + 1)
     return found
 
 
+def as_column(entry: tuple, n: int) -> np.ndarray:
+    """What a pattern or a cut supplies to each class: a cut gives one item of its class and needs its two parts."""
+    kind, what, _ = entry
+    if kind == "pattern":
+        return what.astype(float)
+    out = np.zeros(n)
+    c, a = what
+    out[c - 1] += 1
+    out[a - 1] -= 1
+    out[c - a - 1] -= 1
+    return out
+
+
 def solve(demand: np.ndarray, capacity: int, cut_cost: float = 0.02, rounds: int = 4000) -> tuple[list[tuple[np.ndarray, float]], list[tuple[int, int, float]]]:
     """Fractional optimum: [(counts by class, times)], [(class, first part, times)]. demand[c - 1] items of class c."""
     n = len(demand)
@@ -62,19 +75,19 @@ def solve(demand: np.ndarray, capacity: int, cut_cost: float = 0.02, rounds: int
         scale[c - 1] = capacity // c
     inverse = rows / scale[:, None]
     level = demand.astype(float) / scale
-    for _ in range(rounds):
+    for turn in range(rounds):
+        if turn % 50 == 49:  # rounding errors of the updates don't add up
+            basis = np.stack([as_column(x, n) for x in columns], axis=1)
+            inverse = np.linalg.inv(basis)
+            level = np.maximum(inverse @ demand, 0)
         costs = np.array([x[2] for x in columns])
         duals = costs @ inverse
         value, counts = price_pattern(np.maximum(duals, 0), capacity)
         gain, enter = 1.0 - value, ("pattern", counts, 1.0)
         cut_gain, c, a = price_cut(duals, cut_cost)
-        column = counts.astype(float)
         if cut_gain < gain:
             gain, enter = cut_gain, ("cut", (c, a), cut_cost)
-            column = np.zeros(n)
-            column[a - 1] += 1
-            column[c - a - 1] += 1
-            column[c - 1] -= 1
+        column = as_column(enter, n)
         if gain > -1e-7:
             break
         direction = inverse @ column

@@ -28,6 +28,7 @@ from marlstone.llm.tokens import END_ID, default_tokenizer_paths, encoder
 
 SEQUENCE = 2048
 UNIT = 16
+CUT_ROUNDS = 4
 PIECE = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -98,6 +99,21 @@ def round_patterns(patterns: list[tuple[np.ndarray, float]], demand: np.ndarray,
     return out
 
 
+def _cut_pieces(spark: SparkSession, rows: DataFrame, cut_rows: list[tuple[int, int, int, int]], unit: int, buckets: int) -> DataFrame:
+    """``rows`` with those of the given classes and ranks (class, lo, hi, at) cut in two after ``at`` ids."""
+    table = F.broadcast(spark.createDataFrame(cut_rows, "class int, lo long, hi long, at long"))  # a row for each cut column
+    r = ranked(rows.withColumn("key", F.struct("piece_id", "start")), "class", "key", buckets)
+    hit = (r["class"] == table["class"]) & (r["rank"] >= table["lo"]) & (r["rank"] < table["hi"])
+    r = r.join(table, hit, "left").select(r["piece_id"], r["start"], r["length"], r["whole"], "at")
+    halves = F.array(
+        F.struct(F.col("start"), F.col("at").alias("length")),
+        F.struct((F.col("start") + F.col("at")).alias("start"), (F.col("length") - F.col("at")).alias("length")),
+    )
+    uncut = F.array(F.struct("start", "length"))
+    rows = r.select("piece_id", (F.col("whole") & F.col("at").isNull()).alias("whole"), F.inline(F.when(F.col("at").isNotNull(), halves).otherwise(uncut)))
+    return rows.withColumn("class", F.ceil(F.col("length") / unit).cast("int"))
+
+
 def place_pieces(spark: SparkSession, pieces: DataFrame, sequence: int = SEQUENCE, unit: int = UNIT) -> tuple[DataFrame, bool]:
     """``piece_id, start, length`` of short pieces to ``piece_id, start, length, whole, sequence_id, offset``; a piece that
     a cut divides comes back as two rows that are not ``whole``. Also whether there are cuts."""
@@ -105,31 +121,26 @@ def place_pieces(spark: SparkSession, pieces: DataFrame, sequence: int = SEQUENC
     rows = pieces.withColumn("class", F.ceil(F.col("length") / unit).cast("int"))
     histogram = {r["class"]: r["n"] for r in rows.groupBy("class").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     demand = np.array([histogram.get(c, 0) for c in range(1, capacity + 1)], dtype=np.int64)
-    patterns, cuts = solve(demand, capacity) if demand.any() else ([], [])
     buckets = max(1, int(demand.sum()) // 50_000)
     rows = rows.withColumn("whole", F.lit(True))
-    cut_rows, used = [], {}
-    for c, a, times in cuts:
-        lo = used.get(c, 0)
-        hi = min(int(demand[c - 1]), lo + int(times))
-        if hi > lo:
-            cut_rows.append((c, lo, hi, a * unit))
-            used[c] = hi
-    if cut_rows:
-        table = F.broadcast(spark.createDataFrame(cut_rows, "class int, lo long, hi long, at long"))
-        r = ranked(rows, "class", "piece_id", buckets)
-        r = r.join(table, (r["class"] == table["class"]) & (r["rank"] >= table["lo"]) & (r["rank"] < table["hi"]), "left").select(r["piece_id"], r["start"], r["length"], "at")
-        halves = F.array(
-            F.struct(F.col("start"), F.col("at").alias("length")),
-            F.struct((F.col("start") + F.col("at")).alias("start"), (F.col("length") - F.col("at")).alias("length")),
-        )
-        uncut = F.array(F.struct("start", "length"))
-        rows = r.select("piece_id", F.col("at").isNull().alias("whole"), F.inline(F.when(F.col("at").isNotNull(), halves).otherwise(uncut)))
-        rows = rows.withColumn("class", F.ceil(F.col("length") / unit).cast("int"))
+    any_cut = False
+    for _ in range(CUT_ROUNDS):  # parts of a cut may be cut again
+        cut_rows, used = [], {}
+        for c, a, times in solve(demand, capacity)[1] if demand.any() else ():
+            lo = used.get(c, 0)
+            hi = min(int(demand[c - 1]), lo + int(times))
+            if hi > lo:
+                cut_rows.append((c, lo, hi, a * unit))
+                used[c] = hi
+        if not cut_rows:
+            break
+        any_cut = True
+        rows = _cut_pieces(spark, rows, cut_rows, unit, buckets)
         for c, lo, hi, at in cut_rows:
             demand[c - 1] -= hi - lo
             demand[at // unit - 1] += hi - lo
             demand[c - at // unit - 1] += hi - lo
+    patterns = solve(demand, capacity, cut_cost=np.inf)[0] if demand.any() else []
     plan = round_patterns(patterns, demand, capacity)
     slots, first, base = [], np.zeros(capacity, dtype=np.int64), 0
     for counts, times in plan:
@@ -145,7 +156,7 @@ def place_pieces(spark: SparkSession, pieces: DataFrame, sequence: int = SEQUENC
     # a sequence holds at most `capacity` pieces
     w = Window.partitionBy("sequence_id").orderBy(F.desc("class"), "nth").rowsBetween(Window.unboundedPreceding, -1)
     out = placed.select("piece_id", "start", "length", "whole", "sequence_id", F.coalesce(F.sum("length").over(w), F.lit(0)).alias("offset"))
-    return out, bool(cut_rows)
+    return out, any_cut
 
 
 def pack(spark: SparkSession, docs: DataFrame, sequence: int = SEQUENCE, unit: int = UNIT, tokenizer: tuple[str, str] | None = None, carry: list | None = None) -> DataFrame:

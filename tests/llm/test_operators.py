@@ -1,0 +1,433 @@
+"""The ten operators against brute force, exact round trips or held-out accuracy, and their edge cases."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: Nulls, empty texts, white space, repeated rows, ties, a very long text, text without letters, special strings.
+ODD = [
+    (None, "a null id", "en", None, 9),
+    (1, None, None, None, None),
+    (2, "", "en", "s", 0),
+    (3, " \n\t ", None, "s", 4),
+    (4, "same same", "en", "s", 9),
+    (4, "same same", "en", "s", 9),
+    (5, "12345 !!! 67", "en", "s", 12),
+    (6, "word " * 30000, "en", "s", 150000),
+    (7, "x" * 3000, "fr", "s", 3000),
+    (8, "<|endoftext|> and 日本 text   é", "fr", "s", 10),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def brute_repeats(texts, length):
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(b[p : p + length] for b in raw for p in range(len(b) - length + 1))
+    out = []
+    for b in raw:
+        gone = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            if seen[b[p : p + length]] > 1:
+                gone[p : p + length] = b"\1" * length
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        out.append((len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_interleave_marks_repeated_windows():
+    from marlstone.llm.interleave import repeated_windows
+
+    rng = random.Random(5)
+    for _ in range(150):
+        depth, letters = rng.choice([8, 9, 16, 20, 40]), rng.choice([b"a", b"ab", b"\0a", bytes(range(97, 123))])
+        strings = []
+        for _ in range(rng.randint(0, 10)):
+            if strings and rng.random() < 0.5:
+                s = bytearray(rng.choice(strings))
+                if s:
+                    s[rng.randrange(len(s))] = rng.choice(letters)
+                strings.append(bytes(s)[rng.randint(0, 3) :])
+            else:
+                strings.append(bytes(rng.choice(letters) for _ in range(rng.randint(0, 90))))
+        seen = Counter(s[i : i + depth] for s in strings for i in range(len(s) - depth + 1))
+        got = repeated_windows(strings, depth, rng.choice([1, 60, 10_000]))
+        assert [g.tolist() for g in got] == [[seen[s[i : i + depth]] > 1 for i in range(len(s) - depth + 1)] for s in strings]
+
+
+@pytest.mark.parametrize("hot_bytes", [1 << 22, 500])
+def test_op1(spark, hot_bytes):
+    from marlstone.llm.suffix_dedup import remove_repeats, text_id
+
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(6))
+    passage = " ".join(word() for _ in range(40))
+    texts = [" ".join(word() for _ in range(rng.randint(0, 60))) for _ in range(30)]
+    texts += [t[:40] + passage + t[40:] for t in texts[:8]] + [texts[20]] * 4 + ["a" * 900, "b" * 120, "", passage + passage, "ab" * 300]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cut = remove_repeats(spark, rows, length=100, hot_bytes=hot_bytes)
+    got = rows.withColumn("tid", text_id()).join(cut, "tid", "left").orderBy("doc_id").collect()
+    want = brute_repeats(texts, 100)
+    for r, w in zip(got, want):
+        kept = r["text"].encode() if r["kept"] is None else bytes(r["kept"])
+        assert (r["n_removed"] or 0, len(r["spans"] or []), hashlib.sha256(kept).hexdigest()) == w[1:]
+
+
+def test_op1_query_and_edges(spark, docs, odd, empty, sf_dir):
+    from marlstone.llm.suffix_dedup import op1_suffix_dedup, remove_repeats
+
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in op1_suffix_dedup(spark, sf_dir).collect()}
+    rows = docs.collect()
+    assert got == {r["doc_id"]: w for r, w in zip(rows, brute_repeats([r["text"] for r in rows], 400))}
+    assert remove_repeats(spark, empty).count() == 0
+    assert {r["n_removed"] for r in remove_repeats(spark, odd.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).collect()} == {150000, 3000}
+
+
+@pytest.fixture(scope="module")
+def full_count():
+    from marlstone.llm.tokens import Encoder, default_tokenizer_paths
+
+    enc = Encoder(*default_tokenizer_paths())
+    return enc, lambda t: len(enc.full.encode(t or "", add_special_tokens=False).ids)
+
+
+def test_tokens_equal_library(full_count):
+    enc, _ = full_count
+    rng = random.Random(2)
+    parts = [" ", "  ", "\n", "\t", "a", "B", "é", "22", "'s", "!", "\xa0", "\x85", "\x1c", "ß", " bar", "<|endoftext|>", "日", "\r\n", "²"]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        assert enc.id_list(t) == enc.full.encode(t, add_special_tokens=False).ids
+
+
+def test_op2(spark, docs, odd, empty, full_count):
+    from marlstone.llm.token_counts import apply_edit, apply_edit_log, build_state, build_tree, split_leaves, tokens_of
+
+    enc, count = full_count
+    rng = random.Random(3)
+    parts = [" ", "  ", "\n", "a", "b ", " c", "é", "12", "'s", "foo bar ", " \n", "\xa0", "<|endoftext|>", "日"]
+    text_of = lambda n: "".join(rng.choice(parts) for _ in range(n))
+    for _ in range(100):
+        t = text_of(rng.randint(0, 60))
+        leaves = split_leaves(t, 8)
+        chars, tree = [len(x) for x in leaves], build_tree([enc.count(x) for x in leaves])
+        for _ in range(6):
+            t, chars, tree, _n = apply_edit(t, chars, tree, rng.randint(0, len(t) + 2), rng.randint(0, 12), text_of(rng.randint(0, 5)), enc.count, 8)
+            assert sum(chars) == len(t) and (tree[0] if tree else 0) == count(t)
+    state = build_state(odd).withColumn("n", tokens_of())
+    assert all(r["n"] == count(r["text"]) for r in state.collect())
+    assert build_state(empty).count() == 0
+    few = docs.limit(20).select("doc_id", "text")
+    ids = [r["doc_id"] for r in few.collect()]
+    edits = [(ids[0], k, k * 3, 1, " zz") for k in range(5)] + [(ids[1], 0, 0, 50, None)]
+    after = apply_edit_log(spark, build_state(few), spark.createDataFrame(edits, "doc_id long, seq long, at int, drop int, insert string"), per_round=2)
+    for r in after.withColumn("n", tokens_of()).collect():
+        assert r["n"] == count(r["text"])
+
+
+def test_op3_held_out_accuracy(spark, sf_dir, odd, empty):
+    from marlstone.llm.quality_knn import classify, op3_quality_classifier
+
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    labels = spark.read.parquet(f"{big}/labels.parquet")
+    got = op3_quality_classifier(spark, big).join(labels, "doc_id").filter("held_out").collect()
+    assert np.mean([r["predicted"] == r["quality"] for r in got]) > 0.93
+    made = classify(spark, odd, labels).collect()
+    assert len(made) == len(ODD) and all(0 <= r["score"] <= 1 for r in made)
+    assert classify(spark, empty, labels).count() == 0
+    assert {r["score"] for r in classify(spark, odd, labels.limit(0)).collect()} == {0.5}
+
+
+def brute_tiles(item, text, least):
+    """Greedy string tiling by definition: again and again the longest free common run."""
+    a, b, covered = [False] * len(item), [False] * len(text), 0
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for j in range(len(text)):
+                k = 0
+                while i + k < len(item) and j + k < len(text) and item[i + k] == text[j + k] and not a[i + k] and not b[j + k]:
+                    k += 1
+                if k > best[0]:
+                    best = (k, i, j)
+        k, i, j = best
+        if k < least:
+            return covered
+        a[i : i + k] = [True] * k
+        b[j : j + k] = [True] * k
+        covered += k
+
+
+def test_op4_tiling():
+    from marlstone.llm.decontamination import Index, tile
+
+    rng = random.Random(4)
+    for _ in range(150):
+        item = np.array([rng.randrange(30) for _ in range(rng.randint(5, 30))])
+        cut = rng.randint(1, len(item))
+        text = np.concatenate([[rng.randrange(30) for _ in range(5)], item[cut:], [rng.randrange(30) for _ in range(3)], item[:cut]]).astype(np.int64)
+        assert sum(k for *_, k in tile(item.copy(), text, 3)) == brute_tiles(item.tolist(), text.tolist(), 3)
+    words = [f"w{k}" for k in range(30)]
+    moved = " ".join(["zz", *words[20:], "yy", *words[:10], "xx", *words[10:20]])
+    assert Index([(9, " ".join(words))]).matches(moved) == [(9, 1.0, 3, 10)]
+    assert Index([(9, " ".join(words))]).matches(" ".join(words[:14])) == []
+    assert Index([(1, ""), (2, "a b")]).matches("x a b y") == [(2, 1.0, 1, 2)]
+
+
+def test_op4_finds_planted(spark, docs, odd, empty, sf_dir):
+    from marlstone.llm.decontamination import contaminated_pairs, op4_decontamination, without_contaminated
+
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    texts, items = docs.collect(), bench.collect()
+    exact = {(d["doc_id"], b["item_id"]) for d in texts for b in items if b["text"] in d["text"]}
+    got = {(r["doc_id"], r["item_id"]) for r in op4_decontamination(spark, sf_dir).collect()}
+    assert exact <= got and len(got) <= len(exact) * 1.1 + 2
+    left = without_contaminated(spark, docs, bench)
+    assert {r["doc_id"] for r in left.select("doc_id").collect()} == {d["doc_id"] for d in texts} - {d for d, _ in got}
+    assert contaminated_pairs(spark, odd, bench).count() == 0 and contaminated_pairs(spark, empty, bench).count() == 0
+    assert contaminated_pairs(spark, docs, bench.limit(0)).count() == 0
+    assert without_contaminated(spark, odd, bench).count() == len(ODD)
+
+
+def luhn(s):
+    d = [int(c) for c in s if c.isdigit()][::-1]
+    return sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0
+
+
+def test_op5(spark, docs, odd, empty):
+    from marlstone.llm.pseudonyms import pseudonymise
+
+    text = "mail jo.smith@x.org card 4111-1111-1111-1111 bad 4111111111111112 ip 10.0.0.1 v 1.2.3 on 1984-02-29, call +1 (415) 555-2671 iban DE89370400440532013000 token = \"0641917ea4e9feb9cda83477b57ac2654884f485\""
+    rows = spark.createDataFrame([(1, text), (2, "again jo.smith@x.org and 4111-1111-1111-1111"), (3, "plain words, 3.5 and 2024")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pseudonymise(rows).collect()}
+    a, b = got[1]["text"], got[2]["text"]
+    for secret in ("jo.smith", "4111-1111-1111-1111", "10.0.0.1", "1984-02-29", "555-2671", "DE89370400440532013000", "0641917ea4e9"):
+        assert secret not in a
+    assert "4111111111111112" in a and "v 1.2.3 on" in a and got[3]["text"] == "plain words, 3.5 and 2024" and got[3]["n_pii"] == 0
+    card = re.search(r"\d{4}-\d{4}-\d{4}-\d{4}", a).group()
+    assert luhn(card) and card in b and re.search(r"[a-z]{2}\.[a-z]{5}@x\.org", a).group() in b
+    assert re.search(r'token = "[0-9a-f]{40}"', a) and len(a.split()) == len(text.split())
+    for r, (_, t, *_rest) in zip(pseudonymise(odd).collect(), ODD):
+        assert r["text"] == t and r["n_pii"] == 0
+    assert pseudonymise(empty).count() == 0
+
+
+def test_feistel_is_a_permutation(spark):
+    from marlstone.llm.pseudonyms import feistel
+
+    x = spark.range(250 * 292)
+    out = x.select(feistel(F.col("id"), F.lit(250).cast("long"), F.lit(292).cast("long"), F.lit("t"), "k").alias("y"))
+    r = out.agg(F.count_distinct("y").alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi")).first()
+    assert (r["n"], r["lo"], r["hi"]) == (250 * 292, 0, 250 * 292 - 1)
+
+
+def check_packing(packed, rows, enc):
+    ids = {}
+    for r in rows:
+        ids.setdefault((r["doc_id"]), []).append(enc.id_list(r["text"]) + [1])
+    seqs = {}
+    for p in packed:
+        seqs.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    for places in seqs.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert sum(p["length"] for p in packed) == sum(len(x) for v in ids.values() for x in v)
+    for doc, lists in ids.items():
+        if len(lists) == 1:
+            parts = sorted((p["start"], bytes(p["ids"])) for p in packed if p["doc_id"] == doc)
+            assert b"".join(b for _, b in parts) == np.array(lists[0], "<u4").tobytes()
+    return len(seqs)
+
+
+def test_op6(spark, docs, odd, empty, full_count):
+    from marlstone.llm.packing import pack
+
+    enc, _ = full_count
+    rows = docs.collect()
+    packed = pack(spark, docs).collect()
+    n = check_packing(packed, rows, enc)
+    assert sum(p["length"] for p in packed) / (2048 * n) > 0.97
+    check_packing(pack(spark, odd).collect(), odd.collect(), enc)
+    assert pack(spark, empty).count() == 0
+    alike = spark.createDataFrame([(k, " a" * 1200) for k in range(200)], "doc_id long, text string")  # two never fit whole
+    packed = pack(spark, alike).collect()
+    n = check_packing(packed, alike.collect(), enc)
+    assert sum(p["length"] for p in packed) / (2048 * n) > 0.95
+
+
+def test_op7(spark, docs, odd, empty):
+    from marlstone.llm.sharding import shuffle_into_shards
+
+    for rows in (docs, odd.withColumn("shard", F.lit("clash"))):
+        got = shuffle_into_shards(spark, rows, 16, bucket_bytes=50_000).collect()
+        sizes = Counter(r["shard"] for r in got)
+        assert set(sizes) <= set(range(16)) and max(sizes.values()) - min([sizes.get(k, 0) for k in range(16)]) <= 1
+        for k in sizes:
+            assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sizes[k]))
+        assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r["doc_id"], r["text"]) for r in rows.collect())
+    again = [(r["shard"], r["slot"], r["doc_id"]) for r in shuffle_into_shards(spark, docs, 16).orderBy("shard", "slot").collect()]
+    assert again == [(r["shard"], r["slot"], r["doc_id"]) for r in shuffle_into_shards(spark, docs, 16).orderBy("shard", "slot").collect()]
+    assert shuffle_into_shards(spark, empty, 16).count() == 0
+
+
+def brute_simhash(text):
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    if not words:
+        return 0
+    grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    hs = [xxhash.xxh64_intdigest(g.encode(), seed=42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def test_op8(spark, docs, odd, empty):
+    from marlstone.llm.simhash import near_duplicates
+
+    for rows in (docs, odd):
+        got = near_duplicates(spark, rows).collect()
+        have = rows.collect()
+        fps = [brute_simhash(r["text"]) for r in have]
+        assert Counter((r["doc_id"], r["fp"] % (1 << 64)) for r in got) == Counter((r["doc_id"], f) for r, f in zip(have, fps))
+        parent = list(range(len(have)))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for i in range(len(fps)):
+            for j in range(i):
+                if (fps[i] ^ fps[j]).bit_count() <= 3:
+                    parent[find(i)] = find(j)
+        groups = {}
+        for i, r in enumerate(have):
+            if r["doc_id"] is not None:
+                groups.setdefault(find(i), []).append(r["doc_id"])
+        want = Counter((r["doc_id"], min(groups.get(find(i), [None]))) for i, r in enumerate(have))
+        assert Counter((r["doc_id"], r["component_id"]) for r in got) == want
+    assert near_duplicates(spark, empty).count() == 0
+
+
+def test_forest_large_lists_connect_alike(monkeypatch):
+    from marlstone.llm import simhash
+
+    rng = np.random.default_rng(6)
+    open_bits = rng.integers(0, 1 << 12, 900)
+    fps = np.unique(open_bits.astype(np.int64))
+
+    def groups(pairs):
+        label = {int(f): int(f) for f in fps}
+        find = lambda x: x if label[x] == x else find(label[x])
+        for a, b in pairs:
+            for x, y in zip(a.tolist(), b.tolist()):
+                assert (x ^ y).bit_count() <= 3
+                label[find(x)] = find(y)
+        return {frozenset(x for x in label if find(x) == r) for r in {find(x) for x in label}}
+
+    small = groups(simhash.forest(fps, (3, 4, 5, 6, 7)))
+    monkeypatch.setattr(simhash, "DIRECT", 10)
+    assert groups(simhash.forest(fps, (3, 4, 5, 6, 7))) == small
+
+
+def test_op9(spark, sf_dir, odd, empty):
+    from marlstone.llm.language_id import identify, op9_language_id
+
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    known = spark.read.parquet(f"{big}/documents.parquet")
+    got = op9_language_id(spark, big).join(known.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.97
+    made = {r["doc_id"]: r for r in identify(spark, odd, known).collect()}
+    assert [made[k]["lang_pred"] for k in (1, 2, 3, 5)] == ["und"] * 4 and made[1]["score"] == 0
+    assert made[6]["lang_pred"] in ("en", "fr", "de", "es")
+    assert identify(spark, empty, known).count() == 0
+    assert {r["lang_pred"] for r in identify(spark, odd, empty).collect()} == {"und"}
+
+
+def test_op10(spark, docs, odd, empty, sf_dir):
+    from marlstone.llm.quality_rules import fit_weights, judge
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    weights = fit_weights(docs, labels)
+    for rows in (docs, odd):
+        got = judge(rows.withColumn("score", F.lit("clash")), weights).collect()
+        want = Counter()
+        for r in rows.collect():
+            t = r["text"] or ""
+            words = re.findall(r"[^\x20\x09-\x0D]+", t)
+            grams = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+            seen, covered = Counter(grams), set()
+            for k, g in enumerate(grams):
+                if seen[g] > 1:
+                    covered.update(range(k, k + 5))
+            lines, dup = set(), 0
+            for line in t.split("\n"):
+                if re.search(r"[^\x20\x09-\x0D]", line):
+                    dup += line in lines
+                    lines.add(line)
+            failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
+            want[(r["doc_id"], len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), dup, len(covered), failed)] += 1
+        assert Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in got) == want
+        assert all(not (r["kept"] and r["base_failed"]) for r in got)
+    assert judge(empty, weights).count() == 0
+    neutral = judge(docs, fit_weights(docs, labels.limit(0)))
+    assert neutral.filter("score <> 0").count() == 0
+
+
+def test_pipeline_stages(spark, docs, sf_dir, odd, empty):
+    import corpus_pipeline as P
+
+    kept = {r["doc_id"] for r in P.language(spark, docs, sf_dir).collect()}
+    assert kept == {r["doc_id"] for r in docs.collect()}
+    for rows in (odd, empty):
+        out = rows
+        for name, stage in P.STAGES:
+            made = stage(spark, out, sf_dir)
+            if name != "packing":
+                assert made.columns == list(P.COLUMNS)
+                made.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/test-{name}-{rows is odd}")
+                out = spark.read.parquet(path)
+        assert (made.count() > 0) == (rows is odd)
+    one = P.near_duplicates(spark, docs, sf_dir)
+    from marlstone.llm.simhash import near_duplicates
+
+    classes = {r["component_id"] for r in near_duplicates(spark, docs).collect()}
+    assert {r["doc_id"] for r in one.collect()} == classes
+
+
+def test_entry_runs_without_the_subpackage():
+    import __spark_entry__ as entry
+
+    names = set(entry.queries())
+    assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
+    assert set(entry.oracle_sql()) <= names
+
+
+def test_crc_of_doc_ids_is_zlib(spark):
+    from marlstone.llm.language_id import held_out
+
+    got = {r["doc_id"]: r["h"] for r in spark.range(200).withColumnRenamed("id", "doc_id").withColumn("h", held_out()).collect()}
+    assert got == {k: zlib.crc32(str(k).encode()) % 5 == 0 for k in range(200)}
