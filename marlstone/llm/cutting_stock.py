@@ -74,12 +74,19 @@ def solve(demand: np.ndarray, capacity: int, cut_cost: float = 0.02, rounds: int
         columns.append(("pattern", counts, 1.0))
         scale[c - 1] = capacity // c
     inverse = rows / scale[:, None]
-    level = demand.astype(float) / scale
+    # a little more of each class, unequally: where many classes are empty, ties would let the simplex method go in circles
+    demand = demand + 1e-7 * (1 + np.arange(n) / n)
+    level = demand / scale
+    sound = (list(columns), level)  # the last basis that was inverted anew
     for turn in range(rounds):
         if turn % 50 == 49:  # rounding errors of the updates don't add up
-            basis = np.stack([as_column(x, n) for x in columns], axis=1)
-            inverse = np.linalg.inv(basis)
+            try:
+                inverse = np.linalg.inv(np.stack([as_column(x, n) for x in columns], axis=1))
+            except np.linalg.LinAlgError:  # a feasible plan all the same, only some rounds short of the optimum
+                columns, level = sound
+                break
             level = np.maximum(inverse @ demand, 0)
+            sound = (list(columns), level)
         costs = np.array([x[2] for x in columns])
         duals = costs @ inverse
         value, counts = price_pattern(np.maximum(duals, 0), capacity)
@@ -91,10 +98,13 @@ def solve(demand: np.ndarray, capacity: int, cut_cost: float = 0.02, rounds: int
         if gain > -1e-7:
             break
         direction = inverse @ column
-        limits = np.where(direction > 1e-10, level / np.where(direction > 1e-10, direction, 1), np.inf)
-        leave = int(limits.argmin())
-        if not np.isfinite(limits[leave]):
+        # what is smaller than this is rounding error, and as a pivot would make the basis singular
+        usable = direction > 1e-7 * max(1.0, float(np.abs(direction).max()))
+        limits = np.where(usable, level / np.where(usable, direction, 1), np.inf)
+        least = float(limits.min())
+        if not np.isfinite(least):
             break
+        leave = int(np.where(limits <= least + 1e-9 * (1 + least), direction, -np.inf).argmax())  # among ties, the greatest pivot
         step = limits[leave]
         level = np.maximum(level - step * direction, 0)
         level[leave] = step
@@ -102,6 +112,6 @@ def solve(demand: np.ndarray, capacity: int, cut_cost: float = 0.02, rounds: int
         inverse -= np.outer(direction, pivot)
         inverse[leave] = pivot
         columns[leave] = enter
-    patterns = [(what, float(x)) for (kind, what, _), x in zip(columns, level) if kind == "pattern" and x > 1e-9]
-    cuts = [(what[0], what[1], float(x)) for (kind, what, _), x in zip(columns, level) if kind == "cut" and x > 1e-9]
+    patterns = [(what, float(x)) for (kind, what, _), x in zip(columns, level) if kind == "pattern" and x > 1e-5]
+    cuts = [(what[0], what[1], float(x)) for (kind, what, _), x in zip(columns, level) if kind == "cut" and x > 1e-5]
     return patterns, cuts

@@ -80,7 +80,7 @@ def ranked(rows: DataFrame, by: str, key: str, buckets: int) -> DataFrame:
 
 def round_patterns(patterns: list[tuple[np.ndarray, float]], demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     """Whole patterns that cover ``demand``: rounded down, the rest first-fit with the largest class first."""
-    out = [(counts, int(np.floor(x + 1e-6))) for counts, x in patterns]
+    out = [(counts, int(np.floor(x + 1e-4))) for counts, x in patterns]
     out = [(counts, times) for counts, times in out if times > 0]
     left = demand.astype(np.int64).copy()
     for counts, times in out:
@@ -128,7 +128,7 @@ def place_pieces(spark: SparkSession, pieces: DataFrame, sequence: int = SEQUENC
         cut_rows, used = [], {}
         for c, a, times in solve(demand, capacity)[1] if demand.any() else ():
             lo = used.get(c, 0)
-            hi = min(int(demand[c - 1]), lo + int(times))
+            hi = min(int(demand[c - 1]), lo + int(times + 1e-4))
             if hi > lo:
                 cut_rows.append((c, lo, hi, a * unit))
                 used[c] = hi
