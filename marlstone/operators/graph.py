@@ -15,16 +15,22 @@ def adjacent(chunks: DataFrame, within: list[str], order: str, key: str) -> Data
 
 
 def shared_terms(rows: DataFrame, within: list[str], key: str, terms: str, floor: float, denominator: str = "min") -> DataFrame:
-    """JN-13, JN-14, JN-16: pairs key_a < key_b in the same ``within`` whose sets of terms overlap by more than ``floor`` of the
-    smaller set (``min``) or of both (``union``). Terms meet through an equi-join, so rows without a common term are never
-    paired; the ``within`` columns hold the join to one document or kind."""
-    sets = rows.select(*within, key, F.array_distinct(terms).alias("t")).filter(F.size("t") > 0)
-    each = sets.select(*within, key, F.size("t").alias("n"), F.explode("t").alias("term"))
-    a = each.select(*within, F.col(key).alias("a"), F.col("n").alias("na"), "term")
-    b = each.select(*within, F.col(key).alias("b"), F.col("n").alias("nb"), "term")
-    common = a.join(b, [*within, "term"]).filter("a < b").groupBy(*within, "a", "b").agg(F.count("*").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    base = F.least("na", "nb") if denominator == "min" else F.col("na") + F.col("nb") - F.col("common")
-    return common.withColumn("overlap", F.col("common") / base).filter(F.col("overlap") > floor).select(*within, "a", "b", F.round("overlap", 6).alias("overlap"))
+    """JN-13 to JN-16: pairs a < b in the same ``within`` whose sets of terms overlap by more than ``floor`` of the smaller set
+    (``min``) or of both (``union``). A pair above the floor shares one of the smaller set's rarest terms, so only those meet
+    the other sets: a term that a third of all rows hold comes last and is hardly ever joined. What meets is then verified."""
+    each = rows.select(*within, F.col(key).alias("k"), F.explode(F.array_distinct(terms)).alias("term"))
+    common = each.groupBy(*within, "term").agg(F.count("*").alias("df"))
+    sets = each.join(common, [*within, "term"]).groupBy(*within, "k").agg(F.sort_array(F.collect_list(F.struct("df", "term")))["term"].alias("t"))
+    n = F.size("t")
+    rare = F.slice("t", F.lit(1), n - F.floor(n * F.lit(floor)).cast("int"))
+    small = sets.select(*within, F.col("k").alias("a"), n.alias("na"), F.explode(rare).alias("term"))
+    large = sets.select(*within, F.col("k").alias("b"), n.alias("nb"), F.explode("t").alias("term"))
+    met = small.join(large, [*within, "term"]).filter("na < nb or (na = nb and a < b)")
+    met = met.select(*within, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = met.join(sets.withColumnsRenamed({"k": "a", "t": "ta"}), [*within, "a"]).join(sets.withColumnsRenamed({"k": "b", "t": "tb"}), [*within, "b"])
+    shared = F.size(F.array_intersect("ta", "tb"))
+    base = F.least(F.size("ta"), F.size("tb")) if denominator == "min" else F.size("ta") + F.size("tb") - shared
+    return both.withColumn("overlap", shared / base).filter(F.col("overlap") > floor).select(*within, "a", "b", F.round("overlap", 6).alias("overlap"))
 
 
 def degree(edges: DataFrame) -> DataFrame:
@@ -39,28 +45,34 @@ def _turn_words(s: SparkSession, d: str) -> DataFrame:
 
 
 def _order_parts(s: SparkSession, d: str) -> DataFrame:
-    li = table(s, d, "lineitem").filter("l_orderkey % 4 = 0")
-    return li.groupBy("l_orderkey").agg(F.collect_set((F.col("l_partkey") % 40).cast("string")).alias("parts")).select(F.pmod("l_orderkey", F.lit(97)).alias("bucket"), "l_orderkey", "parts")
+    return table(s, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts"))
+
+
+def _order_months(s: SparkSession, d: str) -> DataFrame:
+    li = table(s, d, "lineitem").select("l_orderkey", F.date_format("l_shipdate", "yyyy-MM").alias("month"))
+    o = table(s, d, "orders").select("o_custkey", "o_orderkey")
+    return o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey", "o_orderkey").agg(F.collect_set("month").alias("months"))
 
 
 QUERIES = {
     "jn17_adjacent": lambda s, d: adjacent(table(s, d, "conversations"), ["conv_id"], "turn", "turn"),
     "jn14_shared_words": lambda s, d: shared_terms(_turn_words(s, d), ["conv_id"], "turn", "words", 0.05, "union"),
-    "jn16_shared_entities": lambda s, d: shared_terms(_order_parts(s, d), ["bucket"], "l_orderkey", "parts", 0.4),
-    "jn15_shared_dates": lambda s, d: shared_terms(
-        table(s, d, "events").groupBy("user_id").agg(F.collect_set(F.to_date("ts").cast("string")).alias("days")).withColumn("g", F.pmod("user_id", F.lit(5))), ["g"], "user_id", "days", 0.9
-    ),
-    "ag22_degree": lambda s, d: degree(shared_terms(_order_parts(s, d), ["bucket"], "l_orderkey", "parts", 0.4)),
+    "jn16_shared_entities": lambda s, d: shared_terms(_order_parts(s, d), [], "l_orderkey", "parts", 0.4),
+    "jn15_shared_dates": lambda s, d: shared_terms(_order_months(s, d), ["o_custkey"], "o_orderkey", "months", 0.2),
+    "ag22_degree": lambda s, d: degree(shared_terms(_order_parts(s, d), [], "l_orderkey", "parts", 0.4)),
 }
 _PAIR = """SELECT x.{g} AS {g}, x.k AS a, y.k AS b, round({c} / {den}, 6) AS overlap FROM t x JOIN t y ON x.{g} = y.{g} AND x.k < y.k WHERE {c} > 0 AND {c} / {den} > {f}"""
 _C = "len(list_intersect(x.s, y.s))::DOUBLE"
 _MIN = "least(len(x.s), len(y.s))"
-_PARTS = "t AS (SELECT l_orderkey % 97 AS bucket, l_orderkey AS k, list(DISTINCT CAST(l_partkey % 40 AS VARCHAR)) AS s FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY 1, 2)"
+_PARTS = """e AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS p FROM lineitem), n AS (SELECT k, count(*) AS n FROM e GROUP BY 1),
+ c AS (SELECT x.k AS a, y.k AS b, count(*) AS c FROM e x JOIN e y ON x.p = y.p AND x.k < y.k GROUP BY 1, 2),
+ o AS (SELECT a, b, round(c::DOUBLE / least(x.n, y.n), 6) AS overlap FROM c JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE c::DOUBLE / least(x.n, y.n) > 0.4)"""
 ORACLE_SQL = {
     "jn17_adjacent": "SELECT conv_id, turn AS source_id, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS target_id FROM conversations QUALIFY target_id IS NOT NULL",
     "jn14_shared_words": "WITH t AS (SELECT conv_id, turn AS k, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) > 3)) AS s FROM conversations) "
     + _PAIR.format(g="conv_id", c=_C, den=f"(len(x.s) + len(y.s) - {_C})", f=0.05),
-    "jn16_shared_entities": f"WITH {_PARTS} " + _PAIR.format(g="bucket", c=_C, den=_MIN, f=0.4),
-    "jn15_shared_dates": "WITH t AS (SELECT user_id % 5 AS g, user_id AS k, list(DISTINCT CAST(CAST(ts AS DATE) AS VARCHAR)) AS s FROM events GROUP BY 1, 2) " + _PAIR.format(g="g", c=_C, den=_MIN, f=0.9),
-    "ag22_degree": f"WITH {_PARTS}, e AS (" + _PAIR.format(g="bucket", c=_C, den=_MIN, f=0.4) + ") SELECT node, count(*) AS links FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY 1",
+    "jn16_shared_entities": f"WITH {_PARTS} SELECT a, b, overlap FROM o",
+    "jn15_shared_dates": "WITH t AS (SELECT o_custkey, o_orderkey AS k, list(DISTINCT strftime(l_shipdate, '%Y-%m')) AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2) "
+    + _PAIR.format(g="o_custkey", c=_C, den=_MIN, f=0.2),
+    "ag22_degree": f"WITH {_PARTS} SELECT node, count(*) AS links FROM (SELECT a AS node FROM o UNION ALL SELECT b FROM o) GROUP BY 1",
 }

@@ -97,7 +97,7 @@ def _score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _gate_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG-07, AG-08: confidence and source diversity of each query's citations."""
-    c = citations(spark, sf_dir).filter("query_id % 10 = 0").join(_docs(spark, sf_dir), F.col("document_id") == F.col("doc_id"), "left")
+    c = citations(spark, sf_dir).join(_docs(spark, sf_dir), F.col("document_id") == F.col("doc_id"), "left")
     return c.groupBy("query_id").agg(
         F.coalesce(F.max("relevance_score"), F.lit(0.0)).alias("confidence"),
         F.bround(F.count_distinct(F.coalesce("source", F.lit(""))) / F.count("*"), 2).alias("diversity"),
@@ -128,7 +128,7 @@ ORACLE_SQL = {
     "ag04_top_cited": f"{_C} SELECT document_id, coalesce(source, 'Unknown') AS department, count(*) AS citations FROM c LEFT JOIN documents ON doc_id = document_id GROUP BY 1, 2 ORDER BY citations DESC, document_id LIMIT 10",
     "ag05_cited_departments": f"{_C} SELECT coalesce(source, 'Unknown') AS department, count(*) AS citations FROM c LEFT JOIN documents ON doc_id = document_id GROUP BY 1",
     "ag06_freshness": "SELECT count(DISTINCT source) AS sources, count(*) AS documents, max(doc_id) AS newest FROM documents",
-    "ag07_08_confidence_diversity": f"{_C} SELECT query_id, max(relevance_score) AS confidence, round_even(count(DISTINCT coalesce(source, ''))::DOUBLE / count(*), 2) AS diversity FROM c LEFT JOIN documents ON doc_id = document_id WHERE query_id % 10 = 0 GROUP BY 1",
+    "ag07_08_confidence_diversity": f"{_C} SELECT query_id, max(relevance_score) AS confidence, round_even(count(DISTINCT coalesce(source, ''))::DOUBLE / count(*), 2) AS diversity FROM c LEFT JOIN documents ON doc_id = document_id GROUP BY 1",
     "ag09_corpus_summary": "SELECT source, lang, count(*) AS chunks, count(*) FILTER (n_chars > 1000) AS long_chunks, round(avg(n_chars), 4) AS avg_chars FROM documents GROUP BY 1, 2",
     "ag11_score_distribution": f"{_C} SELECT min(relevance_score) AS min_score, max(relevance_score) AS max_score, round(avg(relevance_score), 6) AS mean_score, round(stddev_pop(relevance_score), 6) AS std_score, round(max(relevance_score) - min(relevance_score), 6) AS score_range, count(*) FILTER (relevance_score > 0.8) AS high, count(*) FILTER (relevance_score BETWEEN 0.5 AND 0.8) AS medium, count(*) FILTER (relevance_score < 0.5) AS low FROM c",
     "tk06_recent": f"SELECT query_id, user_id, created_at FROM ({LOG_SQL}) ORDER BY created_at DESC, query_id DESC LIMIT 50",

@@ -97,9 +97,9 @@ def _with_labels(s: SparkSession, d: str) -> DataFrame:
 
 def _candidates(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = table(s, d, "events")
-    base = e.filter("event_id % 20 = 0").select(F.col("event_id").alias("query_id"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k"))
+    base = e.select(F.col("event_id").alias("query_id"), "event_type", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k"))
     primary = base.select("query_id", (F.col("query_id") * 3 + F.col("k")).alias("doc_id"), F.round((F.col("query_id") * 31 % 97) / 100 / F.col("k"), 4).alias("score"))
-    fallback = base.filter("query_id % 60 <> 0").select("query_id", (F.col("query_id") * 5 + F.col("k")).alias("doc_id"), F.round((F.col("query_id") * 17 % 89) / 100 / F.col("k"), 4).alias("score"))
+    fallback = base.filter("event_type <> 'purchase'").select("query_id", (F.col("query_id") * 5 + F.col("k")).alias("doc_id"), F.round((F.col("query_id") * 17 % 89) / 100 / F.col("k"), 4).alias("score"))
     return primary, fallback
 
 
@@ -116,12 +116,12 @@ QUERIES = {
     "pf17_overfetch": lambda s, d: overfetch(table(s, d, "documents").select("doc_id", "source", "n_chars", "lang"), F.col("lang") == "en", "source", [F.desc("n_chars"), F.col("doc_id")], 5).select("doc_id", "source"),
     "pf14_similar_questions": lambda s, d: similar_questions(table(s, d, "embeddings"), list(table(s, d, "embeddings").filter("vec_id = 3").first()["embedding"]), 5, 0.3, 3).select("vec_id", F.round("score", 6).alias("score")),
 }
-_B = "(SELECT event_id AS query_id, unnest([1, 2, 3]) AS k FROM events WHERE event_id % 20 = 0)"
+_B = "(SELECT event_id AS query_id, event_type, unnest([1, 2, 3]) AS k FROM events)"
 ORACLE_SQL = {
     "jn01_star_join": "SELECT vec_id, label, source, lang FROM embeddings JOIN documents ON vec_id = doc_id WHERE doc_id % 10 <> 3",
     "jn03_left_defaults": "SELECT doc_id, source, coalesce(quality, -1) AS quality FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) USING (doc_id)",
     "jn10_either_side": "SELECT o_orderkey FROM orders WHERE o_custkey % 50 = 1 OR o_orderkey % 50 = 1",
-    "sc10_confidence_gate": f"""WITH p AS (SELECT query_id, query_id * 3 + k AS doc_id, round((query_id * 31 % 97) / 100::DOUBLE / k, 4) AS score FROM {_B}), f AS (SELECT query_id, query_id * 5 + k AS doc_id, round((query_id * 17 % 89) / 100::DOUBLE / k, 4) AS score FROM {_B} WHERE query_id % 60 <> 0),
+    "sc10_confidence_gate": f"""WITH p AS (SELECT query_id, query_id * 3 + k AS doc_id, round((query_id * 31 % 97) / 100::DOUBLE / k, 4) AS score FROM {_B}), f AS (SELECT query_id, query_id * 5 + k AS doc_id, round((query_id * 17 % 89) / 100::DOUBLE / k, 4) AS score FROM {_B} WHERE event_type <> 'purchase'),
  q AS (SELECT query_id, max(score) < 0.5 AS attempted, max(score) < 0.5 AND query_id IN (SELECT query_id FROM f) AS used_fallback FROM p GROUP BY 1)
  SELECT query_id, doc_id, score, path, attempted, used_fallback FROM (SELECT *, 'primary' AS path FROM p UNION ALL SELECT *, 'fallback' AS path FROM f) JOIN q USING (query_id) WHERE (path = 'fallback') = used_fallback""",
     "pf01_normalise": "SELECT conv_id, turn, substring(coalesce(nullif(text, ''), nullif(role, ''), ''), 1, 40) AS snippet, coalesce(nullif(turn::DOUBLE, 0), nullif(conv_id::DOUBLE, 0), 0.0::DOUBLE) AS score FROM conversations",
