@@ -14,6 +14,7 @@ MODULES = (
     "marlstone.operators.context",
     "marlstone.operators.graph",
     "marlstone.operators.rules",
+    "marlstone.operators.corpus",
     "marlstone.sources.queries",
     "marlstone.streaming.queries",
 )
