@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import materialize
 from marlstone.llm.decontamination import without_contaminated
 from marlstone.llm.language_id import UNDETERMINED, identify
+from marlstone.llm.near_copies import keep_one
 from marlstone.llm.packing import pack
 from marlstone.llm.pseudonyms import pseudonymise
-from marlstone.llm.simhash import keep_one
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document whose best language is less likely than this is rejected.
@@ -28,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of linked fingerprints."""
+    """Keeps one document of each group linked by a Jaccard similarity of 0.8 or more over five-word shingles."""
     return keep_one(spark, docs)
 
 

@@ -201,16 +201,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return marked.join(roots.join(ids, "root").select("fp", "component_id"), "fp")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id, the first such row if it repeats."""
-    marked = with_fingerprints(docs).withColumn("row", F.monotonically_increasing_id())
-    marked, _ = materialize(spark, marked, "marked")
-    roots, _ = materialize(spark, classes(spark, marked), "roots")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    best = marked.groupBy("fp").agg(F.min(order).alias("o")).join(roots, "fp").groupBy("root").agg(F.min("o").alias("o")).select("o.row")
-    return marked.join(best, "row", "left_semi").select(*docs.columns)
-
-
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = near_duplicates(spark, docs)
