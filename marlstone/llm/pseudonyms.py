@@ -25,12 +25,26 @@ _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 EMAIL = "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\\.[A-Za-z0-9-]{1,63}){1,8}"
 ACCESS_KEY = "(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])"
 ASSIGNED = '(?<![A-Za-z])(?i:password|passwd|pwd|token|secret|api[_-]?key)"?[ \\t]{0,3}[:=][ \\t]{0,3}["\']?[A-Za-z0-9_+/-]{8,128}'
-IBAN = "(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])"
-CARD = "(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+# Length by country (ISO 13616), grouped by length; without a space or in blocks of four.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FO FI GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CR HR LI LV CH", 22: "BG BH DE GB GE IE ME RS",
+    23: "AE GI IL IQ OM TL SO", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = "(?<![A-Z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(
+    f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:[A-Z0-9]{{{n - 4}}}|(?: [A-Z0-9]{{4}}){{{(n - 4) // 4}}}{f' [A-Z0-9]{{{n % 4}}}' if n % 4 else ''})" for n, c in _IBAN_LENGTHS.items()
+) + ")(?![A-Z0-9])"
+# One unbroken run, or 4-4-4-4 (of 19 digits with 3 more), 4-6-5 and 4-6-4; other groupings are left.
+CARD = "(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:(?:[ -][0-9]{4}){3}(?:[ -][0-9]{3}(?![.-]?[0-9]))?|[ -][0-9]{6}[ -][0-9]{4,5}))(?![0-9])"
 IPV4 = f"(?<![0-9.])(?:{_OCTET}\\.){{3}}{_OCTET}(?![0-9]|\\.[0-9])"
 DATE = "(?<![0-9/.-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2}|[0-9]{2}\\.[0-9]{2}\\.(?:19|20)[0-9]{2})(?![0-9]|[/.-][0-9])"
 SSN = "(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
-PHONE = "(?<![0-9+])(?:\\+[1-9][0-9]{0,2}[ .-]?(?:\\([0-9]{2,4}\\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}|\\([0-9]{3}\\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9])"
+# A North American layout is tried first; elsewhere no group may begin a dotted quad, a date or a number of four groups.
+_NEXT = f"(?![ .-]?(?:{_OCTET}\\.){{3}}{_OCTET}(?![0-9])|[ .-][0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?![0-9])|[ .-][0-9]{{2}}[./][0-9]{{2}}[./][0-9]{{4}}|[ .][0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9])|[ .](?:[0-9]{{3}}-){{2}}[0-9]{{4}}(?![0-9]))"
+_NO_CARD = "(?![ .-](?:[0-9]{4}[ -]){3}[0-9]{4}|[ .-][0-9]{4}[ -][0-9]{6}[ -])"
+_NANP = "\\+1[ .-]?(?:\\([0-9]{3}\\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
+_ABROAD = f"\\+[1-9][0-9]{{0,2}}[ .-]?(?:\\([0-9]{{2,4}}\\)|[0-9]{{2,4}})(?:{_NEXT}[ .-]?[0-9]{{2,4}}){{2}}(?:{_NEXT}{_NO_CARD}[ .-]?[0-9]{{2,4}}){{0,2}}"
+PHONE = f"(?<![0-9+])(?:{_NANP}|{_ABROAD}|\\([0-9]{{3}}\\) ?[0-9]{{3}}-[0-9]{{4}}|[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}})(?![0-9])"
 KINDS = {"email": EMAIL, "access_key": ACCESS_KEY, "assigned": ASSIGNED, "iban": IBAN, "ipv4": IPV4, "date": DATE, "ssn": SSN, "phone": PHONE, "card": CARD}
 CANDIDATE = "|".join(KINDS.values())
 
@@ -140,13 +154,18 @@ def mod97(text: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    def body(d: Column) -> Column:
+    def replaced(part: Column, d: Column) -> Column:
         head = F.substring(d, F.lit(1), F.length(d) - 1)
         # 18 digits at most: two blocks where there are more than 17
         fresh = permute_symbols(head, "0123456789", F.concat(F.lit("card"), F.length(d).cast("string")), key)
-        return let(fresh, lambda f: refill(m, F.concat(f, F.pmod(-luhn_sum(f, 2), F.lit(10)).cast("string"))))
+        return let(fresh, lambda f: refill(part, F.concat(f, F.pmod(-luhn_sum(f, 2), F.lit(10)).cast("string"))))
 
-    return let(only(m, "0-9"), lambda d: F.when(luhn_sum(d, 1) % 10 == 0, body(d)).otherwise(m))
+    def valid(part: Column, otherwise: Column) -> Column:
+        return let(only(part, "0-9"), lambda d: F.when(luhn_sum(d, 1) % 10 == 0, replaced(part, d)).otherwise(otherwise))
+
+    # of 4-4-4-4-3 that is no card the first four groups may be one, with a number after it
+    head, tail = F.substring(m, 1, 19), F.substring(m, F.lit(20), F.length(m))
+    return valid(m, F.when(m.rlike("^.{4}[ -].{4}[ -].{4}[ -].{4}[ -]"), F.concat(valid(head, head), tail)).otherwise(m))
 
 
 def _ipv4(m: Column, key: str) -> Column:
