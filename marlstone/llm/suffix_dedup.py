@@ -1,19 +1,23 @@
-"""Operator 1: removal of byte strings of ``LENGTH`` bytes that occur more than once, by merging shard suffix orders.
+"""Operator 1: removal of byte strings of ``LENGTH`` bytes that occur more than once, by merged Burrows-Wheeler transforms.
 
-1. Equal texts are collapsed into one row with a count, in a table bucketed by a hash of the text (``tid``), so that later
-   joins of spans to texts move spans only.
+1. Equal texts are collapsed into one row with a count (partial sums first), in a table bucketed by a hash of the text
+   (``tid``), so that later joins of spans to texts move spans only.
 2. Every window of LENGTH bytes has a least hashed 32-byte gram (its minimizer); equal windows have equal minimizers.
-   A text falls into runs of windows with one minimizer; a run's bytes are a string. Runs whose minimizer occurs in no
-   other run and once in their own can't hold a repeat and are dropped after a count.
-3. Among the others, equal strings of one minimizer are collapsed. Where only one distinct string is left, its copies
-   repeat it whole. The distinct strings of the other minimizers are dealt out by minimizer, sorted in shards, and the
-   shards' orders merged by interleave refinement (``interleave``), which marks the windows that repeat.
-4. A minimizer with more than ``HOT_BYTES`` of distinct strings (say, within a line that a third of all documents hold)
-   would fill one task. Its windows are counted exactly by a 128-bit hash in a grouped count with partial sums instead.
+   A text falls into runs of windows with one minimizer; a run's bytes are a string. Equal strings are collapsed: copies
+   of a string repeat it whole. A string whose minimizer occurs nowhere else holds no repeat.
+3. The distinct strings of a minimizer are dealt out together, their suffixes sorted in shards, and the shards' transforms
+   merged by interleave refinement (``interleave``); its intervals are the windows that repeat.
+4. A minimizer with more than ``HOT_BYTES`` of distinct strings (say, at the end of a passage that a third of all documents
+   hold) is split: its strings are cut into pieces of few windows, by their place around the minimizer. All windows of a
+   piece hold the bytes in its middle, so equal windows lie in pieces with equal middles, which take the minimizer's place.
+   What is still too large is cut into single windows. Steps 2 and 3 then go on with the pieces as with any other strings.
 5. Spans go back to the texts, are united and cut out.
 
+Strings are told apart by 128 bits of hashes. Texts of any length are cut whole, and one text's repeats count.
+
 Defined results: null texts count as empty; texts shorter than LENGTH stay; a text that occurs twice (LENGTH bytes at least)
-is removed from every row; an empty table gives no rows; what remains is kept as bytes, since spans may cut characters.
+is removed from every row; an empty table gives no rows; what remains is kept as bytes, since spans may cut characters;
+only ``text`` (and ``doc_id`` in the query) is read, so other columns can't clash; repeated rows come back as often.
 """
 
 from __future__ import annotations
@@ -25,14 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialize, new_path
+from marlstone.llm.common import materialize, new_path, remove
 from marlstone.llm.interleave import repeated_windows
 
 LENGTH = 400
 GRAM = 32
+#: Distinct strings of one minimizer beyond this many bytes are cut into pieces, of so many windows at each cut.
 HOT_BYTES = 4 << 20
+PIECES = (16, 1)
 BIN_BYTES = 1 << 20
 SPANS = "array<struct<lo:int,hi:int>>"
+RUNS = "v long, dg long, tid binary, start int, n int, inner boolean"
+RUN_NAMES = ["v", "dg", "tid", "start", "n", "inner"]
 
 
 def gram_hashes(b: np.ndarray, width: int = GRAM) -> np.ndarray:
@@ -86,7 +94,7 @@ def _runs(length: int):
                         cols[5].append(int(np.count_nonzero(h[a : end - GRAM + 1] == v)) > 1)
                 if cols[0]:
                     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["v", "dg", "tid", "start", "n", "inner"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=RUN_NAMES)
 
     return run
 
@@ -147,8 +155,9 @@ def _merge(length: int):
     return run
 
 
-def _windows(length: int):
-    """v, dg, string to a row for each window: two hashes of its bytes."""
+def _pieces(length: int, width: int):
+    """text and its wanted strings to rows like those of ``_runs``, one for each piece of at most ``width`` windows: v is
+    the hash of the bytes that all windows of the piece hold and of the piece's place around the minimizer."""
 
     def run(batches):
         import xxhash
@@ -156,18 +165,28 @@ def _windows(length: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                v, dg, pos, h1, h2 = [], [], [], [], []
-                for a, b, s in zip(part.column("v").to_pylist(), part.column("dg").to_pylist(), part.column("string").to_pylist()):
-                    for p in range(len(s) - length + 1):
-                        x = xxhash.xxh3_128_intdigest(s[p : p + length])
-                        v.append(a)
-                        dg.append(b)
-                        pos.append(p)
-                        h1.append((x >> 64) - (1 << 63))
-                        h2.append((x & ((1 << 64) - 1)) - (1 << 63))
-                if v:
-                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((v, dg, pos, h1, h2), kinds)], names=["v", "dg", "pos", "h1", "h2"])
+                rows = []
+                for tid, text, wanted in zip(*(part.column(c).to_pylist() for c in ("tid", "text", "wanted"))):
+                    raw = text.encode("utf-8", "surrogatepass")
+                    for w in wanted:
+                        string = raw[w["start"] : w["start"] + w["n"] - 1 + length]
+                        places = np.arange(w["n"])
+                        if width > 1:
+                            grams = np.flatnonzero(gram_hashes(np.frombuffer(string, dtype=np.uint8)).view(np.int64) == w["v"])
+                            first = grams[np.searchsorted(grams, places)]  # where the minimizer first lies in each window
+                            group = (first - places) // width
+                            cut = np.concatenate([[0], np.flatnonzero((np.diff(first) != 0) | (np.diff(group) != 0)) + 1, [w["n"]]])
+                        else:
+                            first, group, cut = places, np.zeros(w["n"], dtype=np.int64), np.arange(w["n"] + 1)
+                        for a, z in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                            # the last start and the first end that a window of this group can have, cut off or not
+                            last = int(first[a] - group[a] * width)
+                            middle, whole = string[last : last - width + 1 + length], string[a : z - 1 + length]
+                            v, dg = xxhash.xxh3_64_intdigest(middle, int(group[a]) + 1), xxhash.xxh3_64_intdigest(whole)
+                            rows.append((v - (1 << 63), dg - (1 << 63), tid, w["start"] + a, z - a, False))
+                if rows:
+                    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=RUN_NAMES)
 
     return run
 
@@ -206,56 +225,68 @@ def text_id(text: str = "text"):
     return F.substring(F.unhex(F.sha2(F.col(text), 256)), 1, 16)
 
 
-def distinct_texts(spark: SparkSession, docs: DataFrame, length: int) -> DataFrame:
-    """``tid, text, copies`` of texts of ``length`` bytes at least, bucketed by tid in the shared folder."""
+def distinct_texts(spark: SparkSession, docs: DataFrame, length: int) -> tuple[DataFrame, str, str]:
+    """``tid, text, copies`` of texts of ``length`` bytes at least, bucketed by tid in the shared folder; the table's name
+    and path. Copies are collapsed before they are shuffled."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.filter(F.octet_length("text") >= length).select(text_id().alias("tid"), "text").repartition(parts, "tid")
+    rows = docs.filter(F.octet_length("text") >= length).select(text_id().alias("tid"), "text")
     rows = rows.groupBy("tid").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     name = f"texts_{uuid.uuid4().hex[:12]}"
-    rows.write.format("parquet").option("compression", "zstd").option("path", new_path(spark, name)).bucketBy(parts, "tid").saveAsTable(name)
-    return spark.table(name)
-
-
-def repeated_spans(spark: SparkSession, texts: DataFrame, length: int = LENGTH, hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """``tid, found``: spans of window starts (lo, hi) that repeat, for each text that has any."""
-    runs = texts.select("tid", "text").mapInArrow(_runs(length), "v long, dg long, tid binary, start int, n int, inner boolean")
-    shared = runs.groupBy("v").agg(F.count("*").alias("c"), F.max("inner").alias("i")).filter("c > 1 or i").select("v")
-    kept, _ = materialize(spark, runs.join(shared, "v", "left_semi"), "runs")
-    # copies of a string are counted before they meet, one of them stands for all
-    strings = kept.groupBy("v", "dg").agg(F.count("*").alias("c"), F.min(F.struct("tid", "start", "n")).alias("at"), F.max("inner").alias("inner"))
-    groups = strings.groupBy("v").agg(F.count("*").alias("k"), F.max("inner").alias("any_inner"), F.sum(F.col("at.n") + length - 1).alias("size"))
-    marked, _ = materialize(spark, strings.join(groups, "v"), "strings")
-    whole = marked.filter("c > 1").select("v", "dg", F.array(F.struct(F.lit(0).alias("lo"), F.col("at.n").alias("hi"))).cast(SPANS).alias("spans"))
-    mixed = marked.filter("k > 1 or any_inner").select("v", "dg", "at.*", (F.col("size") > hot_bytes).alias("hot"))
-
-    def bytes_of(rows: DataFrame) -> DataFrame:
-        wanted = rows.groupBy("tid").agg(F.collect_list(F.struct("v", "dg", "start", "n")).alias("wanted"))  # runs of one text
-        return texts.join(wanted, "tid").select("text", "wanted").mapInArrow(_strings(length), "v long, dg long, string binary")
+    path = new_path(spark, name)
+    rows.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(parts, "tid").saveAsTable(name)
+    return spark.table(name), name, path
+
+
+def with_bytes(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """``tid, text, wanted``: the texts that ``rows`` (tid, v, dg, start, n) name, each with its rows."""
+    wanted = rows.groupBy("tid").agg(F.collect_list(F.struct("v", "dg", "start", "n")).alias("wanted"))  # strings of one text
+    return texts.select("tid", "text").join(wanted, "tid")
+
 
+def repeated_spans(spark: SparkSession, texts: DataFrame, length: int = LENGTH, hot_bytes: int = HOT_BYTES) -> tuple[DataFrame, list[str]]:
+    """``tid, found``: spans of window starts (lo, hi) that repeat, for each text that has any; and the paths it reads."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = bytes_of(mixed.filter("not hot")).repartition(parts, "v").sortWithinPartitions("v")
-    found = dealt.mapInArrow(_merge(length), f"v long, dg long, spans {SPANS}")
-    hot = mixed.filter("hot")
-    if not hot.isEmpty():
-        windows, _ = materialize(spark, bytes_of(hot).mapInArrow(_windows(length), "v long, dg long, pos int, h1 long, h2 long"), "windows")
-        twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("c")).filter("c > 1").select("h1", "h2")
-        at = windows.join(twice, ["h1", "h2"], "left_semi")
-        each = at.groupBy("v", "dg").agg(F.collect_list(F.struct(F.col("pos").alias("lo"), (F.col("pos") + 1).alias("hi"))).alias("spans"))  # windows of one string
-        found = found.unionByName(each.select("v", "dg", F.col("spans").cast(SPANS).alias("spans")))
-    spans, _ = materialize(spark, whole.unionByName(found), "spans")
-    placed = kept.select("v", "dg", "tid", "start").join(spans, ["v", "dg"])
-    placed = placed.select("tid", F.expr(f"cast(transform(spans, x -> struct(x.lo + start as lo, x.hi + start as hi)) as {SPANS})").alias("s"))
-    return placed.groupBy("tid").agg(F.flatten(F.collect_list("s")).alias("found"))
+    rows = texts.select("tid", "text").mapInArrow(_runs(length), RUNS)
+    placed, paths = None, []
+    for width in (*PIECES, 0):
+        rows, at_rows = materialize(spark, rows, "runs")
+        # copies of a string are counted before they meet, one of them stands for all
+        strings = rows.groupBy("v", "dg").agg(F.count("*").alias("c"), F.min(F.struct("tid", "start", "n")).alias("at"), F.max("inner").alias("inner"))
+        strings, at_strings = materialize(spark, strings, "strings")
+        groups = strings.groupBy("v").agg(F.count("*").alias("k"), F.max("inner").alias("i"), F.sum(F.col("at.n") + length - 1).alias("size"))
+        # a skewed join that writes what it joins, so its large partitions can be split
+        mixed, at_mixed = materialize(spark, strings.join(groups.filter("k > 1 or i").select("v", "size"), "v").select("v", "dg", "c", "at.*", "size"), "mixed")
+        dealt = with_bytes(texts, mixed.filter(F.col("size") <= hot_bytes)).select("text", "wanted").mapInArrow(_strings(length), "v long, dg long, string binary")
+        found = dealt.repartition(parts, "v").sortWithinPartitions("v").mapInArrow(_merge(length), f"v long, dg long, spans {SPANS}")
+        # what is found in a string holds at its one place; of a string with copies all windows repeat, at every place
+        single = found.join(mixed.filter("c = 1").select("v", "dg", "tid", "start"), ["v", "dg"])
+        single = single.select("tid", F.expr(f"cast(transform(spans, x -> struct(x.lo + start as lo, x.hi + start as hi)) as {SPANS})").alias("s"))
+        copies = rows.join(strings.filter("c > 1").select("v", "dg"), ["v", "dg"], "left_semi")
+        copies = copies.select("tid", F.array(F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("n")).alias("hi"))).cast(SPANS).alias("s"))
+        here, at_here = materialize(spark, single.unionByName(copies), "placed")
+        placed = here if placed is None else placed.unionByName(here)
+        paths.append(at_here)
+        hot = mixed.filter(F.col("size") > hot_bytes)
+        if not width or hot.isEmpty():
+            remove(spark, at_rows, at_strings, at_mixed)
+            break
+        rows, at_pieces = materialize(spark, with_bytes(texts, hot).mapInArrow(_pieces(length, width), RUNS), "pieces")
+        remove(spark, at_rows, at_strings, at_mixed)
+        paths.append(at_pieces)
+    return placed.groupBy("tid").agg(F.flatten(F.collect_list("s")).alias("found")), paths
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """For each distinct text that loses bytes: ``tid, spans, n_removed, kept``."""
-    texts = distinct_texts(spark, docs, length)
-    found = repeated_spans(spark, texts, length, hot_bytes)
+    texts, name, path = distinct_texts(spark, docs, length)
+    found, paths = repeated_spans(spark, texts, length, hot_bytes)
     once = F.array(F.struct(F.lit(0).alias("lo"), (F.octet_length("text") - length + 1).alias("hi"))).cast(SPANS)
     with_spans = texts.join(found, "tid", "left").select("tid", "text", F.when(F.col("copies") > 1, once).otherwise(F.col("found")).alias("found"))
     cut = with_spans.filter("found is not null").mapInArrow(_cut(length), f"tid binary, spans {SPANS}, n_removed long, kept binary")
-    return materialize(spark, cut, "cut")[0]
+    cut, _ = materialize(spark, cut, "cut")
+    spark.sql(f"DROP TABLE {name}")
+    remove(spark, path, *paths)
+    return cut
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
