@@ -1,18 +1,24 @@
-"""Shared helpers: the working folder, written intermediate tables, and their removal."""
+"""Shared helpers: the working folder, written intermediate tables, their removal, row addresses, expressions."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where it is unset (tests), a local temporary folder."""
+    """The shared folder of ``spark.checkpoint.dir``. Where it is unset a local master gets a temporary folder; a cluster
+    must name one, since each machine would see only its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     folder = "file://" + tempfile.mkdtemp(prefix="marlstone-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -37,3 +43,26 @@ def remove(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def unused(name: str, columns: Iterable[str]) -> str:
+    """``name``, with underscores put before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def with_address(spark: SparkSession, docs: DataFrame, file: str, row: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with two columns that tell its rows apart, the same whenever they are computed: the place in the Parquet
+    file a row comes from. What does not come from files is written first; the paths of that are returned."""
+    try:
+        return docs.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)), []
+    except AnalysisException:
+        written, path = materialize(spark, docs.withColumn(file, F.lit(0).cast("long")).withColumn(row, F.monotonically_increasing_id()), "rows")
+        return written, [path]
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -1,17 +1,25 @@
-"""The pipeline's near-duplicate stage: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Operator 8 for the pipeline's stage: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-The join is exact. Equal sets are collapsed first. Shingles have one order, rarest first by a vector of hashed counts over
-all documents (any order gives the same result; a good one keeps the lists short). Two sets of n and m shingles that reach
-the threshold share one of the first n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1 shingles, so each set enters the posting
-lists of its prefix only, and every pair that can be linked meets in a list. A bitmap of each set (the parity of its
-shingles by hash) bounds from below how many shingles two sets don't share; pairs beyond what the threshold allows are
-dropped within their list, and the others are verified on the whole sets.
+Equal sets are collapsed first. The SimHash fingerprints of the sets go through operator 8's byte-position index with its
+count filter, and what it links is verified on the whole sets. At similarity 0.8 about ten of 64 bits differ, which no
+guaranteed number of shared bytes reaches, so an exact search adds the links that fingerprints miss:
 
-Components are what counts, not pairs, so there are two passes: first each list links its members in a chain and to its
+Shingles have one order, rarest first by a vector of hashed counts over all documents (any order gives the same result; a
+good one keeps the lists short). Two sets of n and m shingles that reach the threshold share one of the first
+n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1 shingles, so each set enters the posting lists of its prefix only, and every
+pair that can be linked meets in a list. A bitmap of each set (the parity of its shingles by hash) bounds from below how
+many shingles two sets don't share; pairs beyond what the threshold allows are dropped within their list, and the others
+are verified on the whole sets.
+
+Components are what counts, not pairs: after the fingerprints' links each list links its members in a chain and to its
 first member; then only members of different components are paired, so a large group of copies does not give its square.
 
+Sets are not stored: they are made from the texts where they are needed, and kept only for texts that share a prefix.
+
 Defined results: words are lower-cased and split at white space; a text of fewer than five words is one shingle; null and
-empty texts and texts of white space are equal; shingles are compared by 64-bit hashes.
+empty texts and texts of white space are equal; shingles are compared by 64-bit hashes. Of a component the row of the
+smallest doc_id stays, of several such rows the first in the input's files, and null doc_ids only where there is no other.
+Texts are read whole; an empty table gives no rows; all columns pass through, whatever they are called.
 """
 
 from __future__ import annotations
@@ -24,7 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import materialize, remove
+from marlstone.llm import simhash
+from marlstone.llm.common import materialize, remove, unused, with_address
 from marlstone.llm.graph import components
 
 WIDTH = 5
@@ -70,23 +79,35 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return common * DEN >= (len(a) + len(b) - common) * NUM
 
 
-def _with_sets(batches):
+MARKED = [T.StructField(c, T.LongType()) for c in ("file", "row", "fp")] + [T.StructField(c, T.BinaryType()) for c in ("digest", "counts")]
+
+
+def _marked(batches):
+    """file, row, doc_id, text to file, row, fp, digest of the set, doc_id; the task's last row has its counts of shingles
+    and nothing else."""
+    total, kind = np.zeros(COUNTERS, dtype=np.int64), None
     for batch in batches:
+        kind = batch.column("doc_id").type
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             sets = [shingles(t) for t in part.column("text").to_pylist()]
-            digests = [hashlib.md5(s.tobytes()).digest() for s in sets]
-            columns = [*part.columns, pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "digest", "shingles"])
-
-
-def _counts(batches):
-    total = np.zeros(COUNTERS, dtype=np.int64)
+            total += np.bincount(np.concatenate([np.zeros(0, np.int64), *sets]) & (COUNTERS - 1), minlength=COUNTERS)
+            fps = np.array([simhash.majority(s.view(np.uint64)) for s in sets], dtype=np.uint64).view(np.int64)
+            digests = pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary())
+            columns = [part.column("file"), part.column("row"), pa.array(fps), digests, pa.nulls(len(sets), pa.binary()), part.column("doc_id")]
+            yield pa.RecordBatch.from_arrays(columns, names=[*[f.name for f in MARKED], "doc_id"])
+    if kind is not None:
+        none = [pa.nulls(1, pa.int64())] * 3
+        columns = [*none, pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary()), pa.nulls(1, kind)]
+        yield pa.RecordBatch.from_arrays(columns, names=[*[f.name for f in MARKED], "doc_id"])
+
+
+def _sets(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
-            joined = b"".join(batch.column("shingles").slice(at, 512).to_pylist())
-            total += np.bincount(np.frombuffer(joined, np.int64) & (COUNTERS - 1), minlength=COUNTERS)
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+            part = batch.slice(at, 512)
+            sets = pa.array([shingles(t).tobytes() for t in part.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("id"), sets], names=["id", "shingles"])
 
 
 def _add(table: pa.Table) -> pa.Table:
@@ -119,8 +140,8 @@ def _postings(counts):
         often = counts.value
         for batch in batches:
             tokens, ids, sizes = [], [], []
-            for i, s in zip(batch.column("id").to_pylist(), batch.column("shingles")):
-                h = np.frombuffer(s.as_buffer(), np.int64)
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+                h = shingles(text)
                 first = h[np.lexsort((h, often[h & (COUNTERS - 1)]))][: prefix_length(len(h))]
                 tokens.append(first)
                 ids.append(np.full(len(first), i))
@@ -221,41 +242,62 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
-def classes(spark: SparkSession, sets: DataFrame) -> DataFrame:
-    """``a, b``: every set (columns id, shingles) that is linked to one of a smaller id, and the least id of its component."""
-    vectors = sets.select("shingles").mapInArrow(_counts, "v binary").withColumn("g", F.spark_partition_id() % GROUPS)
+def fingerprint_pairs(spark: SparkSession, groups: DataFrame) -> DataFrame:
+    """``a, b``: pairs of sets (columns id, fp) that operator 8 links, enough to connect all that it connects."""
+    first = groups.groupBy("fp").agg(F.min("id").alias("id"))
+    link = simhash.links(first)
+    found = link.join(first.select(F.col("fp").alias("a"), F.col("id").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("id").alias("y")), "b")
+    same = groups.join(first.select("fp", F.col("id").alias("x")), "fp").filter("id <> x").select(F.col("x").alias("a"), F.col("id").alias("b"))
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(same)
+
+
+def counts_of(vectors: DataFrame) -> np.ndarray:
+    """The sum of the tasks' count vectors, in GROUPS parts that the driver adds up."""
     counts = np.zeros(COUNTERS, dtype=np.int64)
-    for r in vectors.groupBy("g").applyInArrow(_add, "v binary").toLocalIterator():
+    parts = vectors.select(F.col("counts").alias("v")).withColumn("g", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
+    for r in parts.groupBy("g").applyInArrow(_add, "v binary").toLocalIterator():
         counts += np.frombuffer(r["v"], np.int64)
+    return counts
+
+
+def classes(spark: SparkSession, groups: DataFrame, texts: DataFrame, counts: np.ndarray) -> DataFrame:
+    """``a, b``: every set (columns id, fp; its text in ``texts``) that is linked to one of a smaller id, and the least id
+    of its component."""
     shared = spark.sparkContext.broadcast(counts)
-    postings = sets.mapInArrow(_postings(shared), "token long, id long, n long")
+    by_print, at_print = materialize(spark, fingerprint_pairs(spark, groups), "pairs")
+    postings = texts.mapInArrow(_postings(shared), "token long, id long, n long")
     lists = postings.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(_shared, "token long, id long, n long")
     lists, at_lists = materialize(spark, lists, "lists")
+    needed = lists.select("id").unionByName(by_print.select(F.col("a").alias("id"))).unionByName(by_print.select(F.col("b").alias("id"))).distinct()
+    sets, at_sets = materialize(spark, texts.join(needed, "id", "left_semi").mapInArrow(_sets, "id long, shingles binary"), "sets")
     lists = lists.join(sets.mapInArrow(_bitmaps, "id long, bits binary"), "id")
     ordered = lists.repartition("token").sortWithinPartitions("token", "n", "id")
-    pairs, at_pairs = materialize(spark, ordered.mapInArrow(_first_pairs, "a long, b long").distinct(), "pairs")
+    pairs, at_pairs = materialize(spark, ordered.mapInArrow(_first_pairs, "a long, b long").unionByName(by_print).distinct(), "pairs")
     first, at_first = materialize(spark, _links(pairs, sets), "links")
     roots = components(spark, first)
     ordered = _rooted(lists, roots).repartition("token").sortWithinPartitions("token", "n", "id")
     others, at_others = materialize(spark, ordered.mapInArrow(_other_pairs, "a long, b long").distinct(), "pairs")
     other, at_other = materialize(spark, _links(others, sets), "links")
     out = components(spark, roots.unionByName(other))
-    remove(spark, at_lists, at_pairs, at_first, at_others, at_other)
+    remove(spark, at_print, at_lists, at_sets, at_pairs, at_first, at_others, at_other)
     return out
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id, the first such row if it repeats."""
-    fields = [T.StructField("row", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("shingles", T.BinaryType())]
-    numbered, at_rows = materialize(spark, docs.withColumn("row", F.monotonically_increasing_id()), "rows")
-    marked = numbered.select("doc_id", "row", "text").mapInArrow(_with_sets, T.StructType([docs.schema["doc_id"], fields[0], docs.schema["text"], *fields[1:]])).drop("text")
+    """``docs`` with one row of each component."""
+    file, row = unused("file", docs.columns), unused("row", docs.columns)
+    addressed, paths = with_address(spark, docs, file, row)
+    at = [F.col(file).alias("file"), F.col(row).alias("row")]
+    marked = addressed.select(*at, "doc_id", "text").mapInArrow(_marked, T.StructType([*MARKED, docs.schema["doc_id"]]))
     marked, at_marked = materialize(spark, marked, "marked")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    groups, at_groups = materialize(spark, marked.groupBy("digest").agg(F.min(order).alias("o"), F.min("row").alias("id")), "groups")
-    sets, at_sets = materialize(spark, marked.join(groups.select(F.col("id").alias("row")), "row", "left_semi").select(F.col("row").alias("id"), "shingles"), "sets")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "file", "row")
+    groups = marked.filter("counts is null").groupBy("digest").agg(F.min(order).alias("o"), F.max("fp").alias("fp"))
+    groups, at_groups = materialize(spark, groups.select(F.monotonically_increasing_id().alias("id"), "o", "fp"), "groups")
+    counts = counts_of(marked.filter("counts is not null"))
     remove(spark, at_marked)
-    roots = classes(spark, sets)
-    best = _rooted(groups, roots).groupBy("root").agg(F.min("o").alias("o")).select("o.row")
+    texts = addressed.select(*at, "text").join(groups.select("id", "o.file", "o.row"), ["file", "row"]).select("id", "text")
+    roots = classes(spark, groups, texts, counts)
+    best = _rooted(groups, roots).groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.file").alias(file), F.col("o.row").alias(row))
     best, _ = materialize(spark, best, "best")
-    remove(spark, at_groups, at_sets)
-    return numbered.join(best, "row", "left_semi").select(*docs.columns)
+    remove(spark, at_groups)
+    return addressed.join(best, [file, row], "left_semi").select(*docs.columns)

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -65,3 +67,16 @@ def test_stage_on_the_tables(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     want = kept([tuple(r) for r in docs.select("doc_id", "text").orderBy("doc_id").collect()])
     assert sorted(r["doc_id"] for r in P.near_duplicates(spark, docs, sf_dir).collect()) == want
+
+
+def test_stage_keeps_clashing_columns_and_repeated_rows(spark):
+    from marlstone.llm.near_copies import keep_one
+
+    rows = [(2, "a b c d e f g", "mine", "fp0"), (1, "a b c d e f g", "other", "fp1"), (1, "a b c d e f g", "again", "fp2"), (None, "a b c d e f g", "null", "fp3"), (3, None, "none", "fp4"), (None, "q r s t u v", "alone", "fp5")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, fp string").withColumn("file", F.lit("f")).withColumn("digest", F.lit("d"))
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/clash.parquet"
+    docs.coalesce(1).write.mode("overwrite").parquet(path)
+    for table in (docs.coalesce(1), spark.read.parquet(path)):
+        got = sorted(keep_one(spark, table).collect(), key=lambda r: r["fp"])
+        assert [tuple(r) for r in got] == [(1, "a b c d e f g", "other", "fp1", "f", "d"), (3, None, "none", "fp4", "f", "d"), (None, "q r s t u v", "alone", "fp5", "f", "d")]
+    assert keep_one(spark, docs.limit(0)).count() == 0

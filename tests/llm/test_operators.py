@@ -304,8 +304,8 @@ def brute_simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
-def test_op8(spark, docs, odd, empty):
-    from marlstone.llm.simhash import near_duplicates
+def test_op8(spark, docs, odd, empty, sf_dir):
+    from marlstone.llm.simhash import near_duplicates, op8_simhash
 
     for rows in (docs, odd):
         got = near_duplicates(spark, rows).collect()
@@ -330,27 +330,28 @@ def test_op8(spark, docs, odd, empty):
         want = Counter((r["doc_id"], min(groups.get(find(i), [None]))) for i, r in enumerate(have))
         assert Counter((r["doc_id"], r["component_id"]) for r in got) == want
     assert near_duplicates(spark, empty).count() == 0
+    query = {(r["doc_id"], r["fingerprint"]) for r in op8_simhash(spark, sf_dir).collect()}
+    assert query == {(r["doc_id"], f"{brute_simhash(r['text']):016x}") for r in docs.collect()}
+    clash = near_duplicates(spark, odd.withColumn("fp", F.lit("x")).withColumn("component_id", F.lit("y")).withColumn("root", F.lit("z"))).collect()
+    assert {r["root"] for r in clash} == {"z"} and {type(r["fp"]) for r in clash} == {int}
 
 
-def test_forest_large_lists_connect_alike(monkeypatch):
-    from marlstone.llm import simhash
+def test_op8_split_lists_link_alike(spark):
+    from marlstone.llm.graph import components
+    from marlstone.llm.simhash import links
 
     rng = np.random.default_rng(6)
-    open_bits = rng.integers(0, 1 << 12, 900)
-    fps = np.unique(open_bits.astype(np.int64))
-
-    def groups(pairs):
-        label = {int(f): int(f) for f in fps}
-        find = lambda x: x if label[x] == x else find(label[x])
-        for a, b in pairs:
-            for x, y in zip(a.tolist(), b.tolist()):
-                assert (x ^ y).bit_count() <= 3
-                label[find(x)] = find(y)
-        return {frozenset(x for x in label if find(x) == r) for r in {find(x) for x in label}}
-
-    small = groups(simhash.forest(fps, (3, 4, 5, 6, 7)))
-    monkeypatch.setattr(simhash, "DIRECT", 10)
-    assert groups(simhash.forest(fps, (3, 4, 5, 6, 7))) == small
+    fps = np.unique(np.concatenate([rng.integers(0, 1 << 12, 900), rng.integers(0, 1 << 62, 100), rng.integers(0, 1 << 9, 100) - (1 << 62)]))
+    label = {int(f): int(f) for f in fps}
+    find = lambda x: x if label[x] == x else find(label[x])
+    for i, x in enumerate(fps.tolist()):
+        for y in fps[:i][np.bitwise_count((fps[:i] ^ x).view(np.uint64)) <= 3].tolist():
+            label[find(x)] = find(y)
+    want = {frozenset(x for x in label if find(x) == r) for r in {find(x) for x in label}}
+    table = spark.createDataFrame([(int(f),) for f in fps], "fp long")
+    for hot in (1 << 20, 5):
+        got = {int(f): int(f) for f in fps} | {r["a"]: r["b"] for r in components(spark, links(table, hot)).collect()}
+        assert {frozenset(x for x in got if got[x] == r) for r in set(got.values())} == want
 
 
 def test_op9(spark, sf_dir, odd, empty):
@@ -411,11 +412,6 @@ def test_pipeline_stages(spark, docs, sf_dir, odd, empty):
                 made.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/test-{name}-{rows is odd}")
                 out = spark.read.parquet(path)
         assert (made.count() > 0) == (rows is odd)
-    one = P.near_duplicates(spark, docs, sf_dir)
-    from marlstone.llm.simhash import near_duplicates
-
-    classes = {r["component_id"] for r in near_duplicates(spark, docs).collect()}
-    assert {r["doc_id"] for r in one.collect()} == classes
 
 
 def test_entry_runs_without_the_subpackage():
