@@ -2,12 +2,15 @@
 
 The network embeds bytes, applies filters of several widths, takes the maximum over a fixed-length window and ends in a
 softmax. It is trained in numpy on windows of a bounded number of labelled texts (``TEXTS_PER_LANG`` for each language,
-``MAX_LANGS`` languages); prediction covers every window of every whole text, in batches, and averages the windows'
-probabilities by their length. For prediction the embedding and the filters are folded into one table for each filter
-position, so that a convolution is a sum of table rows.
-
-Defined results: null texts and texts without a letter are ``und`` with score 0; empty texts likewise; if there is
-nothing to learn from, all are ``und``; repeated rows are predicted one by one; a null doc_id counts as held out.
+``TEXTS`` in all), and on as many windows of noise, which make a class of their own. Prediction covers every window of
+every whole text, in batches, and averages the windows' probabilities by their length: ``score`` is the best language's
+share of what the languages have, ``fit`` what the noise class leaves to all languages. For prediction the embedding and
+the filters are folded into one table for each filter position, so that a convolution is a sum of table rows.
+
+Defined results: null texts and texts without a letter are ``und`` with score and fit 0; empty texts likewise; if there is
+nothing to learn from, all are ``und``; of languages with equal scores the first by name is taken; repeated rows are
+predicted one by one; a null doc_id counts as held out; texts are read whole, of any length; an empty table gives no rows;
+columns ``lang_pred``, ``score`` and ``fit`` of the input are replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 12
-TEXTS_PER_LANG = 800
-MAX_LANGS = 64
+#: Labelled texts to learn from: for a language, and in all.
+TEXTS_PER_LANG, TEXTS = 800, 25_600
 WINDOWS_PER_TEXT = 2
 UNDETERMINED = "und"
 
@@ -32,28 +35,43 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5) == 0
 
 
-def training_windows(docs: DataFrame, texts_per_lang: int = TEXTS_PER_LANG) -> tuple[list[bytes], list[str]]:
-    """Windows of at most ``texts_per_lang`` labelled texts of each of the ``MAX_LANGS`` most frequent languages, in an
-    order that depends on doc_id only. The rows that reach the driver are bounded by these parameters."""
+def training_windows(docs: DataFrame, texts_per_lang: int = TEXTS_PER_LANG, texts: int = TEXTS) -> tuple[list[bytes], list[str]]:
+    """Windows of labelled texts, ``WINDOWS_PER_TEXT`` of each, in an order that depends on doc_id only. Every label has its
+    share: ``texts_per_lang`` texts at most, and fewer where the labels would come to more than ``texts`` together (one
+    each at least). So the rows that reach the driver are bounded by these parameters and the number of labels."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & ~held_out())
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    sizes = [(r["lang"], r["n"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()]
     if not sizes:
         return [], []
-    draw = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1_000_000))
+    each = max(1, min(texts_per_lang, texts // len(sizes)))
     # a share of each language such that about twice the texts needed come through, then exactly the first of them
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1_000_000, int(2_000_000 * texts_per_lang / n) + 1))) for k, n in sizes.items()])
-    some = labelled.withColumn("draw", draw).filter(F.col("draw") < share)
-    first = Window.partitionBy("lang").orderBy("draw", "doc_id")
-    last = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
-    windows = [F.substring("text", (F.pmod(F.xxhash64(F.lit(k), "doc_id"), last) + 1).cast("int"), F.lit(WINDOW)) for k in range(WINDOWS_PER_TEXT)]
-    picked = some.select("doc_id", "lang", "draw", *[w.alias(f"w{k}") for k, w in enumerate(windows)]).withColumn("place", F.row_number().over(first))
-    rows = picked.filter(F.col("place") <= texts_per_lang).orderBy("lang", "place").collect()
-    texts, langs = [], []
-    for r in rows:
-        for k in range(WINDOWS_PER_TEXT):
-            texts.append(r[f"w{k}"].encode("utf-8", "ignore")[:WINDOW])
-            langs.append(r["lang"])
-    return texts, langs
+    shares = docs.sparkSession.createDataFrame([(k, min(1_000_000, int(2_000_000 * each / n) + 1)) for k, n in sizes], "lang string, share long")
+    some = labelled.withColumn("draw", F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1_000_000))).join(F.broadcast(shares), "lang").filter("draw < share")
+    raw = F.encode("text", "UTF-8")
+    last = F.greatest(F.octet_length("text") - WINDOW, F.lit(0)) + 1
+    windows = [F.substring(raw, (F.pmod(F.xxhash64(F.lit(k), "doc_id"), last) + 1).cast("int"), F.lit(WINDOW)) for k in range(WINDOWS_PER_TEXT)]
+    order = ["draw", "doc_id", *[f"w{k}" for k in range(WINDOWS_PER_TEXT)]]
+    picked = some.select("doc_id", "lang", "draw", *[w.alias(f"w{k}") for k, w in enumerate(windows)]).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+    rows = picked.filter(F.col("place") <= each).orderBy("lang", "place").collect()
+    return [bytes(r[f"w{k}"]) for r in rows for k in range(WINDOWS_PER_TEXT)], [r["lang"] for r in rows for _ in range(WINDOWS_PER_TEXT)]
+
+
+def noise_windows(texts: list[bytes], rng: np.random.Generator) -> list[bytes]:
+    """Windows of no language: every second text with its bytes in another order, and as many of random printable bytes,
+    random letters of other scripts, or one short string again and again."""
+    out = []
+    for k, t in enumerate(texts[::2]):
+        out.append(rng.permutation(np.frombuffer(t, dtype=np.uint8)).tobytes())
+        n = int(rng.integers(24, WINDOW + 1))
+        if k % 3 == 0:
+            out.append(rng.integers(33, 127, n).astype(np.uint8).tobytes())
+        elif k % 3 == 1:
+            first = int(rng.integers(0x370, 0x9F00))
+            out.append("".join(map(chr, rng.integers(first, first + 64, n // 3))).encode()[:WINDOW])
+        else:
+            unit = rng.integers(32, 127, int(rng.integers(1, 12))).astype(np.uint8).tobytes()
+            out.append((unit * WINDOW)[:n])
+    return out
 
 
 def as_windows(texts: list[bytes]) -> np.ndarray:
@@ -61,11 +79,15 @@ def as_windows(texts: list[bytes]) -> np.ndarray:
 
 
 def train(texts: list[bytes], langs: list[str], epochs: int = 4, batch: int = 64, rate: float = 0.003, seed: int = 9) -> dict:
-    """Adam on cross-entropy. Returns the model: names, folded tables, bias of filters, output weights."""
+    """Adam on cross-entropy. Returns the model: names, folded tables, bias of filters, output weights; noise is the class
+    after the names. A quarter of the windows are cut short, since texts can be."""
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
-    x, y = as_windows(texts), np.array([names.index(v) for v in langs])
-    p = {"E": rng.normal(0, 0.5, (256, EMBED)), "U": rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(names))), "c": np.zeros(len(names))}
+    number = {v: k for k, v in enumerate(names)}
+    noise = noise_windows(texts, rng)
+    texts = [t[: int(rng.integers(4, WINDOW))] if rng.random() < 0.25 else t for t in [*texts, *noise]]
+    x, y = as_windows(texts), np.array([number[v] for v in langs] + [len(names)] * len(noise))
+    p = {"E": rng.normal(0, 0.5, (256, EMBED)), "U": rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(names) + 1)), "c": np.zeros(len(names) + 1)}
     for w in WIDTHS:
         p[f"W{w}"] = rng.normal(0, 1 / np.sqrt(w * EMBED), (w * EMBED, FILTERS))
         p[f"b{w}"] = np.zeros(FILTERS)
@@ -113,7 +135,7 @@ def train(texts: list[bytes], langs: list[str], epochs: int = 4, batch: int = 64
 
 def probabilities(model: dict, x: np.ndarray, block: int = 64) -> np.ndarray:
     """Softmax of windows (rows of bytes), ``block`` windows at a time."""
-    out = np.empty((len(x), len(model["names"])), dtype=np.float32)
+    out = np.empty((len(x), len(model["c"])), dtype=np.float32)
     for lo in range(0, len(x), block):
         xb = x[lo : lo + block].T  # byte position first: the maximum runs over whole planes
         pooled = []
@@ -138,7 +160,7 @@ def _predict(model_b):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = part.column("text").to_pylist()
-                pred, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+                pred, score, fit = [UNDETERMINED] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
                 rows, pieces, owner, weight = [], [], [], []
                 for i, t in enumerate(texts):
                     if t and names and any(map(str.isalpha, t)):
@@ -154,28 +176,28 @@ def _predict(model_b):
                     starts = np.searchsorted(np.array(owner), np.arange(len(rows)))
                     total = np.add.reduceat(q.astype(np.float64), starts, axis=0)
                     total /= np.add.reduceat(np.array(weight, dtype=np.float64), starts)[:, None]
-                    best = total.argmax(axis=1)
-                    for i, k, s in zip(rows, best.tolist(), total.max(axis=1).tolist()):
-                        pred[i], score[i] = names[k], min(1.0, s)
-                kept = [part.column(c) for c in part.schema.names if c != "text"]
-                columns = [*kept, part.column("text"), pa.array(pred, pa.string()), pa.array(score, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*[c for c in part.schema.names if c != "text"], "text", "lang_pred", "score"])
+                    known = total[:, :-1]
+                    left = np.maximum(known.sum(axis=1), 1e-12)
+                    for i, k, s, f in zip(rows, known.argmax(axis=1).tolist(), (known.max(axis=1) / left).tolist(), left.tolist()):
+                        pred[i], score[i], fit[i] = names[k], min(1.0, s), min(1.0, f)
+                made = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(fit, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, "lang_pred", "score", "fit"])
 
     return run
 
 
 def identify(spark: SparkSession, docs: DataFrame, learn_from: DataFrame | None = None, texts_per_lang: int = TEXTS_PER_LANG) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, the network trained on ``learn_from`` (by default ``docs``)."""
+    """``docs`` with ``lang_pred``, ``score`` and ``fit``, the network trained on ``learn_from`` (by default ``docs``)."""
     source = docs if learn_from is None else learn_from
     texts, langs = training_windows(source.select("doc_id", "text", "lang"), texts_per_lang)
     model = train(texts, langs) if texts else {"names": []}
-    shared = spark.sparkContext.broadcast(model)  # a few hundred KB, fixed by the parameters above
-    rest = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
-    schema = T.StructType([docs.schema[c] for c in rest] + [docs.schema["text"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*rest, "text").mapInArrow(_predict(shared), schema)
+    shared = spark.sparkContext.broadcast(model)  # a few hundred KB, and 48 numbers more for each label
+    docs = docs.drop("lang_pred", "score", "fit")
+    made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("fit", T.DoubleType())]
+    return docs.mapInArrow(_predict(shared), T.StructType([*docs.schema.fields, *made]))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = identify(spark, docs.select("doc_id", "text"), docs.select("doc_id", "text", "lang"))
-    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "fit")
