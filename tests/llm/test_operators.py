@@ -178,8 +178,8 @@ def brute_tiles(item, text, least):
         covered += k
 
 
-def test_op4_tiling():
-    from marlstone.llm.decontamination import Index, tile
+def test_op4_tiling(spark):
+    from marlstone.llm.decontamination import contaminated_pairs, tile
 
     rng = random.Random(4)
     for _ in range(150):
@@ -187,11 +187,40 @@ def test_op4_tiling():
         cut = rng.randint(1, len(item))
         text = np.concatenate([[rng.randrange(30) for _ in range(5)], item[cut:], [rng.randrange(30) for _ in range(3)], item[:cut]]).astype(np.int64)
         assert sum(k for *_, k in tile(item.copy(), text, 3)) == brute_tiles(item.tolist(), text.tolist(), 3)
+    for _ in range(60):  # few letters: many places for each window
+        item, text = (np.array([rng.randrange(2) for _ in range(rng.randint(5, 14))]) for _ in range(2))
+        assert sum(k for *_, k in tile(item, text, 3)) >= 0.6 * brute_tiles(item.tolist(), text.tolist(), 3)
+    assert tile(np.zeros(400, np.int64), np.zeros(20_000, np.int64), 5) == [(0, 0, 400)]
     words = [f"w{k}" for k in range(30)]
     moved = " ".join(["zz", *words[20:], "yy", *words[:10], "xx", *words[10:20]])
-    assert Index([(9, " ".join(words))]).matches(moved) == [(9, 1.0, 3, 10)]
-    assert Index([(9, " ".join(words))]).matches(" ".join(words[:14])) == []
-    assert Index([(1, ""), (2, "a b")]).matches("x a b y") == [(2, 1.0, 1, 2)]
+    items = spark.createDataFrame([(9, " ".join(words)), (1, ""), (2, "a b"), (3, None), (4, "?!"), (2, "a b")], "item_id long, text string")
+    rows = spark.createDataFrame([(1, moved), (2, " ".join(words[:14])), (3, "x A_b y"), (3, "x A_b y"), (4, None), (None, moved)], "doc_id long, text string")
+    got = sorted((tuple(r) for r in contaminated_pairs(spark, rows, items).collect()), key=str)
+    assert got == sorted([(1, 9, 1.0, 3, 10), (None, 9, 1.0, 3, 10), *[(3, 2, 1.0, 1, 2)] * 4], key=str)
+
+
+def test_op4_query_by_brute_force(spark, docs, sf_dir):
+    from marlstone.llm.decontamination import op4_decontamination
+
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    items = [(r["item_id"], words(r["text"])) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    want = {}
+    for d in docs.collect():
+        text = words(d["text"])
+        grams = {tuple(text[k : k + 5]) for k in range(len(text) - 4)}
+        for item_id, item in items:
+            near = [k for k in range(len(item) - 4) if tuple(item[k : k + 5]) in grams]
+            if 10 * len(near) >= len(item):  # as many seeds as half its tokens in tiles of five hold
+                mine = {tuple(item[k : k + 5]) for k in near}
+                inside = sorted({p for k in range(len(text) - 4) if tuple(text[k : k + 5]) in mine for p in range(k, k + 5)})
+                part = []
+                for k, p in enumerate(inside):
+                    part += ([object()] if k and inside[k - 1] + 1 < p else []) + [text[p]]
+                covered = brute_tiles(item, part, 5) / len(item)
+                if covered >= 0.5:
+                    want[(d["doc_id"], item_id)] = covered
+    got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in op4_decontamination(spark, sf_dir).collect()}
+    assert got == pytest.approx(want)
 
 
 def test_op4_finds_planted(spark, docs, odd, empty, sf_dir):
@@ -207,6 +236,8 @@ def test_op4_finds_planted(spark, docs, odd, empty, sf_dir):
     assert contaminated_pairs(spark, odd, bench).count() == 0 and contaminated_pairs(spark, empty, bench).count() == 0
     assert contaminated_pairs(spark, docs, bench.limit(0)).count() == 0
     assert without_contaminated(spark, odd, bench).count() == len(ODD)
+    clash = docs.withColumn("file", F.lit("f")).withColumn("row", F.lit("r")).withColumn("key", F.lit("k"))
+    assert {(r["file"], r["row"], r["key"]) for r in without_contaminated(spark, clash, bench).collect()} == {("f", "r", "k")}
 
 
 def luhn(s):
