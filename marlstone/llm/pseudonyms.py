@@ -6,20 +6,31 @@ with SHA-256 of key, format and half as the round function. A permutation has no
 across documents and different values stay different. Texts without candidates come back as they are. Only built-in
 expressions run; no shuffle is needed.
 
-Kinds: e-mail (local part), payment card (the check digit is computed anew), IBAN (country kept, check digits anew), IPv4,
-telephone (country code kept), social security number, dates from 1900 to 2099 (ISO and two slash or dot forms), cloud
-access keys, and values assigned to password, token, secret or api key.
+Kinds: e-mail (local part; the domain stays as it is), payment card (the check digit is computed anew), IBAN (country kept,
+check digits anew), IPv4, telephone (country code kept), social security number (permuted among the valid ones), dates from
+1900 to 2099 (ISO and two slash or dot forms, permuted among the days of these years), cloud access keys, and values
+assigned to password, token, secret or api key.
+
+The key decides all: who has it can undo the pseudonyms. It comes from the setting ``KEY_SETTING``, which must be kept if
+values are to stay linked between runs. Where it is unset one is drawn at random for the application, so values are linked
+within it only. The key is part of the plan, so plans and event logs have to be kept as safe as the key.
 
 Defined results: null texts stay null with 0 replacements; empty texts stay empty; rows are judged one by one, so ties and
-repeated rows need no rule; other columns pass through, a clashing ``n_pii`` is replaced.
+repeated rows need no rule; an empty table stays empty; texts are read whole, of any length; other columns pass through,
+whatever they are called, and a clashing ``n_pii`` is replaced.
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROUNDS = 8
+from marlstone.llm.common import let, unused
+
+KEY_SETTING = "spark.marlstone.pii.key"
+ROUNDS = 10
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 # Runs are bounded and begin where no character of their own kind stands before them, so scans stay linear.
 EMAIL = "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\\.[A-Za-z0-9-]{1,63}){1,8}"
@@ -47,15 +58,21 @@ _ABROAD = f"\\+[1-9][0-9]{{0,2}}[ .-]?(?:\\([0-9]{{2,4}}\\)|[0-9]{{2,4}})(?:{_NE
 PHONE = f"(?<![0-9+])(?:{_NANP}|{_ABROAD}|\\([0-9]{{3}}\\) ?[0-9]{{3}}-[0-9]{{4}}|[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}})(?![0-9])"
 KINDS = {"email": EMAIL, "access_key": ACCESS_KEY, "assigned": ASSIGNED, "iban": IBAN, "ipv4": IPV4, "date": DATE, "ssn": SSN, "phone": PHONE, "card": CARD}
 CANDIDATE = "|".join(KINDS.values())
+#: What every candidate holds: a digit, or an at sign, colon or equals sign, or the beginning of an access key.
+GATE = "[0-9@:=]|A[KS]IA"
 
 DAY_ZERO = "1900-01-01"
-#: 250 * 292 days are permuted among themselves, the 49 days left of 2099 rotate.
-DATE_HALVES = (250, 292)
+#: Their product is the number of days from 1900 to 2099.
+DATE_HALVES = (17, 4297)
+#: Social security numbers: 898 areas (not 000, 666 or from 900 on) of 99 groups, and 9999 serials.
+SSN_HALVES = (898 * 99, 9999)
+_KEYS: dict[str, str] = {}
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def key_of(spark: SparkSession) -> str:
+    """The key of KEY_SETTING, or one drawn for this application."""
+    found = spark.conf.get(KEY_SETTING, None)
+    return found or _KEYS.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
 
 
 def feistel(x: Column, m1: Column, m2: Column, tweak: Column, key: str) -> Column:
@@ -207,8 +224,7 @@ def _date(m: Column, key: str) -> Column:
     a, b = DATE_HALVES
 
     def body(offset: Column) -> Column:
-        far = F.lit(a * b) + F.pmod(offset - a * b + 17, F.lit(49))
-        fresh = F.when(offset < a * b, feistel(offset.cast("long"), F.lit(a).cast("long"), F.lit(b).cast("long"), F.lit("date"), key)).otherwise(far)
+        fresh = feistel(offset.cast("long"), F.lit(a).cast("long"), F.lit(b).cast("long"), F.lit("date"), key)
         out = F.date_add(F.lit(DAY_ZERO).cast("date"), fresh.cast("int"))
         slashed = F.when(F.try_to_date(m, "MM/dd/yyyy").isNotNull(), F.date_format(out, "MM/dd/yyyy")).otherwise(F.date_format(out, "dd/MM/yyyy"))
         return F.when(iso, F.date_format(out, "yyyy-MM-dd")).when(dot, F.date_format(out, "dd.MM.yyyy")).otherwise(slashed)
@@ -216,6 +232,21 @@ def _date(m: Column, key: str) -> Column:
     return F.when(day.isNull(), m).otherwise(let(F.datediff(day, F.lit(DAY_ZERO).cast("date")), body))
 
 
+def _ssn(m: Column, key: str) -> Column:
+    """Area, group and serial counted among the valid ones, permuted, and written again."""
+    part = lambda at, n: F.substring(m, at, n).cast("long")
+    area = part(1, 3)
+    a, b = SSN_HALVES
+    rank = ((area - 1 - (area > 666).cast("long")) * 99 + part(5, 2) - 1) * 9999 + part(8, 4) - 1
+
+    def body(x: Column) -> Column:
+        whole = F.call_function("div", x, F.lit(9999))
+        fresh = F.call_function("div", whole, F.lit(99)) + 1
+        return F.concat_ws("-", F.lpad((fresh + (fresh >= 666).cast("long")).cast("string"), 3, "0"), F.lpad((whole % 99 + 1).cast("string"), 2, "0"), F.lpad((x % 9999 + 1).cast("string"), 4, "0"))
+
+    return let(feistel(rank, F.lit(a).cast("long"), F.lit(b).cast("long"), F.lit("ssn"), key), body)
+
+
 def _assigned(m: Column, key: str) -> Column:
     value = F.regexp_extract(m, "[A-Za-z0-9_+/-]+$", 0)
 
@@ -234,14 +265,13 @@ def pseudonym(m: Column, key: str) -> Column:
     whole = lambda pattern: m.rlike(f"^(?:{pattern})$")
     email = F.concat(permute_mixed(F.substring(m, F.lit(1), at - 1), "email", key), F.substring(m, at, F.length(m)))
     access = F.concat(F.substring(m, 1, 4), permute_mixed(F.substring(m, F.lit(5), F.length(m)), "access", key))
-    ssn = refill(m, permute_symbols(only(m, "0-9"), "0123456789", F.lit("ssn"), key))
     return (
         F.when(whole(EMAIL), email)
         .when(whole(ACCESS_KEY), access)
         .when(whole(ASSIGNED), _assigned(m, key))
         .when(whole(IPV4), _ipv4(m, key))
         .when(whole(DATE), _date(m, key))
-        .when(whole(SSN), ssn)
+        .when(whole(SSN), _ssn(m, key))
         .when(whole(PHONE), _phone(m, key))
         .when(whole(CARD), _card(m, key))
         .when(whole(IBAN), _iban(m, key))
@@ -249,8 +279,9 @@ def pseudonym(m: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = "marlstone") -> DataFrame:
-    """``docs`` with ``text`` replaced and ``n_pii``, the number of values that changed."""
+def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
+    """``docs`` with ``text`` replaced and ``n_pii``, the number of values that changed; ``key``: by default ``key_of``."""
+    key = key or key_of(docs.sparkSession)
 
     def rebuild(found: Column) -> Column:
         gaps = F.split(F.col(text), CANDIDATE, -1)
@@ -269,10 +300,11 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = "marlstone") ->
 
     found = F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), F.lit(0))
     same = F.struct(F.col(text).alias("text"), F.lit(0).alias("n"))
-    out = docs.drop("n_pii") if "n_pii" in docs.columns else docs
-    out = out.withColumn("_fresh", F.when(F.col(text).isNull(), same).otherwise(let(found, lambda m: F.when(F.size(m) == 0, same).otherwise(rebuild(m)))))
-    names = [c for c in out.columns if c != "_fresh"]
-    return out.select(*[F.col("_fresh.text").alias(c) if c == text else c for c in names], F.col("_fresh.n").alias("n_pii"))
+    out = docs.drop("n_pii")
+    made = unused("fresh", out.columns)
+    # texts without the gate's characters, null ones among them, are not searched
+    fresh = F.when(F.col(text).rlike(GATE), let(found, lambda m: F.when(F.size(m) == 0, same).otherwise(rebuild(m)))).otherwise(same)
+    return out.withColumn(made, fresh).select(*[F.col(f"{made}.text").alias(c) if c == text else c for c in out.columns], F.col(f"{made}.n").alias("n_pii"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
