@@ -44,8 +44,8 @@ def training_windows(docs: DataFrame, texts_per_lang: int = TEXTS_PER_LANG, text
     if not sizes:
         return [], []
     each = max(1, min(texts_per_lang, texts // len(sizes)))
-    # a share of each language such that about twice the texts needed come through, then exactly the first of them
-    shares = docs.sparkSession.createDataFrame([(k, min(1_000_000, int(2_000_000 * each / n) + 1)) for k, n in sizes], "lang string, share long")
+    # a share of each language such that about twice the texts needed and 40 more come through, then the first of them
+    shares = docs.sparkSession.createDataFrame([(k, min(1_000_000, 1_000_000 * (2 * each + 40) // n)) for k, n in sizes], "lang string, share long")
     some = labelled.withColumn("draw", F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1_000_000))).join(F.broadcast(shares), "lang").filter("draw < share")
     raw = F.encode("text", "UTF-8")
     last = F.greatest(F.octet_length("text") - WINDOW, F.lit(0)) + 1
@@ -58,16 +58,18 @@ def training_windows(docs: DataFrame, texts_per_lang: int = TEXTS_PER_LANG, text
 
 def noise_windows(texts: list[bytes], rng: np.random.Generator) -> list[bytes]:
     """Windows of no language: every second text with its bytes in another order, and as many of random printable bytes,
-    random letters of other scripts, or one short string again and again."""
+    random letters of other scripts, one short string again and again, or random numbers in hexadecimal."""
     out = []
     for k, t in enumerate(texts[::2]):
         out.append(rng.permutation(np.frombuffer(t, dtype=np.uint8)).tobytes())
         n = int(rng.integers(24, WINDOW + 1))
-        if k % 3 == 0:
+        if k % 4 == 0:
             out.append(rng.integers(33, 127, n).astype(np.uint8).tobytes())
-        elif k % 3 == 1:
+        elif k % 4 == 1:
             first = int(rng.integers(0x370, 0x9F00))
             out.append("".join(map(chr, rng.integers(first, first + 64, n // 3))).encode()[:WINDOW])
+        elif k % 4 == 2:
+            out.append(b" ".join(b"%x" % v for v in rng.integers(0, 1 << int(rng.integers(4, 60)), n))[:n])
         else:
             unit = rng.integers(32, 127, int(rng.integers(1, 12))).astype(np.uint8).tobytes()
             out.append((unit * WINDOW)[:n])

@@ -33,15 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.llm import simhash
-from marlstone.llm.common import materialize, remove, unused, with_address
+from marlstone.llm.common import add_up, materialize, remove, unused, with_address
 from marlstone.llm.graph import components
 
 WIDTH = 5
 SEED = 42
 #: The threshold as a fraction, so that comparisons are exact.
 NUM, DEN = 4, 5
-#: Counters of the order of shingles, and the groups their vectors are added up in.
-COUNTERS, GROUPS = 1 << 18, 8
+#: Counters of the order of shingles.
+COUNTERS = 1 << 18
 #: Bits of a set's bitmap; the filter is exact at any size.
 BITS = 1024
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -110,11 +110,6 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([part.column("id"), sets], names=["id", "shingles"])
 
 
-def _add(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(v.as_buffer(), np.int64) for v in table.column("v"))
-    return pa.table({"v": pa.array([total.tobytes()], pa.binary())})
-
-
 def bitmap(h: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((h >> 32) & (BITS - 1), minlength=BITS) & 1).astype(np.uint8))
 
@@ -251,15 +246,6 @@ def fingerprint_pairs(spark: SparkSession, groups: DataFrame) -> DataFrame:
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(same)
 
 
-def counts_of(vectors: DataFrame) -> np.ndarray:
-    """The sum of the tasks' count vectors, in GROUPS parts that the driver adds up."""
-    counts = np.zeros(COUNTERS, dtype=np.int64)
-    parts = vectors.select(F.col("counts").alias("v")).withColumn("g", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
-    for r in parts.groupBy("g").applyInArrow(_add, "v binary").toLocalIterator():
-        counts += np.frombuffer(r["v"], np.int64)
-    return counts
-
-
 def classes(spark: SparkSession, groups: DataFrame, texts: DataFrame, counts: np.ndarray) -> DataFrame:
     """``a, b``: every set (columns id, fp; its text in ``texts``) that is linked to one of a smaller id, and the least id
     of its component."""
@@ -293,7 +279,7 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "file", "row")
     groups = marked.filter("counts is null").groupBy("digest").agg(F.min(order).alias("o"), F.max("fp").alias("fp"))
     groups, at_groups = materialize(spark, groups.select(F.monotonically_increasing_id().alias("id"), "o", "fp"), "groups")
-    counts = counts_of(marked.filter("counts is not null"))
+    counts = add_up(marked.filter("counts is not null").select("counts"), COUNTERS)
     remove(spark, at_marked)
     texts = addressed.select(*at, "text").join(groups.select("id", "o.file", "o.row"), ["file", "row"]).select("id", "text")
     roots = classes(spark, groups, texts, counts)

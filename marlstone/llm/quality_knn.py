@@ -1,14 +1,17 @@
 """Operator 3: quality classifier by nearest-neighbour voting in a latent semantic space.
 
 Whole texts become hashed counts (byte trigrams, trigrams of character classes, and binned shape statistics), weighted by
-inverse document frequency. A bounded sample of labelled texts (``PER_LABEL`` of each label) gives the latent space (a
-randomized singular value decomposition) and the labelled vectors, which are broadcast: ``2 * PER_LABEL * DIMS`` floats,
-whatever the input. Every document is compared with all of them in exact blocked cosine products; the ``NEIGHBOURS``
-nearest vote with their similarity as weight.
+the inverse document frequencies of all documents. A bounded sample of labelled texts (``PER_LABEL`` of each label) gives
+the latent space (a randomized singular value decomposition) and the labelled vectors, which are broadcast:
+``2 * PER_LABEL * DIMS`` floats, whatever the input. Every document is compared with all of them in exact blocked cosine
+products; the nearest (half the root of the number of labelled vectors, so 24 of a full sample) vote with their
+similarity as weight.
 
 Defined results: null and empty texts have no vector and get the vote's prior as score; a document with several labels
-counts with the greatest; repeated rows are scored one by one; without labels the score is 0.5; a null doc_id counts as
-held out and is never learned from.
+counts with the greatest; labels that name no document, or are neither 0 nor 1, are left out before the sample is drawn;
+repeated rows are scored one by one; without labels the score is 0.5; a null doc_id counts as held out and is never
+learned from; texts are read whole, of any length; an empty table gives no rows; a column ``score`` is replaced, others
+but ``text`` pass through.
 """
 
 from __future__ import annotations
@@ -19,11 +22,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstone.llm.common import add_up
 from marlstone.llm.language_id import held_out
 
 PER_LABEL = 1200
 DIMS = 48
-NEIGHBOURS = 25
 THRESHOLD = 0.3
 GRAMS, CLASSES = 2048, 1024
 STATS = 76
@@ -85,9 +88,9 @@ def weigh(rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit(rows: np.ndarray, labels: np.ndarray, prior: float, dims: int = DIMS, seed: int = 3) -> dict:
-    """Latent space and labelled vectors of the sample."""
-    idf = (np.log((1 + len(rows)) / (1 + (rows > 0).sum(0))) + 1).astype(np.float32)
+def fit(rows: np.ndarray, labels: np.ndarray, prior: float, frequencies: np.ndarray, documents: int, dims: int = DIMS, seed: int = 3) -> dict:
+    """Latent space and labelled vectors of the sample; ``frequencies``: in how many of all documents a feature occurs."""
+    idf = (np.log((1 + documents) / (1 + frequencies)) + 1).astype(np.float32)
     x = weigh(rows, idf)
     rng = np.random.default_rng(seed)
     k = min(dims, *x.shape)
@@ -105,11 +108,15 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
 
-def vote(model: dict, rows: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
+def neighbours(labelled: int) -> int:
+    """How many vote: half the root of the number of labelled vectors, three at least where there are as many."""
+    return min(max(3, round(labelled**0.5 / 2)), labelled)
+
+
+def vote(model: dict, rows: np.ndarray) -> np.ndarray:
     """Similarity-weighted share of label 1 among the nearest labelled vectors; one vote's worth of 0.01 for the prior."""
     sims = unit(weigh(rows.copy(), model["idf"]) @ model["basis"]) @ model["vectors"].T
-    # half the root of the number of labelled vectors where they are few: a rare kind has only a few of its own
-    k = min(neighbours, max(3, round(sims.shape[1] ** 0.5 / 2)), sims.shape[1])
+    k = neighbours(sims.shape[1])
     near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
     w = np.maximum(np.take_along_axis(sims, near, 1), 0).astype(np.float64)
     y = model["labels"][near]
@@ -124,6 +131,16 @@ def _vectors(batches):
             yield pa.RecordBatch.from_arrays([part.column("quality"), pa.array(rows, pa.binary())], names=["quality", "counts"])
 
 
+def _frequencies(batches):
+    """In how many of the task's documents each feature occurs; last, how many there are."""
+    total = np.zeros(WIDTH + 1, dtype=np.int64)
+    for batch in batches:
+        for t in batch.column("text").to_pylist():
+            total[:WIDTH] += counts_of(t) > 0
+            total[WIDTH] += 1
+    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+
 def _score(model_b):
     def run(batches):
         model = model_b.value
@@ -141,16 +158,17 @@ def _score(model_b):
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple[DataFrame, float]:
     """At most ``per_label`` texts of each label that are not held out, by a hash of doc_id; and the share of label 1."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     known = known.withColumn("draw", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_000_000)))
     sizes = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    # labels may name documents that do not exist, so twice the number is drawn before the join
     picked = None
     for q in sorted(sizes):
-        one = known.filter(F.col("quality") == q).orderBy("draw", "doc_id").limit(2 * per_label)
+        one = known.filter(F.col("quality") == q).orderBy("draw", "doc_id").limit(per_label)
         picked = one if picked is None else picked.unionByName(one)
     if picked is None:
         return None, 0.5
-    joined = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # 4 * per_label rows at most
+    joined = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # 2 * per_label ids at most
+    # a doc_id may stand in several rows
     first = Window.partitionBy("quality").orderBy("draw", F.xxhash64("text"))
     sample = joined.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= per_label)
     return sample.select("quality", "text"), sizes.get(1, 0) / sum(sizes.values())
@@ -158,15 +176,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LAB
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None, per_label: int = PER_LABEL) -> DataFrame:
     """The columns of ``docs`` but ``text``, with ``score``."""
-    sample, prior = labelled_sample(docs if learn_from is None else learn_from, labels, per_label)
+    source = docs if learn_from is None else learn_from
+    sample, prior = labelled_sample(source, labels, per_label)
     model = None
     if sample is not None:
         schema = "quality int, counts binary"
         got = sample.withColumn("quality", F.col("quality").cast("int")).mapInArrow(_vectors, schema).collect()  # 2 * per_label rows at most
         if got:
+            total = add_up(source.select("text").mapInArrow(_frequencies, "v binary"), WIDTH + 1)
             rows = np.stack([np.frombuffer(r["counts"], dtype=np.float16).astype(np.float32) for r in got])
             order = np.lexsort(rows.T[:: WIDTH // 64])  # the order of collected rows does not matter
-            model = fit(rows[order], np.array([r["quality"] for r in got])[order], prior)
+            model = fit(rows[order], np.array([r["quality"] for r in got])[order], prior, total[:WIDTH], int(total[WIDTH]))
     shared = spark.sparkContext.broadcast(model)
     rest = [c for c in docs.columns if c not in ("text", "score")]
     out = T.StructType([docs.schema[c] for c in rest] + [T.StructField("score", T.DoubleType())])

@@ -3,12 +3,14 @@
 Two multinomials over hashed n-grams (``buckets`` for each order) are counted over whole tables: the trusted target
 (documents labelled quality 1) and the raw corpus (all documents). A document's score is the mean of
 log p_target - log p_raw over its n-grams, so length does not count; it is kept if the base rules hold and the score
-reaches ``threshold``. Everything is built-in expressions; the only wide steps are the count of at most
-``len(orders) * buckets`` groups and the join that finds the target.
-
-Defined results: null and empty texts have zero counts, fail the base rules and score 0; repeated rows are judged one
-by one; a document with several labels is in the target if any of them is 1; with no labels at all the target is the
-raw corpus, so every score is 0.
+reaches ``threshold``. Everything is built-in expressions. The wide steps are the join that finds the target and the count
+of at most ``len(orders) * buckets`` groups; the weights are one array of that length, and documents are judged row by
+row, without a shuffle.
+
+Defined results: null and empty texts have zero counts, fail the base rules and score 0; a score equal to the threshold
+keeps; repeated rows are judged one by one; a document with several labels is in the target if any of them is 1; with no
+labels at all the target is the raw corpus, so every score is 0; texts are read whole, of any length; an empty table
+gives no rows; only ``doc_id`` and ``text`` are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.llm.common import let, unused
+
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 BUCKETS = 32768
 ORDERS = (1, 2)
@@ -23,13 +27,6 @@ ORDERS = (1, 2)
 THRESHOLD = -0.2
 #: Weights are whole multiples of 1 / SCALE.
 SCALE = 1_000_000
-#: Labels up to this count are broadcast to find the target, more are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
-
-
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def words_of(text: Column) -> Column:
@@ -102,8 +99,6 @@ def base_features(text: Column, words: Column, hashes: Column) -> list[Column]:
 def fit_weights(docs: DataFrame, labels: DataFrame, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS) -> DataFrame:
     """``bucket, weight``: log p_target - log p_raw in units of 1 / SCALE, with add-one smoothing."""
     target = labels.filter(F.col("quality") == 1).select("doc_id").distinct().withColumn("target", F.lit(1))
-    if target.count() <= BROADCAST_ROWS:
-        target = F.broadcast(target)
     marked = docs.select("doc_id", "text").join(target, "doc_id", "left")
     each = marked.select(F.col("target"), F.explode(buckets_of(hash_words(words_of(F.col("text"))), orders, buckets)).alias("bucket"))
     counts = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("target").alias("target"))
@@ -120,18 +115,20 @@ def fit_weights(docs: DataFrame, labels: DataFrame, orders: tuple[int, ...] = OR
 
 def judge(docs: DataFrame, weights: DataFrame, keys: tuple[str, ...] = ("doc_id",), orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """For each row of ``docs``: ``keys``, the base features, ``base_failed``, ``score`` and ``kept``."""
+    # one array of len(orders) * buckets whole numbers, made once; sums of whole numbers don't depend on order
+    table = weights.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "weight"))), lambda x: x["weight"].cast("int")).alias("w")).scalar()
+    name = unused("weights", docs.columns)
+
+    def features(words: Column, hashes: Column) -> Column:
+        grams = buckets_of(hashes, orders, buckets)
+        totals = let(grams, lambda g: F.struct(F.size(g).alias("n"), F.aggregate(g, F.lit(0).cast("long"), lambda a, b: a + F.get(F.col(name), b)).alias("sum")))
+        return F.struct(*base_features(F.col("text"), words, hashes), totals.alias("grams"))
 
-    base = let(words_of(F.col("text")), lambda w: let(hash_words(w), lambda h: F.struct(*base_features(F.col("text"), w, h))))
-    names = ["row", *keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    # the n-grams stand apart from the other features: exploding copies what stands beside them
-    found = docs.select(F.monotonically_increasing_id().alias("row"), *keys, base.alias("f"), buckets_of(hash_words(words_of(F.col("text"))), orders, buckets).alias("grams"))
-    each = found.select("row", *keys, "f.*", F.size("grams").alias("n_grams"), F.explode_outer("grams").alias("bucket"))
-    # len(orders) * buckets rows at most, so the broadcast has a fixed bound; sums of whole numbers don't depend on order
-    scored = each.join(F.broadcast(weights), "bucket", "left").groupBy(*names, "n_grams").agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("total"))
+    found = docs.withColumn(name, table).select(*keys, let(words_of(F.col("text")), lambda w: let(hash_words(w), lambda h: features(w, h))).alias("f")).select(*keys, "f.*")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    score = F.when(F.col("n_grams") > 0, F.col("total") / SCALE / F.col("n_grams")).otherwise(F.lit(0.0))
-    out = scored.withColumn("base_failed", failed).withColumn("score", score)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("row", "total", "n_grams")
+    score = F.when(F.col("grams.n") > 0, F.col("grams.sum") / SCALE / F.col("grams.n")).otherwise(F.lit(0.0))
+    out = found.withColumn("base_failed", failed).withColumn("score", score)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("grams")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,6 +158,37 @@ def test_op3_held_out_accuracy(spark, sf_dir, odd, empty):
     assert {r["score"] for r in classify(spark, odd, labels.limit(0)).collect()} == {0.5}
 
 
+def test_op3_vote_by_brute_force(spark, docs):
+    from marlstone.llm.common import add_up
+    from marlstone.llm.quality_knn import WIDTH, _frequencies, counts_of, fit, neighbours, vote, weigh
+
+    texts = [r["text"] for r in docs.select("text").collect()]
+    rows = np.stack([counts_of(t) for t in texts])
+    total = add_up(docs.select("text").mapInArrow(_frequencies, "v binary"), WIDTH + 1)
+    assert total[:WIDTH].tolist() == (rows > 0).sum(0).tolist() and total[WIDTH] == len(texts)
+    labels = np.arange(120) % 3 == 0
+    model = fit(rows[:120], labels, 0.4, total[:WIDTH], len(texts), dims=10)
+    got = vote(model, np.concatenate([rows[120:], np.zeros((1, WIDTH), np.float32)]))
+    points = weigh(rows.copy(), model["idf"]) @ model["basis"]
+    for i in range(120, len(rows)):
+        sims = []
+        for j in range(120):
+            dot = sum(float(a) * float(b) for a, b in zip(points[i], points[j]))
+            sims.append((dot / (np.linalg.norm(points[i]) * np.linalg.norm(points[j])), labels[j]))
+        near = sorted(sims, key=lambda x: -x[0])[: neighbours(120)]
+        w = sum(max(0, a) for a, _ in near)
+        assert got[i - 120] == pytest.approx((sum(max(0, a) * y for a, y in near) + 0.01 * 0.4) / (w + 0.01), abs=0.02)
+    assert got[-1] == pytest.approx(0.4)
+
+
+def test_op3_labels_without_documents(spark, docs):
+    from marlstone.llm.quality_knn import labelled_sample
+
+    labels = docs.select("doc_id", F.lit(1).alias("quality")).unionByName(spark.range(10**6, 10**6 + 5000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")))
+    sample, prior = labelled_sample(docs, labels, per_label=100)
+    assert sample.count() == 100 and prior == 1
+
+
 def brute_tiles(item, text, least):
     """Greedy string tiling by definition: again and again the longest free common run."""
     a, b, covered = [False] * len(item), [False] * len(text), 0
@@ -451,10 +482,71 @@ def test_op9(spark, sf_dir, odd, empty):
     made = {r["doc_id"]: r for r in identify(spark, odd, known).collect()}
     assert [made[k]["lang_pred"] for k in (1, 2, 3, 5)] == ["und"] * 4 and made[1]["score"] == 0
     assert made[6]["lang_pred"] in ("en", "fr", "de", "es")
+    clash = identify(spark, odd.withColumn("score", F.lit("x")).withColumn("fit", F.lit("y")), known)
+    assert clash.columns == [*odd.columns, "lang_pred", "score", "fit"] and clash.filter("score > 1").count() == 0
     assert identify(spark, empty, known).count() == 0
     assert {r["lang_pred"] for r in identify(spark, odd, empty).collect()} == {"und"}
 
 
+def test_op9_network_is_a_convolution():
+    from marlstone.llm.language_id import WIDTHS, WINDOW, as_windows, probabilities, train
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(a) for _ in range(200)).encode() for a in ("abc ", "xyz ") for _ in range(20)]
+    model = train(texts, ["a"] * 20 + ["x"] * 20, epochs=2)
+    x = as_windows([*texts[18:22], b"", b"q"])
+    got = probabilities(model, x, block=4)
+    for row, q in zip(x.tolist(), got):
+        pooled = []
+        for w in WIDTHS:
+            for f in range(model["U"].shape[0] // len(WIDTHS)):
+                pooled.append(max(0.0, max(sum(float(model["tables"][w][j][row[t + j], f]) for j in range(w)) for t in range(WINDOW - w + 1)) + float(model["bias"][w][f])))
+        z = np.array(pooled) @ model["U"].astype(float) + model["c"]
+        e = np.exp(z - z.max())
+        assert q == pytest.approx(e / e.sum(), abs=1e-4)
+    assert len(q) == 3 and model["names"] == ["a", "x"]
+
+
+def test_op9_learns_every_label(spark):
+    from marlstone.llm.language_id import training_windows
+
+    rows = spark.createDataFrame([(k, f"text number {k} " * 30, f"l{k % 90}") for k in range(900)], "doc_id long, text string, lang string")
+    texts, langs = training_windows(rows, texts=180)
+    assert set(langs) == {f"l{k}" for k in range(90)} and max(Counter(langs).values()) <= 4
+
+
+def test_op10_score_by_brute_force(spark, docs, odd, sf_dir):
+    import math
+    import struct
+
+    import xxhash
+    from marlstone.llm.quality_rules import BUCKETS, THRESHOLD, fit_weights, judge
+
+    def grams(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        hs = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
+        two = [xxhash.xxh64_intdigest(struct.pack("<Q", b), seed=xxhash.xxh64_intdigest(struct.pack("<Q", a), seed=42)) for a, b in zip(hs, hs[1:])]
+        signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+        return [signed(h) % BUCKETS for h in hs] + [BUCKETS + signed(h) % BUCKETS for h in two]
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1}
+    raw, target = Counter(), Counter()
+    for r in docs.collect():
+        raw.update(grams(r["text"]))
+        target.update(grams(r["text"]) if r["doc_id"] in good else ())
+    sums = [(sum(n for b, n in c.items() if b // BUCKETS == o)) for c in (target, raw) for o in (0, 1)]
+    weight = lambda b: math.log((target[b] + 1) / (sums[b // BUCKETS] + BUCKETS)) - math.log((raw[b] + 1) / (sums[2 + b // BUCKETS] + BUCKETS))
+    weights = fit_weights(docs, labels)
+    for rows in (docs, odd):
+        got = judge(rows, weights).collect()
+        for r, d in zip(got, rows.collect()):
+            g = grams(d["text"])
+            want = sum(map(weight, g)) / len(g) if g else 0.0
+            assert r["doc_id"] == d["doc_id"] and r["score"] == pytest.approx(want, abs=2e-6)
+            assert r["kept"] == (not r["base_failed"] and r["score"] >= THRESHOLD)
+
+
 def test_op10(spark, docs, odd, empty, sf_dir):
     from marlstone.llm.quality_rules import fit_weights, judge
 
@@ -488,8 +580,11 @@ def test_op10(spark, docs, odd, empty, sf_dir):
 def test_pipeline_stages(spark, docs, sf_dir, odd, empty):
     import corpus_pipeline as P
 
-    kept = {r["doc_id"] for r in P.language(spark, docs, sf_dir).collect()}
-    assert kept == {r["doc_id"] for r in docs.collect()}
+    known = docs.sparkSession.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    noise = [(10**6 + k, t, None, "s", 1) for k, t in enumerate(["日本語のテキストです。" * 30, "#{%~} ^^ |&&| " * 30, "<a href='x'><b>" * 30, None, "", "12 34"])]
+    kept = {r["doc_id"] for r in P.language(spark, known.unionByName(spark.createDataFrame(noise, SCHEMA)), sf_dir).collect()}
+    all_ids = {r["doc_id"] for r in known.collect()}
+    assert kept <= all_ids and len(kept) >= 0.995 * len(all_ids)
     for rows in (odd, empty):
         out = rows
         for name, stage in P.STAGES:
