@@ -39,6 +39,21 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFram
     return spark.read.schema(schema).parquet(path), path
 
 
+def bucketed(spark: SparkSession, df: DataFrame, name: str, key: str) -> tuple[DataFrame, str, str]:
+    """``df`` written as a table bucketed by ``key`` in the shared folder, so that joins by the key don't move it; with the
+    table's name and path, for ``drop_bucketed``."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{name}_{uuid.uuid4().hex[:12]}"
+    path = new_path(spark, name)
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(parts, key).saveAsTable(name)
+    return spark.table(name), name, path
+
+
+def drop_bucketed(spark: SparkSession, name: str, path: str) -> None:
+    spark.sql(f"DROP TABLE {name}")
+    remove(spark, path)
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete intermediate tables that no later step reads."""
     jvm = spark.sparkContext._jvm

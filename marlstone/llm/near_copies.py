@@ -14,7 +14,8 @@ are verified on the whole sets.
 Components are what counts, not pairs: after the fingerprints' links each list links its members in a chain and to its
 first member; then only members of different components are paired, so a large group of copies does not give its square.
 
-Sets are not stored: they are made from the texts where they are needed, and kept only for texts that share a prefix.
+Sets are not stored: they are made from the texts where they are needed. One text of each set is kept in a table bucketed
+by the set's id, so that verifying pairs moves only the texts of pairs that the bitmaps leave.
 
 Defined results: words are lower-cased and split at white space; a text of fewer than five words is one shingle; null and
 empty texts and texts of white space are equal; shingles are compared by 64-bit hashes. Of a component the row of the
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.llm import simhash
-from marlstone.llm.common import add_up, materialize, remove, unused, with_address
+from marlstone.llm.common import add_up, bucketed, drop_bucketed, materialize, remove, unused, with_address
 from marlstone.llm.graph import components
 
 WIDTH = 5
@@ -43,7 +44,7 @@ NUM, DEN = 4, 5
 #: Counters of the order of shingles.
 COUNTERS = 1 << 18
 #: Bits of a set's bitmap; the filter is exact at any size.
-BITS = 1024
+BITS = 512
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,12 +80,12 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return common * DEN >= (len(a) + len(b) - common) * NUM
 
 
-MARKED = [T.StructField(c, T.LongType()) for c in ("file", "row", "fp")] + [T.StructField(c, T.BinaryType()) for c in ("digest", "counts")]
+MARKED = [T.StructField(c, T.LongType()) for c in ("file", "row", "fp")] + [T.StructField(c, T.BinaryType()) for c in ("bits", "digest", "counts")]
 
 
 def _marked(batches):
-    """file, row, doc_id, text to file, row, fp, digest of the set, doc_id; the task's last row has its counts of shingles
-    and nothing else."""
+    """file, row, doc_id, text to file, row, fp, bitmap and digest of the set, doc_id; the task's last row has its counts of
+    shingles and nothing else."""
     total, kind = np.zeros(COUNTERS, dtype=np.int64), None
     for batch in batches:
         kind = batch.column("doc_id").type
@@ -93,33 +94,20 @@ def _marked(batches):
             sets = [shingles(t) for t in part.column("text").to_pylist()]
             total += np.bincount(np.concatenate([np.zeros(0, np.int64), *sets]) & (COUNTERS - 1), minlength=COUNTERS)
             fps = np.array([simhash.majority(s.view(np.uint64)) for s in sets], dtype=np.uint64).view(np.int64)
+            bits = pa.array([bitmap(s).tobytes() for s in sets], pa.binary())
             digests = pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary())
-            columns = [part.column("file"), part.column("row"), pa.array(fps), digests, pa.nulls(len(sets), pa.binary()), part.column("doc_id")]
+            columns = [part.column("file"), part.column("row"), pa.array(fps), bits, digests, pa.nulls(len(sets), pa.binary()), part.column("doc_id")]
             yield pa.RecordBatch.from_arrays(columns, names=[*[f.name for f in MARKED], "doc_id"])
     if kind is not None:
         none = [pa.nulls(1, pa.int64())] * 3
-        columns = [*none, pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary()), pa.nulls(1, kind)]
+        columns = [*none, *[pa.nulls(1, pa.binary())] * 2, pa.array([total.tobytes()], pa.binary()), pa.nulls(1, kind)]
         yield pa.RecordBatch.from_arrays(columns, names=[*[f.name for f in MARKED], "doc_id"])
 
 
-def _sets(batches):
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            sets = pa.array([shingles(t).tobytes() for t in part.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("id"), sets], names=["id", "shingles"])
-
-
 def bitmap(h: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((h >> 32) & (BITS - 1), minlength=BITS) & 1).astype(np.uint8))
 
 
-def _bitmaps(batches):
-    for batch in batches:
-        maps = [bitmap(np.frombuffer(s.as_buffer(), np.int64)).tobytes() for s in batch.column("shingles")]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(maps, pa.binary())], names=["id", "bits"])
-
-
 def _near(table: pa.Table, n: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Which pairs of rows x, y their bitmaps leave possible: sets at the threshold differ by (n + m) / 9 shingles at most."""
     bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64) if len(x) else None
@@ -222,14 +210,15 @@ def _other_pairs(batches):
 
 def _verified(batches):
     for batch in batches:
-        x, y = batch.column("x"), batch.column("y")
-        keep = [similar(np.frombuffer(p.as_buffer(), np.int64), np.frombuffer(q.as_buffer(), np.int64)) for p, q in zip(x, y)]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            keep = [similar(shingles(p), shingles(q)) for p, q in zip(part.column("x").to_pylist(), part.column("y").to_pylist())]
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = one.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    one = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "x"}), "a")
+    both = one.join(texts.withColumnsRenamed({"id": "b", "text": "y"}), "b")
     return both.mapInArrow(_verified, "a long, b long")
 
 
@@ -247,25 +236,21 @@ def fingerprint_pairs(spark: SparkSession, groups: DataFrame) -> DataFrame:
 
 
 def classes(spark: SparkSession, groups: DataFrame, texts: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``a, b``: every set (columns id, fp; its text in ``texts``) that is linked to one of a smaller id, and the least id
-    of its component."""
+    """``a, b``: every set (columns id, fp, bits; its text in ``texts``, bucketed by id) that is linked to one of a smaller
+    id, and the least id of its component."""
     shared = spark.sparkContext.broadcast(counts)
-    by_print, at_print = materialize(spark, fingerprint_pairs(spark, groups), "pairs")
     postings = texts.mapInArrow(_postings(shared), "token long, id long, n long")
     lists = postings.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(_shared, "token long, id long, n long")
     lists, at_lists = materialize(spark, lists, "lists")
-    needed = lists.select("id").unionByName(by_print.select(F.col("a").alias("id"))).unionByName(by_print.select(F.col("b").alias("id"))).distinct()
-    sets, at_sets = materialize(spark, texts.join(needed, "id", "left_semi").mapInArrow(_sets, "id long, shingles binary"), "sets")
-    lists = lists.join(sets.mapInArrow(_bitmaps, "id long, bits binary"), "id")
-    ordered = lists.repartition("token").sortWithinPartitions("token", "n", "id")
-    pairs, at_pairs = materialize(spark, ordered.mapInArrow(_first_pairs, "a long, b long").unionByName(by_print).distinct(), "pairs")
-    first, at_first = materialize(spark, _links(pairs, sets), "links")
+    bits = groups.select("id", "bits")
+    ordered = lists.join(bits, "id").repartition("token").sortWithinPartitions("token", "n", "id")
+    pairs = ordered.mapInArrow(_first_pairs, "a long, b long").unionByName(fingerprint_pairs(spark, groups)).distinct()
+    first, at_first = materialize(spark, _links(pairs, texts), "links")
     roots = components(spark, first)
-    ordered = _rooted(lists, roots).repartition("token").sortWithinPartitions("token", "n", "id")
-    others, at_others = materialize(spark, ordered.mapInArrow(_other_pairs, "a long, b long").distinct(), "pairs")
-    other, at_other = materialize(spark, _links(others, sets), "links")
+    ordered = _rooted(lists.join(bits, "id"), roots).repartition("token").sortWithinPartitions("token", "n", "id")
+    other, at_other = materialize(spark, _links(ordered.mapInArrow(_other_pairs, "a long, b long").distinct(), texts), "links")
     out = components(spark, roots.unionByName(other))
-    remove(spark, at_print, at_lists, at_sets, at_pairs, at_first, at_others, at_other)
+    remove(spark, at_lists, at_first, at_other)
     return out
 
 
@@ -277,13 +262,15 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     marked = addressed.select(*at, "doc_id", "text").mapInArrow(_marked, T.StructType([*MARKED, docs.schema["doc_id"]]))
     marked, at_marked = materialize(spark, marked, "marked")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "file", "row")
-    groups = marked.filter("counts is null").groupBy("digest").agg(F.min(order).alias("o"), F.max("fp").alias("fp"))
-    groups, at_groups = materialize(spark, groups.select(F.monotonically_increasing_id().alias("id"), "o", "fp"), "groups")
+    groups = marked.filter("counts is null").groupBy("digest").agg(F.min(order).alias("o"), F.max("fp").alias("fp"), F.max("bits").alias("bits"))
+    groups, at_groups = materialize(spark, groups.select(F.monotonically_increasing_id().alias("id"), "o", "fp", "bits"), "groups")
     counts = add_up(marked.filter("counts is not null").select("counts"), COUNTERS)
     remove(spark, at_marked)
     texts = addressed.select(*at, "text").join(groups.select("id", "o.file", "o.row"), ["file", "row"]).select("id", "text")
+    texts, name, at_texts = bucketed(spark, texts, "set_texts", "id")
     roots = classes(spark, groups, texts, counts)
     best = _rooted(groups, roots).groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.file").alias(file), F.col("o.row").alias(row))
     best, _ = materialize(spark, best, "best")
     remove(spark, at_groups)
+    drop_bucketed(spark, name, at_texts)
     return addressed.join(best, [file, row], "left_semi").select(*docs.columns)

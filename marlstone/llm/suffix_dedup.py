@@ -22,14 +22,12 @@ only ``text`` (and ``doc_id`` in the query) is read, so other columns can't clas
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialize, new_path, remove
+from marlstone.llm.common import bucketed, drop_bucketed, materialize, remove
 from marlstone.llm.interleave import repeated_windows
 
 LENGTH = 400
@@ -228,13 +226,8 @@ def text_id(text: str = "text"):
 def distinct_texts(spark: SparkSession, docs: DataFrame, length: int) -> tuple[DataFrame, str, str]:
     """``tid, text, copies`` of texts of ``length`` bytes at least, bucketed by tid in the shared folder; the table's name
     and path. Copies are collapsed before they are shuffled."""
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.filter(F.octet_length("text") >= length).select(text_id().alias("tid"), "text")
-    rows = rows.groupBy("tid").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    name = f"texts_{uuid.uuid4().hex[:12]}"
-    path = new_path(spark, name)
-    rows.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(parts, "tid").saveAsTable(name)
-    return spark.table(name), name, path
+    return bucketed(spark, rows.groupBy("tid").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "texts", "tid")
 
 
 def with_bytes(texts: DataFrame, rows: DataFrame) -> DataFrame:
@@ -284,8 +277,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, h
     with_spans = texts.join(found, "tid", "left").select("tid", "text", F.when(F.col("copies") > 1, once).otherwise(F.col("found")).alias("found"))
     cut = with_spans.filter("found is not null").mapInArrow(_cut(length), f"tid binary, spans {SPANS}, n_removed long, kept binary")
     cut, _ = materialize(spark, cut, "cut")
-    spark.sql(f"DROP TABLE {name}")
-    remove(spark, path, *paths)
+    drop_bucketed(spark, name, path)
+    remove(spark, *paths)
     return cut
 
 
