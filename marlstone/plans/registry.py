@@ -15,6 +15,10 @@ MODULES = (
     "marlstone.operators.graph",
     "marlstone.operators.rules",
     "marlstone.operators.corpus",
+    "marlstone.operators.questions",
+    "marlstone.operators.answers",
+    "marlstone.operators.typing_rules",
+    "marlstone.operators.search",
     "marlstone.sources.queries",
     "marlstone.streaming.queries",
 )
