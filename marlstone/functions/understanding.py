@@ -1,87 +1,91 @@
-"""Rule-based query understanding and document typing; word lists are parameters with small defaults."""
+"""Document typing and normalisation of values."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-REWRITES = (("\\bwhat's\\b", "what is"), ("\\bpls\\b", "please"), ("\\binfo\\b", "information"), ("\\bdept\\b", "department"))
-INTENTS = {
-    "lookup": ("show", "find", "what is", "specific"),
-    "financial": ("cost", "price", "payment", "total"),
-    "comparison": ("compare", "versus", "difference", "better"),
-    "trend": ("trend", "over time", "growth", "monthly"),
+from marlstone.plans.samples import cases
+
+# Types by words of the file name, in order, then by words of the content; departments by type; categories.
+TYPES_BY_NAME = {
+    "proforma_invoice": ("pi", "proforma", "invoice"),
+    "monthly_cash_summary": ("cash", "summary"),
+    "bank_statement": ("bank", "statement"),
+    "expense_report": ("expense", "expenditure"),
+    "production_schedule": ("production", "schedule"),
+    "machine_log": ("machine", "log"),
+    "quality_report": ("quality", "qc"),
+    "work_order": ("work", "order"),
+    "sales_report": ("sales", "report"),
+    "price_list": ("price", "list"),
+    "order_confirmation": ("order", "confirmation"),
+    "quotation": ("quotation", "quote"),
+    "salary_sheet": ("salary", "payroll"),
+    "appointment_letter": ("appointment", "joining"),
+    "attendance_report": ("attendance",),
+    "maintenance_log": ("maintenance", "service"),
+    "utility_bill": ("utility", "electricity", "gas"),
 }
-DOCUMENT_WORDS = {"invoice": ("invoice", "bill", "payment"), "report": ("report", "summary", "analysis"), "contract": ("contract", "agreement", "clause")}
-
-
-def clean_query(text: Column, rewrites: tuple[tuple[str, str], ...] = REWRITES) -> Column:
-    """SC-20: lower case, rewrites in order, blanks squeezed."""
-    out = F.lower(text)
-    for pattern, to in rewrites:
-        out = F.regexp_replace(out, pattern, to)
-    return F.trim(F.regexp_replace(out, "\\s+", " "))
-
-
-def intent(text: Column, intents: dict[str, tuple[str, ...]] = INTENTS) -> Column:
-    """SC-21: the share of an intent's patterns that occur ("specific" counts twice); the greatest wins, the first defined on
-    ties; none gives unknown with 0. Struct of name and score."""
-    low = F.lower(text)
-    scored = [
-        F.struct((sum((F.when(F.contains(low, F.lit(p)), 2 if p == "specific" else 1).otherwise(0) for p in words), F.lit(0)) / len(words)).alias("score"), F.lit(-k).alias("place"), F.lit(name).alias("name"))
-        for k, (name, words) in enumerate(intents.items())
-    ]
-    best = F.array_max(F.array(*scored))
-    return F.struct(F.when(best["score"] > 0, best["name"]).otherwise("unknown").alias("name"), best["score"].alias("score"))
-
+TYPES_BY_CONTENT = {"machine_log": ("mhm", "embroidery", "machine"), "production_report": ("production", "capacity", "output"), "quotation": ("dozen", "pricing", "quote")}
+DEPARTMENTS_BY_TYPE = {
+    "accounting": ("monthly_cash_summary", "bank_statement", "expense_report", "tax_return"),
+    "production": ("production_schedule", "machine_log", "work_order", "quality_report"),
+    "marketing": ("sales_report", "quotation", "price_list", "customer_inquiry"),
+    "hr_admin": ("salary_sheet", "appointment_letter", "attendance_report"),
+    "maintenance": ("maintenance_log", "equipment_report"),
+}
+CATEGORIES = {
+    "finance": ("payment", "budget", "transaction", "bank", "balance"),
+    "lc": ("lc", "letter of credit", "shipment", "export", "import"),
+    "hr": ("employee", "salary", "attendance", "hr", "leave"),
+    "invoice": ("invoice", "receipt", "bill", "voucher"),
+    "inventory": ("stock", "warehouse", "inventory", "store"),
+}
+WORDS, NUMBERS, MARKS = r"[\p{L}\p{N}_]+", r"\d+", "[.!?]"
+ARTEFACTS = (r"[^\p{L}\p{N}_\s.,!?-]", r"\b[A-Za-z0-9_]{15,}\b", r"\d{10,}")
 
-def regex_entities(text: Column) -> Column:
-    """SC-23: amounts (0.95), dates (0.9) and references (0.95) with their kind and confidence."""
 
-    def found(pattern: str, kind: str, confidence: float) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.lit(confidence).alias("confidence")))
+def document_type(name: Column, content: Column) -> Column:
+    """SC-98: by the file's name, then by the content, else unknown."""
+    return cases(F.lower(name), TYPES_BY_NAME, cases(F.lower(content), TYPES_BY_CONTENT, "unknown"))
 
-    return F.concat(
-        found("[$][0-9][0-9,]*(?:[.][0-9]+)?|[0-9][0-9,]*(?:[.][0-9]+)? (?:USD|EUR|GBP)", "amount", 0.95),
-        found("[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}", "date", 0.9),
-        found("[A-Z]{2,4}-[0-9]{4}-[0-9]{3}", "reference", 0.95),
-    )
 
-
-def complexity(text: Column) -> Column:
-    """SC-27: points for length, joins, comparisons and times; simple, moderate from 1, complex from 2, advanced from 4."""
-    low = F.lower(text)
-    points = (
-        F.when(F.length(text) > 100, 1).otherwise(0)
-        + F.when(low.rlike("\\b(and|or|but)\\b"), 1).otherwise(0)
-        + F.when(low.rlike("\\b(compare|versus|than)\\b"), 1).otherwise(0)
-        + F.when(low.rlike("\\b(before|after|during|between)\\b"), 1).otherwise(0)
-    )
-    return F.when(points >= 4, "advanced").when(points >= 2, "complex").when(points >= 1, "moderate").otherwise("simple")
+def department_of_type(kind: Column) -> Column:
+    """SC-98: commercial where no list has the type."""
+    out = F.lit("commercial")
+    for name, kinds in DEPARTMENTS_BY_TYPE.items():
+        out = F.when(kind.isin(*kinds), name).otherwise(out)
+    return out
 
 
-def document_type(name: Column, content: Column, words: dict[str, tuple[str, ...]] = DOCUMENT_WORDS) -> Column:
-    """SC-98, SC-105: by the file name first, then by the content, else unknown."""
-    out = None
-    for source in (name, content):
-        for kind, terms in words.items():
-            hit = F.lower(source).rlike("|".join(terms))
-            out = F.when(hit, kind) if out is None else out.when(hit, kind)
-    return out.otherwise("unknown")
+def category(name: Column, content: Column, folder: Column) -> Column:
+    """SC-105: by the file's name, then the content, then the folder, else unknown."""
+    by_folder = cases(F.lower(folder), {"lc": ("lc",), "invoice": ("invoice",)}, "unknown")
+    return cases(F.lower(name), CATEGORIES, cases(F.lower(content), CATEGORIES, by_folder))
 
 
 def text_quality(text: Column) -> Column:
-    """SC-101: 1 less 0.3 short, 0.2 without structure, 0.3 artefacts, 0.2 few letters, not below 0; struct with a label from
-    0.8, 0.6 and 0.4."""
-    letters = F.length(F.regexp_replace(text, "[^A-Za-z]", "")) / F.greatest(F.length(text), F.lit(1))
+    """SC-101: 1 less 0.3 below 50 characters, 0.2 if fewer than two of words, numbers and marks occur over five times, 0.3 if
+    a kind of artefact occurs more often than for a twentieth of the characters, 0.2 if fewer than half are letters, 0.2 if
+    fewer than half of the sentences have over ten characters and a blank; 0 for no text. Struct with a label from 0.8, 0.6
+    and 0.4."""
+    body = F.coalesce(text, F.lit(""))
+    count = lambda p: F.regexp_count(body, F.lit(p))
+    kinds = sum(((count(p) > 5).cast("int") for p in (WORDS, NUMBERS, MARKS)), F.lit(0))
+    artefacts = F.exists(F.array(*[count(p) * 20 > F.length(body) for p in ARTEFACTS]), lambda x: x)
+    sentences = F.split(body, "[.!?]+", -1)
+    bare = F.transform(sentences, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    valid = F.size(F.filter(bare, lambda x: (F.length(x) > 10) & F.contains(x, F.lit(" "))))
     score = (
         F.lit(10)
-        - F.when(F.length(text) < 100, 3).otherwise(0)
-        - F.when(~F.contains(text, F.lit("\n")), 2).otherwise(0)
-        - F.when(text.rlike("[*#&%]{3,}"), 3).otherwise(0)
-        - F.when(letters < 0.5, 2).otherwise(0)
+        - F.when(F.length(body) < 50, 3).otherwise(0)
+        - F.when(kinds < 2, 2).otherwise(0)
+        - F.when(artefacts, 3).otherwise(0)
+        - F.when(count("[a-zA-Z]") * 2 < F.length(body), 2).otherwise(0)
+        - F.when(valid * 2 < F.size(sentences), 2).otherwise(0)
     )
-    score = F.greatest(F.lit(0), score)
+    score = F.when(F.length(body) == 0, 0).otherwise(F.greatest(F.lit(0), score))
     label = F.when(score >= 8, "excellent").when(score >= 6, "good").when(score >= 4, "fair").otherwise("poor")
     return F.struct((score / 10).alias("score"), label.alias("label"))
 

@@ -1,11 +1,13 @@
-"""Rule engines as queries: understanding of questions, document typing, business context scores, set operations."""
+"""Rule engines as queries: document typing, business context scores, facets, set operations."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.functions.understanding import clean_query, complexity, document_type, intent, normalise_currency, normalise_date, regex_entities, text_quality
+from marlstone.functions import understanding as U
+from marlstone.functions.understanding import category, department_of_type, document_type, normalise_currency, normalise_date, text_quality
+from marlstone.plans.samples import FILES, SNIPPETS, cases_sql, pick, pick_sql, text_sql
 from marlstone.session import table
 
 
@@ -73,47 +75,53 @@ def _impact(s: SparkSession, d: str) -> DataFrame:
     return c.select("event_id", "impact", "class", season(F.col("month")).alias("season"), F.round(final_business_score(F.col("score"), F.col("impact"), F.col("alignment"), F.lit(0.5), F.col("class")), 9).alias("final"))
 
 
-_TEXTS = (
-    "What's the total cost for dept A and B before 2024-03-01?",
-    "Compare price versus payment INV-2024-001 over time",
-    "pls show specific info of 50,000 BDT or USD 125,000",
-    "trend of growth 05/04/2024 with $1,200.50",
-    "nothing here",
-)
+def _files(s: SparkSession, d: str) -> DataFrame:
+    """Every event with a sample text and a sample file, in ever other pairs."""
+    k = F.col("event_id")
+    return table(s, d, "events").select("event_id", pick(SNIPPETS, k).alias("text"), pick(FILES, k + F.floor(k / 10)).alias("file"))
 
 
-def _questions(s: SparkSession, d: str) -> DataFrame:
-    """Literal questions, one for each user of the log in turn."""
-    q = F.element_at(F.array(*[F.lit(t) for t in _TEXTS]), (F.col("event_id") % len(_TEXTS) + 1).cast("int"))
-    return table(s, d, "events").filter("event_id < 500").select("event_id", q.alias("q"))
+def _types(s: SparkSession, d: str) -> DataFrame:
+    name, folder = F.substring_index("file", "/", -1), F.substring_index("file", "/", 1)
+    kind = document_type(name, F.col("text"))
+    return _files(s, d).select("event_id", kind.alias("kind"), department_of_type(kind).alias("department"), category(name, F.col("text"), folder).alias("category"))
 
 
-def _understood(s: SparkSession, d: str) -> DataFrame:
-    q = _questions(s, d)
-    return q.select("event_id", clean_query(F.col("q")).alias("cleaned"), intent(F.col("q"))["name"].alias("intent"), F.round(intent(F.col("q"))["score"], 6).alias("score"), complexity(F.col("q")).alias("complexity"), F.size(regex_entities(F.col("q"))).alias("n_entities"), normalise_currency(F.col("q"))["amount"].alias("amount"), normalise_currency(F.col("q"))["currency"].alias("currency"))
+def _day(k, ts):
+    return F.when(k % 3 == 0, F.date_format(ts, "yyyy-MM-dd")).when(k % 3 == 1, F.date_format(ts, "dd/MM/yyyy")).otherwise(F.lit("soon"))
 
 
 QUERIES = {
-    "sc20_27_understanding": _understood,
     "sc57_business_impact": _impact,
-    "sc98_document_type": lambda s, d: table(s, d, "pages").select("page_id", document_type(F.col("url"), F.col("html")).alias("kind")),
+    "sc98_document_type": _types,
+    "sc90_currency": lambda s, d: _files(s, d).select("event_id", normalise_currency(F.col("text")).alias("c")).select("event_id", "c.amount", "c.currency"),
     "sc101_text_quality": lambda s, d: table(s, d, "documents").select("doc_id", text_quality(F.col("text")).alias("q")).select("doc_id", "q.score", "q.label"),
-    "sc91_dates": lambda s, d: table(s, d, "events").filter("event_id < 1000").select("event_id", normalise_date(F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM-dd")).when(F.col("event_id") % 3 == 1, F.date_format("ts", "dd/MM/yyyy")).otherwise(F.lit("soon"))).alias("day")),
+    "sc91_dates": lambda s, d: table(s, d, "events").select("event_id", normalise_date(_day(F.col("event_id"), F.col("ts"))).alias("day")),
     "ag15_facets": lambda s, d: facet_counts(table(s, d, "documents"), ["source", "lang"]),
     "ag16_top_terms": lambda s, d: top_terms(table(s, d, "documents"), F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 0)),
     "ag17_focus_areas": lambda s, d: focus_areas(table(s, d, "lineitem").withColumn("q", F.col("l_quantity").cast("long")), "l_returnflag", "l_suppkey", "q"),
     "so02_union_edges": lambda s, d: table(s, d, "orders").select(F.col("o_custkey").alias("k")).union(table(s, d, "lineitem").select(F.col("l_suppkey").alias("k"))).groupBy("k").agg(F.count("*").alias("n")),
     "so06_set_operations": lambda s, d: table(s, d, "orders").filter("o_totalprice > 100000").select("o_custkey").intersect(table(s, d, "customer").filter("c_acctbal > 0").select("c_custkey")).exceptAll(table(s, d, "orders").filter("o_orderstatus = 'P'").select("o_custkey")).distinct().withColumnRenamed("o_custkey", "k"),
 }
+_NAME = "lower(string_split(file, '/')[2])"
+_FILES = f"(SELECT event_id, {pick_sql(SNIPPETS, 'event_id')} AS text, {pick_sql(FILES, '(event_id + event_id // 10)')} AS file FROM events)"
+_KIND = cases_sql(_NAME, U.TYPES_BY_NAME, cases_sql("lower(text)", U.TYPES_BY_CONTENT, "'unknown'"))
+_FOLDER = cases_sql("lower(string_split(file, '/')[1])", {"lc": ("lc",), "invoice": ("invoice",)}, "'unknown'")
+_COUNT = lambda p: f"len(regexp_extract_all(body, {text_sql(p)}))"
 ORACLE_SQL = {
     "sc57_business_impact": """WITH c AS (SELECT event_id, event_id * 29 % 101 / 100::DOUBLE AS score, event_id * 7 % 11 / 10::DOUBLE AS alignment, date_diff('day', CAST(ts AS DATE), DATE '2024-02-05') AS age, month(ts) AS m, event_id % 6 AS relations FROM events),
  i AS (SELECT *, round(greatest(0::DOUBLE, least(1::DOUBLE, 0.5::DOUBLE + 0.3::DOUBLE * score + 0.2::DOUBLE * alignment + 0.1::DOUBLE + least(0.3::DOUBLE, CASE WHEN age <= 7 THEN 1.5 WHEN age <= 30 THEN 1.2 WHEN age <= 90 THEN 0.8 WHEN age <= 365 THEN 0.5 ELSE 0 END::DOUBLE / 10 * 0.8::DOUBLE * 0.3::DOUBLE) + least(0.2::DOUBLE, 0.05::DOUBLE * relations))), 6) AS impact FROM c),
  k AS (SELECT *, CASE WHEN impact > 0.8 THEN 'critical' WHEN impact > 0.6 THEN 'high' WHEN impact > 0.4 THEN 'medium' ELSE 'low' END AS class FROM i)
  SELECT event_id, impact, class, CASE WHEN m IN (12, 1, 2) THEN 'winter' WHEN m IN (3, 4, 5) THEN 'spring' WHEN m IN (6, 7, 8) THEN 'summer' ELSE 'autumn' END AS season, round(0.3::DOUBLE * score + 0.25::DOUBLE * impact + 0.2::DOUBLE * alignment + 0.075::DOUBLE + 0.1::DOUBLE * CASE class WHEN 'critical' THEN 1 WHEN 'high' THEN 0.7 WHEN 'medium' THEN 0.5 ELSE 0.3 END::DOUBLE, 9) AS final FROM k""",
-    "sc98_document_type": "SELECT page_id, CASE " + " ".join(f"WHEN regexp_matches(lower({c}), '{'|'.join(t)}') THEN '{k}'" for c in ("url", "html") for k, t in {"invoice": ("invoice", "bill", "payment"), "report": ("report", "summary", "analysis"), "contract": ("contract", "agreement", "clause")}.items()) + " ELSE 'unknown' END AS kind FROM pages",
-    "sc101_text_quality": """WITH t AS (SELECT doc_id, greatest(0, 10 - CASE WHEN length(text) < 100 THEN 3 ELSE 0 END - CASE WHEN NOT contains(text, chr(10)) THEN 2 ELSE 0 END - CASE WHEN regexp_matches(text, '[*#&%]{3,}') THEN 3 ELSE 0 END - CASE WHEN length(regexp_replace(text, '[^A-Za-z]', '', 'g'))::DOUBLE / greatest(length(text), 1) < 0.5 THEN 2 ELSE 0 END) AS s FROM documents)
- SELECT doc_id, s / 10::DOUBLE AS score, CASE WHEN s >= 8 THEN 'excellent' WHEN s >= 6 THEN 'good' WHEN s >= 4 THEN 'fair' ELSE 'poor' END AS label FROM t""",
-    "sc91_dates": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(ts AS DATE) END AS day FROM events WHERE event_id < 1000",
+    "sc98_document_type": f"SELECT event_id, kind, CASE {' '.join(f"WHEN kind IN ({', '.join(map(text_sql, v))}) THEN {text_sql(k)}" for k, v in U.DEPARTMENTS_BY_TYPE.items())} ELSE 'commercial' END AS department, {cases_sql(_NAME, U.CATEGORIES, cases_sql('lower(text)', U.CATEGORIES, _FOLDER))} AS category FROM (SELECT *, {_KIND} AS kind FROM {_FILES})",
+    "sc90_currency": f"""SELECT event_id, replace(coalesce(nullif(regexp_extract(text, '([0-9][0-9,]*(?:[.][0-9]+)?) ?(USD|EUR|GBP|BDT)', 1), ''), nullif(regexp_extract(text, '(USD|EUR|GBP|BDT) ?([0-9][0-9,]*(?:[.][0-9]+)?)', 2), ''), nullif(regexp_extract(text, '[$]([0-9][0-9,]*(?:[.][0-9]+)?)', 1), '')), ',', '')::DOUBLE AS amount,
+ CASE WHEN regexp_matches(text, '[0-9] ?(USD|EUR|GBP|BDT)') THEN regexp_extract(text, '([0-9][0-9,]*(?:[.][0-9]+)?) ?(USD|EUR|GBP|BDT)', 2) WHEN regexp_matches(text, '(USD|EUR|GBP|BDT) ?[0-9]') THEN regexp_extract(text, '(USD|EUR|GBP|BDT) ?([0-9])', 1) WHEN regexp_matches(text, '[$][0-9]') THEN 'USD' END AS currency FROM {_FILES}""",
+    "sc101_text_quality": f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents), u AS (SELECT *, string_split_regex(body, '[.!?]+') AS parts FROM t),
+ v AS (SELECT doc_id, CASE WHEN body = '' THEN 0 ELSE greatest(0, 10 - CASE WHEN length(body) < 50 THEN 3 ELSE 0 END - CASE WHEN CAST({_COUNT(U.WORDS)} > 5 AS INT) + CAST({_COUNT(U.NUMBERS)} > 5 AS INT) + CAST({_COUNT(U.MARKS)} > 5 AS INT) < 2 THEN 2 ELSE 0 END
+  - CASE WHEN {' OR '.join(f"{_COUNT(p)} * 20 > length(body)" for p in U.ARTEFACTS)} THEN 3 ELSE 0 END - CASE WHEN {_COUNT('[a-zA-Z]')} * 2 < length(body) THEN 2 ELSE 0 END
+  - CASE WHEN len(list_filter(list_transform(parts, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 10 AND contains(x, ' '))) * 2 < len(parts) THEN 2 ELSE 0 END) END AS s FROM u)
+ SELECT doc_id, s / 10::DOUBLE AS score, CASE WHEN s >= 8 THEN 'excellent' WHEN s >= 6 THEN 'good' WHEN s >= 4 THEN 'fair' ELSE 'poor' END AS label FROM v""",
+    "sc91_dates": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(ts AS DATE) END AS day FROM events",
     "ag15_facets": "SELECT 'source' AS facet, source AS value, count(*) AS n FROM documents GROUP BY 2 UNION ALL SELECT 'lang', lang, count(*) FROM documents GROUP BY 2",
     "ag16_top_terms": "SELECT term, count(*) AS n FROM (SELECT unnest(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) > 0)) AS term FROM documents) GROUP BY 1 ORDER BY n DESC, term LIMIT 10",
     "ag17_focus_areas": "WITH s AS (SELECT l_returnflag, l_suppkey, sum(CAST(l_quantity AS BIGINT)) AS v FROM lineitem GROUP BY 1, 2) SELECT l_returnflag, arg_max(l_suppkey, (v, l_suppkey)) AS focus FROM s GROUP BY 1",

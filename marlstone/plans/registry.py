@@ -19,6 +19,9 @@ MODULES = (
     "marlstone.operators.answers",
     "marlstone.operators.typing_rules",
     "marlstone.operators.search",
+    "marlstone.operators.compression",
+    "marlstone.operators.rollups",
+    "marlstone.sources.store",
     "marlstone.sources.queries",
     "marlstone.streaming.queries",
 )

@@ -7,12 +7,15 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.streaming.jobs import daily_counts, rate_limited, read_log, run_available
+from marlstone.streaming.jobs import daily_counts, rate_limited, read_log, run_updates, running_totals
 
 
 def _folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="marlstone-")).rstrip("/")
+    """The shared folder of the cluster; a temporary one only on a local master where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (folder or "file://" + tempfile.mkdtemp(prefix="marlstone-")).rstrip("/")
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,20 +24,18 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_log(spark, f"{sf_dir}/events.parque[t]", spark.read.parquet(path).schema)
 
 
-def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days that the watermark has closed: all but the last two."""
-    path = run_available(daily_counts(_log(spark, sf_dir)), _folder(spark))
-    return spark.read.schema("day date, queries long, fallbacks long").parquet(path).filter("day < date'2024-01-28'")
+def _totals(s: SparkSession, d: str) -> DataFrame:
+    log = _log(s, d).withColumn("tokens", F.floor("value").cast("long"))
+    return run_updates(running_totals(log, "event_type", {"tokens_saved": "tokens"}), _folder(s), ["event_type", "day"])
 
 
-def _limited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = run_available(rate_limited(_log(spark, sf_dir), 0), _folder(spark))
-    out = spark.read.schema("user_id long, minute timestamp, requests long").parquet(path)
-    return out.filter("minute < timestamp'2024-01-28 00:00:00'").groupBy("user_id").agg(F.sum("requests").alias("requests"))
-
-
-QUERIES = {"st02_daily_stream": _daily, "st06_rate_limits": _limited}
+QUERIES = {
+    "st02_daily_stream": lambda s, d: run_updates(daily_counts(_log(s, d)), _folder(s), ["day"]),
+    "st05_running_totals": _totals,
+    "st06_rate_limits": lambda s, d: run_updates(rate_limited(_log(s, d), 1, "event_type"), _folder(s), ["event_type", "minute"]),
+}
 ORACLE_SQL = {
-    "st02_daily_stream": "SELECT CAST(ts AS DATE) AS day, count(*) AS queries, count(*) FILTER (event_type = 'error') AS fallbacks FROM events WHERE ts < TIMESTAMP '2024-01-28' GROUP BY 1",
-    "st06_rate_limits": "SELECT user_id, count(*) AS requests FROM events WHERE ts < TIMESTAMP '2024-01-28' GROUP BY 1",
+    "st02_daily_stream": "SELECT CAST(ts AS DATE) AS day, count(*) AS queries, count(*) FILTER (event_type = 'error') AS fallbacks FROM events GROUP BY 1",
+    "st05_running_totals": "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS tokens_saved FROM events GROUP BY 1, 2",
+    "st06_rate_limits": "SELECT event_type, CAST(date_trunc('minute', ts) AS TIMESTAMP) AS minute, count(*) AS requests FROM events GROUP BY 1, 2 HAVING count(*) > 1",
 }
