@@ -125,12 +125,9 @@ def quantities(text: Column) -> Column:
 
 TERMS = {"Letter of Credit": ("lc", "l/c"), "invoice": ("bill", "inv"), "machine": ("equipment",)}
 FOLDERS = {"Accounts": "Accounting", "Hr": "HR", "Plant": "Maintenance"}
-_FILE = pick(FILES, F.col("event_id"))
-_TEXT = pick(SNIPPETS, F.col("event_id"))
-
 
 def _events(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "events").select("event_id", "ts", _TEXT.alias("text"), pick(FILES, F.col("event_id") + F.floor(F.col("event_id") / 10)).alias("file"))
+    return table(s, d, "events").select("event_id", "ts", pick(SNIPPETS, F.col("event_id")).alias("text"), pick(FILES, F.col("event_id") + F.floor(F.col("event_id") / 10)).alias("file"))
 
 
 def _sc99(s: SparkSession, d: str) -> DataFrame:

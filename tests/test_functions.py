@@ -51,7 +51,7 @@ def test_budget_fold_properties(spark):
     cost = lambda t: max(1, len(t) // 4)
     for texts, budget in cases:
         got = one(spark, budget_fold(F.col("t"), budget), t=texts)
-        if got["texts"] and got["texts"][0] not in texts:
+        if cost(texts[0]) > budget:
             assert got["texts"] == [texts[0][: max(200, 4 * budget)]] and got["truncated"]
             continue
         left, room = list(got["texts"]), budget
