@@ -62,11 +62,11 @@ def adaptive_threshold(intent: Column, complexity: Column, entities: Column) ->
     return F.greatest(F.lit(0.1), F.least(F.lit(0.9), base + step - F.least(F.lit(0.1), 0.02 * entities)))
 
 
-def diverse(rows: DataFrame, query: str, order: list[Column], key: list[str], k: int) -> DataFrame:
-    """WN-05: the first k div 2 of a query as they come, then only rows whose key was not seen, k in all."""
+def diverse(rows: DataFrame, query: str, order: list[Column], key: list[str], k: int | Column) -> DataFrame:
+    """WN-05: the first k div 2 of a query as they come, then only rows whose key was not seen, k in all (a column: one value a query)."""
     w = Window.partitionBy(query).orderBy(*order)
     placed = rows.withColumn("pos", F.row_number().over(w)).withColumn("seen", F.row_number().over(Window.partitionBy(query, *key).orderBy("pos")))
-    passed = placed.filter((F.col("pos") <= k // 2) | (F.col("seen") == 1))
+    passed = placed.filter((F.col("pos") <= F.floor(F.lit(k) / 2)) | (F.col("seen") == 1))
     return passed.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy("pos"))).filter(F.col("rank") <= k).drop("pos", "seen")
 
 

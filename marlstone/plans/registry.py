@@ -21,6 +21,7 @@ MODULES = (
     "marlstone.operators.search",
     "marlstone.operators.compression",
     "marlstone.operators.rollups",
+    "marlstone.operators.staged",
     "marlstone.sources.store",
     "marlstone.sources.queries",
     "marlstone.streaming.queries",
