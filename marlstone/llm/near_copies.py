@@ -108,9 +108,12 @@ def bitmap(h: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((h >> 32) & (BITS - 1), minlength=BITS) & 1).astype(np.uint8))
 
 
-def _near(table: pa.Table, n: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _bits(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+
+
+def _near(bits: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Which pairs of rows x, y their bitmaps leave possible: sets at the threshold differ by (n + m) / 9 shingles at most."""
-    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64) if len(x) else None
     keep = np.zeros(len(x), dtype=bool)
     for at in range(0, len(x), 1 << 14):
         i, j = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
@@ -184,35 +187,44 @@ def _first_pairs(batches):
         y = np.concatenate([at, at[1:]])
         good = (x != y) & (token[x] == token[y]) & (n[x] * DEN >= n[y] * NUM)
         x, y = x[good], y[good]
-        near = _near(table, n, x, y)
+        near = _near(_bits(table), n, x, y)
         yield _pairs(ids[x[near]], ids[y[near]])
 
 
 def _other_pairs(batches):
-    """All members of a list that are in different components and near enough in size."""
+    """All members of a list that are in different components and near enough in size. Each step pairs all members that still
+    have one near enough in size with the member that many places on; sizes ascend within a list, so who has none drops out."""
     for table in _lists(batches):
         if not table.num_rows:
             continue
         token, ids, n, root = (np.asarray(table.column(c)) for c in ("token", "id", "n", "root"))
-        for lo, hi in zip(*_bounds(token)):
-            if hi - lo < 2 or (root[lo:hi] == root[lo]).all():
-                continue
-            part, m = table.slice(lo, hi - lo), n[lo:hi]
-            bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            for k in range(hi - lo - 1):
-                end = int(np.searchsorted(m, m[k] * DEN // NUM, side="right"))  # sizes ascend within a list
-                y = k + 1 + np.flatnonzero(root[lo + k + 1 : lo + end] != root[lo + k])
-                if len(y):
-                    y = y[np.bitwise_count(bits[y] ^ bits[k]).sum(1, dtype=np.int64) * (DEN + NUM) <= (m[k] + m[y]) * (DEN - NUM)]
-                if len(y):
-                    yield _pairs(np.full(len(y), ids[lo + k]), ids[lo + y])
+        starts, ends = _bounds(token)
+        mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+        bits = _bits(table) if mixed.any() else None
+        end = np.repeat(ends, ends - starts)
+        x, step = np.flatnonzero(np.repeat(mixed, ends - starts)), 0
+        while len(x):
+            step += 1
+            x = x[x + step < end[x]]
+            x = x[n[x + step] * NUM <= n[x] * DEN]
+            apart = x[root[x] != root[x + step]]
+            if len(apart):
+                near = apart[_near(bits, n, apart, apart + step)]
+                if len(near):
+                    yield _pairs(ids[near], ids[near + step])
 
 
 def _verified(batches):
+    """Pairs whose sets reach the threshold; the set of a text that several rows hold is made once."""
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            keep = [similar(shingles(p), shingles(q)) for p, q in zip(part.column("x").to_pylist(), part.column("y").to_pylist())]
+            part, made = batch.slice(at, 512), {}
+            keep = []
+            for a, b, p, q in zip(*(part.column(c).to_pylist() for c in ("a", "b", "x", "y"))):
+                for i, text in ((a, p), (b, q)):
+                    if i not in made:
+                        made[i] = shingles(text)
+                keep.append(similar(made[a], made[b]))
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
