@@ -19,8 +19,9 @@ read, so other columns can't clash.
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
+import gc
+from collections import defaultdict
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -40,63 +41,109 @@ RANGE_TERMS = 8192
 BLOCK_TERMS = 4096
 #: Terms of a block whose shares are held for all sources at once.
 STEP = 512
-#: Letters and everything beyond ASCII, in lower-cased UTF-8.
-_TERM = re.compile(rb"[a-z\x80-\xff]+")
+#: Bytes of text that are cut into terms at once.
+CHUNK = 16 << 20
+#: Letters are lowered, all else in ASCII is a space.
+_TABLE = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 LEAVES = "lang string, term string, docs long, sources array<string>, counts array<long>"
-KEPT = "lang string, block long, term string, sources array<string>, counts array<long>"
+KEPT = "lang string, term string, block long, sources array<string>, counts array<long>"
 RESULTS = "lang string, source string, part string, item string, value long"
 
 
-def terms_of(text: str) -> list[bytes]:
-    """A text's terms; only A to Z are lower-cased, since bytes know no other letters."""
-    return _TERM.findall(text.encode("utf-8", "surrogatepass").lower())
+def _without_gc(task):
+    """A task's generator, run without the search for cycles: tries are many small objects and have none."""
+
+    @wraps(task)
+    def run(batches):
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            yield from task(batches)
+        finally:
+            if was:
+                gc.enable()
+
+    return run
 
 
-def _leaf_batch(rows: list[tuple], block: bool = False) -> pa.RecordBatch:
-    lang, key, middle, counts = zip(*rows)
-    columns = [pa.array(lang, pa.string()), pa.array(key, pa.binary()).cast(pa.string()), pa.array(middle, pa.int64())]
-    if block:
-        columns = [columns[0], columns[2], columns[1]]
-    lists = [pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))]
-    return pa.RecordBatch.from_arrays([*columns, *lists], names=["lang", *(("block", "term") if block else ("term", "docs")), "sources", "counts"])
+def _batch(rows: list[tuple], middle: str) -> pa.RecordBatch:
+    """Rows of language, key, number, leaf as a batch."""
+    lang, key, number, leaves = zip(*rows)
+    offsets = pa.array(np.cumsum([0, *(len(x.counts) for x in leaves)]), pa.int32())
+    sources = pa.array([s for x in leaves for s in x.counts], pa.string())
+    counts = pa.array([n for x in leaves for n in x.counts.values()], pa.int64())
+    columns = {
+        "lang": pa.array(lang, pa.string()),
+        "term": pa.array(key, pa.binary()).cast(pa.string()),
+        middle: pa.array(number, pa.int64()),
+        "sources": pa.ListArray.from_arrays(offsets, sources),
+        "counts": pa.ListArray.from_arrays(offsets, counts),
+    }
+    return pa.RecordBatch.from_pydict(columns)
 
 
-def _in_batches(rows, size: int = 4096, block: bool = False):
+def _in_batches(rows, middle: str, size: int = 8192):
     held = []
     for r in rows:
         held.append(r)
         if len(held) == size:
-            yield _leaf_batch(held, block)
+            yield _batch(held, middle)
             held = []
     if held:
-        yield _leaf_batch(held, block)
+        yield _batch(held, middle)
+
+
+def _lists(column: pa.Array) -> tuple[list, list[int]]:
+    """The values of lists one after another, and where each list begins and the last ends."""
+    return column.flatten().to_pylist(), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(column), dtype=np.int64))]).tolist()
+
+
+def add_texts(tries: dict[str, RadixTrie], texts: list[str], langs: list[str], sources: list[str]) -> None:
+    """Counts the terms of some texts and puts them into the tries: one descent for each term of a language."""
+    spaced = pa.array([t.encode("utf-8", "surrogatepass").translate(_TABLE) for t in texts], pa.string())
+    lists = pc.ascii_split_whitespace(spaced)
+    doc = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(lists), dtype=np.int64))
+    flat = lists.flatten()
+    some = pc.greater(pc.binary_length(flat), 0)
+    coded, doc = flat.filter(some).dictionary_encode(), doc[np.asarray(some)]
+    code, terms = np.asarray(coded.indices, dtype=np.int64), coded.dictionary.cast(pa.binary()).to_pylist()
+    if not len(code):
+        return
+    lang_names, source_names = sorted(set(langs)), sorted(set(sources))
+    place = {x: i for i, x in enumerate(lang_names)}
+    lang = np.array([place[x] for x in langs])
+    place = {x: i for i, x in enumerate(source_names)}
+    source = np.array([place[x] for x in sources])
+    key, n = np.unique((lang[doc] * len(terms) + code) * len(source_names) + source[doc], return_counts=True)
+    once = np.sort(doc * len(terms) + code)
+    once = once[np.concatenate([[True], once[1:] != once[:-1]])]
+    _, docs = np.unique(lang[once // len(terms)] * len(terms) + once % len(terms), return_counts=True)
+    both, of = np.divmod(key, len(source_names))
+    starts = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+    cuts = [*starts.tolist(), len(both)]
+    of, n = [source_names[k] for k in of.tolist()], n.tolist()
+    at_lang, at_term = (x.tolist() for x in np.divmod(both[starts], len(terms)))
+    for i, (x, t, d) in enumerate(zip(at_lang, at_term, docs.tolist())):
+        lo, hi = cuts[i], cuts[i + 1]
+        tries[lang_names[x]].add(terms[t], of[lo:hi], n[lo:hi], d)
 
 
 def _counted(counters: int):
+    @_without_gc
     def run(batches):
         tries: dict[str, RadixTrie] = defaultdict(RadixTrie)
 
         def leaves():
-            yield from _in_batches((lang, key, docs, counts) for lang in sorted(tries) for key, counts, docs in tries[lang].walk())
+            yield from _in_batches(((lang, key, leaf.docs, leaf) for lang in sorted(tries) for key, leaf in tries[lang].walk()), "docs")
             tries.clear()
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                by_source: dict[tuple[str, str], Counter] = defaultdict(Counter)
-                docs: dict[str, Counter] = defaultdict(Counter)
-                for text, lang, source in zip(*(part.column(c).to_pylist() for c in ("text", "lang", "source"))):
-                    found = terms_of(text)
-                    by_source[lang, source].update(found)
-                    docs[lang].update(set(found))
-                for (lang, source), counts in by_source.items():
-                    trie = tries[lang]
-                    for key, n in counts.items():
-                        trie.add(key, ((source, n),), 0)
-                for lang, counts in docs.items():
-                    trie = tries[lang]
-                    for key, n in counts.items():
-                        trie.add(key, (), n)
+            columns = [batch.column(c).to_pylist() for c in ("text", "lang", "source")]
+            size = np.cumsum(np.asarray(pc.binary_length(batch.column("text")), dtype=np.int64)) // CHUNK
+            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo < hi:
+                    add_texts(tries, *[c[lo:hi] for c in columns])
                 if sum(t.counters for t in tries.values()) >= counters:
                     yield from leaves()
         yield from leaves()
@@ -107,6 +154,7 @@ def _counted(counters: int):
 def _merged(least_docs: int):
     """Leaves sorted by language and term; the merged leaves of enough documents out, with their block."""
 
+    @_without_gc
     def run(batches):
         from pyspark import TaskContext
 
@@ -115,22 +163,23 @@ def _merged(least_docs: int):
 
         def kept():
             nonlocal block, inside
-            for key, counts, docs in trie.walk():
-                if docs >= least_docs:
-                    yield lang, key, first + block, counts
+            for key, leaf in trie.walk():
+                if leaf.docs >= least_docs:
+                    yield lang, key, first + block, leaf
                     inside += 1
                     if inside == BLOCK_TERMS:
                         block, inside = block + 1, 0
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("lang", "term", "docs", "sources", "counts")]
-            for here, term, docs, sources, counts in zip(*columns):
+            terms = batch.column("term").cast(pa.binary()).to_pylist()
+            (sources, cuts), (counts, _) = _lists(batch.column("sources")), _lists(batch.column("counts"))
+            for i, (here, term, docs) in enumerate(zip(batch.column("lang").to_pylist(), terms, batch.column("docs").to_pylist())):
                 if here != lang or (trie.keys >= RANGE_TERMS and term != last):
-                    yield from _in_batches(kept(), block=True)
+                    yield from _in_batches(kept(), "block")
                     trie, lang = RadixTrie(), here
                 last = term
-                trie.add(term.encode("utf-8"), zip(sources, counts), docs)
-        yield from _in_batches(kept(), block=True)
+                trie.add(term, sources[cuts[i] : cuts[i + 1]], counts[cuts[i] : cuts[i + 1]], docs)
+        yield from _in_batches(kept(), "block")
 
     return run
 
@@ -190,7 +239,7 @@ def _scored(kept: pa.Table, totals: pa.Table) -> pa.Table:
 
 
 def kept_terms(spark: SparkSession, docs: DataFrame, least_docs: int = LEAST_DOCS, counters: int = COUNTERS) -> DataFrame:
-    """``lang, block, term, sources, counts``: the terms that enough documents of a language have, merged by prefix range."""
+    """``lang, term, block, sources, counts``: the terms that enough documents of a language have, merged by prefix range."""
     leaves, path = materialize(spark, docs.select("text", "lang", "source").mapInArrow(_counted(counters), LEAVES), "leaves")
     dealt = leaves.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term")
     kept, _ = materialize(spark, dealt.mapInArrow(_merged(least_docs), KEPT), "kept")
