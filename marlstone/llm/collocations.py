@@ -20,6 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -97,20 +98,17 @@ def _counted(width: int, shared, counted: int):
                 totals[lang] += len(found)
 
         for batch in batches:
-            waiting: dict[str, list[bytes]] = defaultdict(list)
-            size = 0
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                waiting[lang] += tokens_of(text)
-                size += len(text)
-                if size >= CHUNK:
-                    for x, tokens in waiting.items():
-                        take(x, tokens)
-                    waiting.clear()
-                    size = 0
-            for x, tokens in waiting.items():
-                take(x, tokens)
-            if sum(map(len, counts.values())) >= counted:
-                yield from rows()
+            size = np.cumsum(np.asarray(pc.binary_length(batch.column("text")), dtype=np.int64)) // CHUNK
+            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                some = batch.slice(lo, hi - lo)
+                tokens: dict[str, list[bytes]] = defaultdict(list)
+                for text, lang in zip(some.column("text").to_pylist(), some.column("lang").to_pylist()):
+                    tokens[lang] += tokens_of(text)
+                for lang in list(tokens):
+                    take(lang, tokens.pop(lang))
+                    if sum(map(len, counts.values())) >= counted:
+                        yield from rows()
         yield from rows()
         if totals:
             yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], names=["lang", "phrase", "n"])
