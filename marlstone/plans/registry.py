@@ -22,6 +22,8 @@ MODULES = (
     "marlstone.operators.compression",
     "marlstone.operators.rollups",
     "marlstone.operators.staged",
+    "marlstone.functions.table_functions",
+    "marlstone.functions.providers",
     "marlstone.sources.store",
     "marlstone.sources.queries",
     "marlstone.streaming.queries",
