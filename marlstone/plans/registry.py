@@ -24,6 +24,7 @@ MODULES = (
     "marlstone.operators.staged",
     "marlstone.functions.table_functions",
     "marlstone.functions.providers",
+    "marlstone.functions.entities",
     "marlstone.sources.store",
     "marlstone.sources.queries",
     "marlstone.streaming.queries",
