@@ -65,4 +65,4 @@ def test_wide_entities(spark):
 
 def test_given_texts_hold_terms(spark, sf_dir):
     kinds = {r["kind"] for r in E.QUERIES["jn12_terms"](spark, sf_dir).select("kind").distinct().collect()}
-    assert len(kinds) > 3
+    assert len(kinds) >= 3
