@@ -22,10 +22,12 @@ MODULES = (
     "marlstone.operators.compression",
     "marlstone.operators.rollups",
     "marlstone.operators.staged",
+    "marlstone.operators.traversal",
     "marlstone.functions.table_functions",
     "marlstone.functions.providers",
     "marlstone.functions.entities",
     "marlstone.sources.store",
+    "marlstone.sources.rebuild",
     "marlstone.sources.queries",
     "marlstone.streaming.queries",
 )

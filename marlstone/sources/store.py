@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.operators.traversal import reachable
 from marlstone.plans.samples import pick, pick_sql
 from marlstone.session import table
 
@@ -80,13 +81,11 @@ def allowed(name: Column, rules: dict[str, tuple[str, ...]]) -> Column:
 
 
 def below(folders: DataFrame, root: str) -> DataFrame:
-    """SRC-08: all folders below ``root`` (columns id, parent), by rounds of joins until none is added."""
-    level = folders.filter(F.col("parent") == root).select("id")
-    out = level
-    while not level.isEmpty():
-        level = folders.join(level.select(F.col("id").alias("parent")), "parent").select("id")
-        out = out.unionByName(level)
-    return out.distinct()
+    """SRC-08: all folders below ``root`` (columns id, parent), without itself. A folder that was seen is not looked into again,
+    so a cycle ends."""
+    edges = folders.select(F.col("parent").alias("source"), F.col("id").alias("target"))
+    top = folders.sparkSession.range(1).select(F.lit(root).alias("root"))
+    return reachable(edges, top).filter("hops > 0").select(F.col("node").alias("id"))
 
 
 def file_documents(files: DataFrame, columns: list[str]) -> DataFrame:
@@ -117,6 +116,12 @@ def _manifest(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").select("event_id", pick(NAMES, F.col("event_id")).alias("name"), F.col("ts").cast("timestamp").alias("modified"))
 
 
+def _cyclic(s: SparkSession, d: str) -> DataFrame:
+    """Suppliers and parts of large order lines, each in the other's folder."""
+    li = table(s, d, "lineitem").filter("l_quantity >= 49").select(F.concat(F.lit("s"), "l_suppkey").alias("id"), F.concat(F.lit("p"), "l_partkey").alias("parent"))
+    return li.unionByName(li.select(F.col("parent").alias("id"), F.col("id").alias("parent")))
+
+
 NAMES = ("Cash Book-2024.xlsx", "salary_sheet.xlsx", "order list.xlsx", "notes.txt")
 RULES = {"cash": ("cash", "book"), "salary": ("salarysheet",), "any sheet": ("xlsx",)}
 QUERIES = {
@@ -127,6 +132,7 @@ QUERIES = {
     "src06_modified_after": lambda s, d: modified_after(_manifest(s, d), "2024-01-15 12:00:00").select("event_id"),
     "src07_allow_list": lambda s, d: _manifest(s, d).select("event_id", allowed(F.col("name"), RULES).alias("file")),
     "src08_subfolders": lambda s, d: below(table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.floor(F.col("c_custkey") / 3).cast("string").alias("parent")).filter("id <> parent"), "5"),
+    "src08_cyclic_folders": lambda s, d: below(_cyclic(s, d), "s1"),
     "src28_file_documents": lambda s, d: file_documents(table(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.lit("commercial").alias("department"), F.array("s_name", F.col("s_nationkey").cast("string")).alias("entities"), "s_nationkey"), ["s_nationkey"]),
 }
 _C = "(SELECT o_custkey AS document, o_orderkey AS ordinal, 'c' || o_orderkey AS text, CASE WHEN o_custkey % 10 < 7 OR o_orderkey % 4 > 0 THEN o_orderkey::DOUBLE END AS vector FROM orders)"
@@ -138,5 +144,6 @@ ORACLE_SQL = {
     "src06_modified_after": "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-15 12:00:00'",
     "src07_allow_list": f"SELECT event_id, CASE {pick_sql(NAMES, 'event_id')} WHEN 'Cash Book-2024.xlsx' THEN 'cash' WHEN 'salary_sheet.xlsx' THEN 'salary' WHEN 'order list.xlsx' THEN 'any sheet' END AS file FROM events",
     "src08_subfolders": "WITH RECURSIVE f AS (SELECT c_custkey AS id, c_custkey // 3 AS parent FROM customer WHERE c_custkey <> c_custkey // 3), t AS (SELECT id FROM f WHERE parent = 5 UNION SELECT f.id FROM f JOIN t ON f.parent = t.id) SELECT CAST(id AS VARCHAR) AS id FROM t",
+    "src08_cyclic_folders": "WITH RECURSIVE f AS (SELECT 's' || l_suppkey AS id, 'p' || l_partkey AS parent FROM lineitem WHERE l_quantity >= 49 UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_quantity >= 49), t AS (SELECT id FROM f WHERE parent = 's1' UNION SELECT f.id FROM f JOIN t ON f.parent = t.id) SELECT id FROM t WHERE id <> 's1'",
     "src28_file_documents": "SELECT s_suppkey || '_' || kind AS id, kind, CASE kind WHEN 'overview' THEN 'File ' || s_name || ' of commercial' WHEN 'entities' THEN 'Entities: ' || s_name || ', ' || s_nationkey ELSE 's_nationkey: ' || s_nationkey END AS text FROM supplier, (SELECT unnest(['overview', 'entities', 'details']) AS kind)",
 }

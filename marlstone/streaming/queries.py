@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.sources.working import shared_folder
 from marlstone.streaming.jobs import daily_counts, rate_limited, read_log, run_updates, running_totals
 
 
-def _folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only on a local master where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return (folder or "file://" + tempfile.mkdtemp(prefix="marlstone-")).rstrip("/")
-
-
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     # a file stream takes folders or patterns; the pattern matches the one file or folder
@@ -26,13 +17,13 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _totals(s: SparkSession, d: str) -> DataFrame:
     log = _log(s, d).withColumn("tokens", F.floor("value").cast("long"))
-    return run_updates(running_totals(log, "event_type", {"tokens_saved": "tokens"}), _folder(s), ["event_type", "day"])
+    return run_updates(running_totals(log, "event_type", {"tokens_saved": "tokens"}), shared_folder(s), ["event_type", "day"])
 
 
 QUERIES = {
-    "st02_daily_stream": lambda s, d: run_updates(daily_counts(_log(s, d)), _folder(s), ["day"]),
+    "st02_daily_stream": lambda s, d: run_updates(daily_counts(_log(s, d)), shared_folder(s), ["day"]),
     "st05_running_totals": _totals,
-    "st06_rate_limits": lambda s, d: run_updates(rate_limited(_log(s, d), 1, "event_type"), _folder(s), ["event_type", "minute"]),
+    "st06_rate_limits": lambda s, d: run_updates(rate_limited(_log(s, d), 1, "event_type"), shared_folder(s), ["event_type", "minute"]),
 }
 ORACLE_SQL = {
     "st02_daily_stream": "SELECT CAST(ts AS DATE) AS day, count(*) AS queries, count(*) FILTER (event_type = 'error') AS fallbacks FROM events GROUP BY 1",
