@@ -23,6 +23,7 @@ MODULES = (
     "marlstone.operators.rollups",
     "marlstone.operators.staged",
     "marlstone.operators.traversal",
+    "marlstone.operators.windows",
     "marlstone.functions.table_functions",
     "marlstone.functions.providers",
     "marlstone.functions.entities",
