@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.plans.samples import QUESTIONS, pick, pick_sql, text_sql
+from marlstone.plans.samples import ASKED_SQL, asked, text_sql
 from marlstone.session import table
 
 # The patterns of the prompt classes, their length hints and sections, limits.
@@ -89,14 +89,14 @@ def _documents(s: SparkSession, d: str) -> DataFrame:
 
 
 def _prompts(s: SparkSession, d: str) -> DataFrame:
-    """Every document's own question; its context are the document's lines."""
-    rows = _documents(s, d).withColumn("question", pick(QUESTIONS, F.col("doc_id")))
+    """Every document's first line as the question; its context are the document's lines."""
+    rows = _documents(s, d).withColumn("question", F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(0)))
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(x) > 0)
     return rows.withColumn("context", context_block(lines)).withColumn("prompt", prompt(F.col("question"), F.col("context")))
 
 
 QUERIES = {
-    "sc11_prompt_class": lambda s, d: table(s, d, "events").select("event_id", prompt_class(pick(QUESTIONS, F.col("event_id"))).alias("class")),
+    "sc11_prompt_class": lambda s, d: asked(s, d).select("event_id", prompt_class(F.col("question")).alias("class")),
     "pf02_sources": lambda s, d: _documents(s, d).select("doc_id", source_display(F.col("file_name"), F.col("source")).alias("display")),
     "pf03_context_texts": lambda s, d: _documents(s, d).select("doc_id", context_text(*map(F.col, ("title", "file_name", "department", "source", "text"))).alias("context")),
     "pf04_fallback_shape": lambda s, d: fallback_shape(table(s, d, "documents").select("text", (F.col("doc_id") % 10 / 10).alias("similarity"), "doc_id", "lang")).select("metadata.doc_id", "metadata.lang", "score", F.length("text").alias("n")),
@@ -108,12 +108,12 @@ _DOCS = """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'Title ' || doc_
  CASE WHEN doc_id % 5 <> 0 THEN source END AS department, CASE WHEN doc_id % 3 = 0 THEN 'google_drive' ELSE 'local' END AS source, text FROM documents"""
 _CLASS = lambda q: f"CASE WHEN regexp_matches({q}, {text_sql(ANALYTICAL)}) THEN 'analytical' WHEN regexp_matches({q}, {text_sql(LOOKUP)}) THEN 'lookup' ELSE 'general' END"
 _BY = lambda v: "CASE class " + " ".join(f"WHEN {text_sql(k)} THEN {text_sql(x)}" for k, x in v.items()) + " END"
-_BLOCK = f"""WITH d AS ({_DOCS}), l AS (SELECT doc_id, {pick_sql(QUESTIONS, 'doc_id')} AS question, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(x) > 0) AS lines FROM d),
+_BLOCK = f"""WITH d AS ({_DOCS}), l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10))[1] AS question, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(x) > 0) AS lines FROM d),
  w AS (SELECT *, array_to_string(list_concat(['Context (retrieved documents):'], list_transform(list_transform(lines[1:{TOP}], lambda t: regexp_replace(t, {_SIDE}, '', 'g')), lambda b: chr(10) || '---' || chr(10) || CASE WHEN length(b) > {SNIPPET} THEN regexp_replace(substring(b, 1, {SNIPPET}), {_END}, '') || '…' ELSE b END)), chr(10)) AS whole FROM l),
  c AS (SELECT doc_id, regexp_replace(question, {_SIDE}, '', 'g') AS q, CASE WHEN len(lines) = 0 THEN {text_sql(NOTHING)} WHEN length(whole) > {CAP} THEN regexp_replace(substring(whole, 1, {CAP - 120}), {_END}, '') || chr(10) || chr(10) || {text_sql(MARK)} ELSE whole END AS context FROM w)
  """
 ORACLE_SQL = {
-    "sc11_prompt_class": f"SELECT event_id, {_CLASS('q')} AS class FROM (SELECT event_id, {pick_sql(QUESTIONS, 'event_id')} AS q FROM events)",
+    "sc11_prompt_class": f"SELECT event_id, {_CLASS('q')} AS class FROM (SELECT event_id, question AS q FROM ({ASKED_SQL}))",
     "pf02_sources": f"SELECT doc_id, coalesce(file_name, 'Unknown Document') || CASE WHEN source = 'google_drive' THEN ' (Google Drive)' ELSE '' END AS display FROM ({_DOCS})",
     "pf03_context_texts": f"SELECT doc_id, 'Document: ' || coalesce(nullif(title, ''), file_name, 'Untitled document') || ' | Department: ' || coalesce(department, 'General') || ' | Source: ' || CASE WHEN source = 'google_drive' THEN 'Google Drive' ELSE 'Local' END || chr(10) || substring(coalesce(text, ''), 1, 1200) AS context FROM ({_DOCS})",
     "pf04_fallback_shape": "SELECT doc_id, lang, doc_id % 10 / 10::DOUBLE AS score, length(coalesce(text, '')) AS n FROM documents",

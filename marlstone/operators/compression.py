@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators.questions import _asked
 from marlstone.operators.search import _R, ENTITIES
-from marlstone.plans.samples import SNIPPETS, count_of, count_sql, found, pick, pick_sql, text_sql
+from marlstone.plans.samples import ASKED_SQL, asked, count_of, count_sql, found, text_sql
 from marlstone.session import table
 
 # Business words, patterns of key facts, words by intent, seasons and departments in words.
@@ -142,13 +142,12 @@ RATIO = 0.7
 
 
 def _texts(s: SparkSession, d: str) -> DataFrame:
-    docs = table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return docs.unionByName(table(s, d, "events").select((-1 - F.col("event_id")).alias("doc_id"), pick(SNIPPETS, F.col("event_id")).alias("text")))
+    return asked(s, d).select(F.col("event_id").alias("doc_id"), F.col("question").alias("text"))
 
 
 def _chunks(s: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id")
-    rows = _asked(s, d).select("event_id", "question", "intent", "complexity", "suggested", F.transform("entities", lambda e: e["value"]).alias("names"), pick(SNIPPETS, k + F.floor(k / 10)).alias("snippet"), (k * 7 % 11 / 10).alias("business"), (k % 12 + 1).alias("month"))
+    rows = _asked(s, d).select("event_id", "question", "intent", "complexity", "suggested", F.transform("entities", lambda e: e["value"]).alias("names"), F.col("question").alias("snippet"), (k * 7 % 11 / 10).alias("business"), (k % 12 + 1).alias("month"))
     return rows.withColumn("level", F.when(k % 9 == 0, "critical").otherwise(chunk_priority(F.col("business"))))
 
 
@@ -169,7 +168,7 @@ QUERIES = {
     "wn08_priority_order": _ordered,
     "ag21_top_counts": lambda s, d: top_counts(table(s, d, "lineitem"), "l_orderkey", "l_linenumber", ["l_returnflag", "l_linestatus"], 3),
 }
-_T = f"SELECT doc_id, coalesce(text, '') AS body FROM documents UNION ALL SELECT -1 - event_id, {pick_sql(SNIPPETS, 'event_id')} FROM events"
+_T = f"SELECT event_id AS doc_id, question AS body FROM ({ASKED_SQL})"
 _S = "list_filter(list_transform(string_split_regex(body, '[.!?]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
 _IMP = f"{count_sql('lower(x)', ENTITIES)} * 10 + {count_sql('lower(x)', BUSINESS)} * 5 + CASE WHEN regexp_matches(x, '\\d') THEN 3 ELSE 0 END - CASE WHEN length(x) > 200 THEN 2 ELSE 0 END"
 _PICK = lambda items, n, glue: f"array_to_string(list_transform(list_sort(list_transform(list_slice(list_reverse_sort({items}), 1, {n}), lambda z: {{'i': z.i, 's': z.s}})), lambda z: z.s), {glue})"

@@ -1,4 +1,4 @@
-"""Query understanding as queries: every event asks one of the sample questions."""
+"""Query understanding as queries: over every turn, document and order in words."""
 
 from __future__ import annotations
 
@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import questions as Q
-from marlstone.plans.samples import QUESTIONS, any_sql, cases, cases_sql, found_sql, list_sql, pick, pick_sql, text_sql
-from marlstone.session import table
+from marlstone.plans.samples import ASKED_SQL, any_sql, asked, cases, cases_sql, found_sql, list_sql, text_sql
 
 NAMES = {"customers": ("Larkfield", "Osborne Mills"), "machines": ("machine 7",)}
 
@@ -35,7 +34,7 @@ def expanded(cleaned: str = "cleaned", expansion: str = "expansion"):
 
 
 def _asked(s: SparkSession, d: str) -> DataFrame:
-    return parsed(table(s, d, "events").select("event_id", pick(QUESTIONS, F.col("event_id")).alias("question")))
+    return parsed(asked(s, d))
 
 
 def _sc23(s: SparkSession, d: str) -> DataFrame:
@@ -98,7 +97,9 @@ def _ranked_sql() -> str:
 
 def _kinds_sql() -> str:
     one = lambda kind, ps: f"list_transform({found_sql('cleaned', ps)}, lambda v: {text_sql(kind)} || ':' || v)"
-    return f"list_concat(list_concat({one('financial_amount', Q.AMOUNTS)}, {one('date', Q.DATES)}), {one('reference_id', Q.REFERENCES)})"
+    # a letter beyond ASCII is part of a word, which this dialect's word boundary doesn't know
+    one_word = one("reference_id", Q.REFERENCES).replace("(cleaned,", "(regexp_replace(cleaned, '[^\\x00-\\x7F\\p{P}\\p{S}\\p{Z}\\p{C}]', '_', 'g'),")
+    return f"list_concat(list_concat({one('financial_amount', Q.AMOUNTS)}, {one('date', Q.DATES)}), {one_word})"
 
 
 def _constraints_sql() -> str:
@@ -127,7 +128,7 @@ _TYPES = "flatten([" + ", ".join(_list_if(any_sql("lower(cleaned)", t), k) for t
 _PROCESSES = "flatten([" + ", ".join(_list_if(any_sql("lower(cleaned)", t), (n,)) for n, t in Q.PROCESSES.items()) + "])"
 _TIMES = "flatten([" + ", ".join(f"regexp_extract_all(cleaned, {text_sql(p)}, 0)" for p in Q.TIMES) + "])"
 _PERIODS = "list_filter(list_transform(times, lambda r: CASE " + " ".join(f"WHEN lower(r) IN ({', '.join(map(text_sql, w))}) THEN {text_sql(n)}" for n, w in Q.PERIODS.items()) + " END), lambda p: p IS NOT NULL)"
-_WITH = f"""WITH a AS (SELECT event_id, {pick_sql(QUESTIONS, 'event_id')} AS question FROM events), b AS (SELECT *, {_clean_sql()} AS cleaned FROM a),
+_WITH = f"""WITH a AS ({ASKED_SQL}), b AS (SELECT *, {_clean_sql()} AS cleaned FROM a),
  c AS (SELECT *, {_ranked_sql()} AS ranked, {_kinds_sql()} AS entities, {_constraints_sql()} AS constraints, {_DEPARTMENTS} AS departments, {_TIMES} AS times FROM b),
  p AS (SELECT *, coalesce(ranked[1].name, 'unknown') AS intent, coalesce(ranked[1].score, 0::DOUBLE) AS intent_score, {_EXPANSION} AS expansion, list_sort(list_distinct(list_concat(departments, {_list_if(_MONEY, ('accounting',))}))) AS suggested, {_PERIODS} AS periods,
   len(list_filter(constraints, lambda c: starts_with(c, 'date_range'))) AS n_range, len(list_filter(constraints, lambda c: starts_with(c, 'department'))) AS n_dept, len(list_filter(entities, lambda e: starts_with(e, 'date:'))) AS n_date FROM c)

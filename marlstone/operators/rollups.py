@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.plans.samples import SNIPPETS, pick, pick_sql
+from marlstone.plans.samples import ASKED_SQL, asked, pick, pick_sql
 from marlstone.session import table
 
 # What a date looks like.
@@ -87,8 +87,8 @@ def _runs(s: SparkSession, d: str) -> DataFrame:
 
 
 def _contexts(s: SparkSession, d: str) -> DataFrame:
-    words = F.filter(F.split(F.lower(pick(SNIPPETS, F.col("event_id"))), "[^a-z]+"), lambda w: F.length(w) > 6)
-    return table(s, d, "events").select((F.col("event_id") % 4).alias("workbook"), words.alias("entities"), (F.col("event_id") * 29 % 101 / 100).alias("score"))
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"), lambda w: F.length(w) > 14)
+    return table(s, d, "documents").select(F.col("lang").alias("workbook"), words.alias("entities"), (F.col("n_chars") % 101 / 100).alias("score"))
 
 
 def _results(s: SparkSession, d: str) -> DataFrame:
@@ -109,7 +109,6 @@ def _sheets(s: SparkSession, d: str) -> DataFrame:
 
 
 _JSON = ('["a", "b"]', "", "not json", '{"a": 1}', "[]", '["x"]')
-_SCRIPTS = ("hello", "আমি বাংলা লিখি", "12 34", "mixed বাংলা and a long English text that goes on and on", "")
 QUERIES = {
     "ag23_batch_totals": lambda s, d: batch_totals(_runs(s, d), "event_type").select("event_type", "files", "chunks", F.round("mean_quality", 6).alias("mean_quality"), "least", "greatest", F.round("success_rate", 6).alias("success_rate")),
     "ag28_entity_union": lambda s, d: entity_union(_contexts(s, d), "workbook", "entities", "score").select("workbook", "good", F.array_join("entities", ",").alias("entities")),
@@ -118,18 +117,18 @@ QUERIES = {
     "pf20_used_columns": lambda s, d: used_columns(_cells(s, d), ["sheet"], "column"),
     "ag31_sheet_confidence": lambda s, d: sheet_confidence(_sheets(s, d)).select("c_custkey", F.round("confidence", 6).alias("confidence")),
     "sc113_json_strings": lambda s, d: table(s, d, "events").select("event_id", F.array_join(json_strings(pick(_JSON, F.col("event_id"))), ",").alias("values")),
-    "sc103_script": lambda s, d: table(s, d, "events").select("event_id", script(pick(_SCRIPTS, F.col("event_id"))).alias("script")),
+    "sc103_script": lambda s, d: table(s, d, "pages").select(F.col("page_id").alias("event_id"), F.col("html").alias("t")).unionByName(asked(s, d).select("event_id", F.col("question").alias("t"))).select("event_id", script(F.col("t")).alias("script")),
     "ag09_summary_full": lambda s, d: corpus_summary(table(s, d, "documents").select("source", F.col("doc_id").alias("document"), F.col("n_chars").alias("at"), (F.col("lang") == "en").alias("flag"), (F.col("doc_id") % 10).alias("relevance")), "source").select("source", "documents", "chunks", "newest", "flagged", F.round("relevance", 6).alias("relevance")),
 }
 _CELLS = "(SELECT o_custkey % 3 AS sheet, unnest(['key', 'date', 'status', 'none', 'mixed']) AS \"column\", unnest([CAST(o_orderkey AS VARCHAR), strftime(o_orderdate, '%Y-%m-%d'), o_orderstatus, NULL, CASE WHEN o_orderkey % 2 = 0 THEN '$ ' || o_orderkey ELSE 'n/a' END]) AS value FROM orders)"
 ORACLE_SQL = {
     "ag23_batch_totals": "SELECT event_type, count(*) AS files, CAST(sum(event_id % 7) AS BIGINT) AS chunks, round(avg(event_id * 29 % 101), 6) AS mean_quality, min(event_id * 29 % 101) AS least, max(event_id * 29 % 101) AS greatest, round(avg(CAST(event_id % 5 > 0 AS INT)), 6) AS success_rate FROM events GROUP BY 1",
-    "ag28_entity_union": f"WITH c AS (SELECT event_id % 4 AS workbook, list_filter(string_split_regex(lower({pick_sql(SNIPPETS, 'event_id')}), '[^a-z]+'), lambda w: length(w) > 6) AS es, event_id * 29 % 101 / 100::DOUBLE AS score FROM events) SELECT workbook, count(*) FILTER (score > 0.8) AS good, array_to_string(list_sort(list_distinct(flatten(list(es)))), ',') AS entities FROM c GROUP BY 1",
+    "ag28_entity_union": "WITH c AS (SELECT lang AS workbook, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z]+'), lambda w: length(w) > 14) AS es, n_chars % 101 / 100::DOUBLE AS score FROM documents) SELECT workbook, count(*) FILTER (score > 0.8) AS good, array_to_string(list_sort(list_distinct(flatten(list(es)))), ',') AS entities FROM c GROUP BY 1",
     "ag18_integration_totals": "SELECT CAST(sum(event_id % 4) AS BIGINT) AS relationships, CAST(sum(event_id % 3) AS BIGINT) AS insights, CAST(sum(event_id % 5) AS BIGINT) AS actions, count(DISTINCT event_id % 6) AS departments, count(DISTINCT event_id % 4) AS seasons FROM events",
     "sc96_column_kinds": f"SELECT sheet, \"column\", CASE WHEN count(value) = 0 THEN 'empty' WHEN count(*) FILTER (try_cast(regexp_replace(value, '[৳$,\\s]', '', 'g') AS DOUBLE) IS NOT NULL) > count(value) * 0.7 THEN 'numeric_data' WHEN count(*) FILTER (" + " OR ".join(f"regexp_matches(lower(value), '{p}')" for p in DATE_LIKE) + f") > count(value) * 0.5 THEN 'date_time' ELSE 'text_data' END AS kind FROM {_CELLS} GROUP BY 1, 2",
     "pf20_used_columns": f"SELECT DISTINCT sheet, \"column\" FROM {_CELLS} WHERE trim(value) <> ''",
     "ag31_sheet_confidence": "SELECT c_custkey, round((0.5::DOUBLE + 0.3::DOUBLE * (c_custkey % 5 / (c_custkey % 5 + 5)::DOUBLE) + least(0.2::DOUBLE, 0.02::DOUBLE * (c_custkey % 20))) * ((c_custkey % 9 + 2) / (c_custkey % 9 + 11)::DOUBLE), 6) AS confidence FROM customer",
     "sc113_json_strings": f"SELECT event_id, CASE {pick_sql(_JSON, 'event_id')} WHEN '[\"a\", \"b\"]' THEN 'a,b' WHEN '[\"x\"]' THEN 'x' ELSE '' END AS values FROM events",
-    "sc103_script": f"SELECT event_id, CASE WHEN len(regexp_extract_all(t, '[ঀ-৿]')) * 10 > length(t) THEN 'bengali' WHEN regexp_matches(t, '[A-Za-z]') THEN 'english' ELSE 'unknown' END AS script FROM (SELECT event_id, {pick_sql(_SCRIPTS, 'event_id')} AS t FROM events)",
+    "sc103_script": f"SELECT event_id, CASE WHEN len(regexp_extract_all(t, '[ঀ-৿]')) * 10 > length(t) THEN 'bengali' WHEN regexp_matches(t, '[A-Za-z]') THEN 'english' ELSE 'unknown' END AS script FROM (SELECT page_id AS event_id, html AS t FROM pages UNION ALL SELECT event_id, question FROM ({ASKED_SQL}))",
     "ag09_summary_full": "SELECT source, count(DISTINCT doc_id) AS documents, count(*) AS chunks, max(n_chars) AS newest, count(*) FILTER (lang = 'en') AS flagged, round(avg(doc_id % 10), 6) AS relevance FROM documents GROUP BY 1",
 }

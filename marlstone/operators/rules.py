@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import understanding as U
 from marlstone.functions.understanding import category, department_of_type, document_type, normalise_currency, normalise_date, text_quality
-from marlstone.plans.samples import FILES, SNIPPETS, cases_sql, pick, pick_sql, text_sql
+from marlstone.plans.samples import ASKED_SQL, asked, cases_sql, text_sql
 from marlstone.session import table
 
 
@@ -76,9 +76,8 @@ def _impact(s: SparkSession, d: str) -> DataFrame:
 
 
 def _files(s: SparkSession, d: str) -> DataFrame:
-    """Every event with a sample text and a sample file, in ever other pairs."""
-    k = F.col("event_id")
-    return table(s, d, "events").select("event_id", pick(SNIPPETS, k).alias("text"), pick(FILES, k + F.floor(k / 10)).alias("file"))
+    """Every turn, document and order in words with its file."""
+    return asked(s, d).select("event_id", F.col("question").alias("text"), "file")
 
 
 def _types(s: SparkSession, d: str) -> DataFrame:
@@ -104,7 +103,7 @@ QUERIES = {
     "so06_set_operations": lambda s, d: table(s, d, "orders").filter("o_totalprice > 100000").select("o_custkey").intersect(table(s, d, "customer").filter("c_acctbal > 0").select("c_custkey")).exceptAll(table(s, d, "orders").filter("o_orderstatus = 'P'").select("o_custkey")).distinct().withColumnRenamed("o_custkey", "k"),
 }
 _NAME = "lower(string_split(file, '/')[2])"
-_FILES = f"(SELECT event_id, {pick_sql(SNIPPETS, 'event_id')} AS text, {pick_sql(FILES, '(event_id + event_id // 10)')} AS file FROM events)"
+_FILES = f"(SELECT event_id, question AS text, file FROM ({ASKED_SQL}))"
 _KIND = cases_sql(_NAME, U.TYPES_BY_NAME, cases_sql("lower(text)", U.TYPES_BY_CONTENT, "'unknown'"))
 _FOLDER = cases_sql("lower(string_split(file, '/')[1])", {"lc": ("lc",), "invoice": ("invoice",)}, "'unknown'")
 _COUNT = lambda p: f"len(regexp_extract_all(body, {text_sql(p)}))"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.questions import CONTEXTS
 from marlstone.operators.questions import _WITH, _asked
-from marlstone.plans.samples import SNIPPETS, any_of, any_sql, count_of, count_sql, list_sql, pick, pick_sql, text_sql
+from marlstone.plans.samples import any_of, any_sql, count_of, count_sql, list_sql, pick, text_sql
 from marlstone.session import table
 
 # Routes with their steps, reference patterns, strategy labels.
@@ -175,17 +175,15 @@ def insights(pattern: Column, match: Column, others: Column, impact: Column) ->
 
 ENTITIES = ("Larkfield", "Machine 7", "LC-9921", "PO-118")
 KEYWORDS = {"accounting": ("payment", "balance", "budget", "due", "profit")}
-DEPARTMENTS = ("", "production", "accounting", "commercial", "")
 
 
 def _results(s: SparkSession, d: str) -> DataFrame:
-    """Every event's question with one result: a snippet, a department, an age and made-up scores."""
+    """Every question with one result: its own text, its department, an age and made-up scores."""
     k = F.col("event_id")
-    q = _asked(s, d).select("event_id", "question", "intent", "complexity", "constraints", "suggested", "times", "periods")
+    q = _asked(s, d).select("event_id", "question", "department", "intent", "complexity", "constraints", "suggested", "times", "periods")
     rows = q.select(
         "*",
-        pick(SNIPPETS, k + F.floor(k / 10)).alias("snippet"),
-        pick(DEPARTMENTS, k).alias("department"),
+        F.col("question").alias("snippet"),
         (k * 37 % 400).alias("age"),
         (k * 29 % 101 / 100).alias("similarity"),
         (k * 7 % 11 / 10).alias("business"),
@@ -253,8 +251,8 @@ QUERIES = {
     "pf22_temporal": _temporal,
     "tk03_ranked": _ranked,
 }
-_R = _WITH + f""", r AS (SELECT *, {pick_sql(SNIPPETS, '(event_id + event_id // 10)')} AS snippet, lower({pick_sql(SNIPPETS, '(event_id + event_id // 10)')}) AS low, {pick_sql(DEPARTMENTS, 'event_id')} AS department, event_id * 37 % 400 AS age,
- event_id * 29 % 101 / 100::DOUBLE AS similarity, event_id * 7 % 11 / 10::DOUBLE AS business, event_id * 13 % 17 / 16::DOUBLE AS impact, list_contains(suggested, {pick_sql(DEPARTMENTS, 'event_id')}) AS in_department,
+_R = _WITH + f""", r AS (SELECT *, question AS snippet, lower(question) AS low, event_id * 37 % 400 AS age,
+ event_id * 29 % 101 / 100::DOUBLE AS similarity, event_id * 7 % 11 / 10::DOUBLE AS business, event_id * 13 % 17 / 16::DOUBLE AS impact, list_contains(suggested, department) AS in_department,
  CASE WHEN n_points >= 4 THEN 'advanced' WHEN n_points >= 2 THEN 'complex' WHEN n_points >= 1 THEN 'moderate' ELSE 'simple' END AS complexity FROM (SELECT *, CASE WHEN len(entities) > 2 THEN 1 ELSE 0 END + CASE WHEN len(constraints) > 1 THEN 1 ELSE 0 END + CASE WHEN intent IN ('analysis_comparison', 'analysis_trend', 'analysis_financial') THEN 2 ELSE 0 END + CASE WHEN intent = 'operational_workflow' THEN 3 ELSE 0 END + CASE WHEN n_range > 0 THEN 1 ELSE 0 END AS n_points FROM p))
  """
 _JOIN = lambda items, sep: f"array_to_string(list_filter([{', '.join(items)}], lambda x: x IS NOT NULL), '{sep}')"
@@ -268,7 +266,7 @@ _BEST = "list_max([" + ", ".join(f"{{'n': {count_sql('low', terms)}, 'place': {-
 _Q = "lower(question)"
 ORACLE_SQL = {
     "sc43_entity_overlap": _R + f"SELECT event_id, {_OVERLAP} AS overlap FROM r",
-    "pf15_relevant": "SELECT event_id, event_id * 7 % 11 / 10::DOUBLE AS business FROM events WHERE event_id * 7 % 11 >= 3",
+    "pf15_relevant": _R + "SELECT event_id, business FROM r WHERE business >= 0.3",
     "sc45_cross_references": _R + "SELECT event_id, array_to_string(list_sort(list_distinct(flatten([" + ", ".join(f"regexp_extract_all(snippet, {text_sql(p)}, 1)" for p in CROSS_REFERENCES) + "]))), ',') AS refs FROM r",
     "sc45_related": "SELECT l_orderkey AS source, l_partkey AS target, n FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem WHERE l_partkey % 3 <> 1) WHERE n <= 2",
     "sc49_routes": _R + "SELECT event_id, CASE intent " + " ".join(f"WHEN {text_sql(n)} THEN {text_sql(v[0])}" for n, v in ROUTES.items()) + f" ELSE 'standard' END AS route, array_to_string(list_concat(list_concat({_STEPS(1)}, CASE WHEN {_HARD} THEN ['complex_query_decomposition'] ELSE [] END), CASE WHEN len(constraints) > 0 THEN ['constraint_validation'] ELSE [] END), ',') AS before, array_to_string(list_concat({_STEPS(2)}, CASE WHEN {_HARD} THEN ['multi_perspective_synthesis'] ELSE [] END), ',') AS after FROM r",

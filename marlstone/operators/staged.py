@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import graph
 from marlstone.operators.rerank import STRATEGIES, by_strategy, diverse, final_score, temporal_relevance
-from marlstone.plans.samples import FILES, any_of, any_sql, cases, cases_sql, count_of, count_sql, pick, pick_sql, text_sql
+from marlstone.plans.samples import any_of, any_sql, cases, cases_sql, count_of, count_sql, pick, pick_sql, text_sql
 from marlstone.session import table
 
 # Columns that a kind of sheet requires, those it may have, and words of its file's name.
@@ -154,6 +154,12 @@ def _sections(s: SparkSession, d: str) -> DataFrame:
     return sections(docs, "doc_id", "text", _MARKERS).withColumn("kind", section_kind(F.col("name")))
 
 
+FILES = (
+    "Larkfield/LC amendment 12.pdf", "Accounts/cash book 2024.xlsx", "Hr/salary sheet.xlsx", "Plant/machine schedule.csv", "Sales/export order 7.docx",
+    "Accounts/invoice 88.pdf", "Misc/notes.txt", "Reports/monthly summary.xlsx", "Commercial/urgent payment due.xlsx", "lc/scan.pdf",
+)
+
+
 def _sheet_patterns(s: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id")
     return table(s, d, "events").select("event_id", F.array_join(sheet_patterns(F.split(pick(_HEADERS, k), ","), F.split(pick(_KINDS, F.floor(k / 7)), ","), pick(FILES, F.floor(k / 35))), ",").alias("patterns"))

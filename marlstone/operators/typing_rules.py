@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.plans.samples import FILES, SNIPPETS, any_of, any_sql, cases, cases_sql, count_of, count_sql, pick, pick_sql, text_sql
+from marlstone.functions.understanding import CATEGORIES
+from marlstone.plans.samples import ASKED_SQL, any_of, any_sql, asked, cases, cases_sql, count_of, count_sql, text_sql
 from marlstone.session import table
 
 # The rule tables of the file and text classes.
@@ -127,7 +128,7 @@ TERMS = {"Letter of Credit": ("lc", "l/c"), "invoice": ("bill", "inv"), "machine
 FOLDERS = {"Accounts": "Accounting", "Hr": "HR", "Plant": "Maintenance"}
 
 def _events(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "events").select("event_id", "ts", pick(SNIPPETS, F.col("event_id")).alias("text"), pick(FILES, F.col("event_id") + F.floor(F.col("event_id") / 10)).alias("file"))
+    return asked(s, d).select("event_id", "ts", F.col("question").alias("text"), "file")
 
 
 def _sc99(s: SparkSession, d: str) -> DataFrame:
@@ -143,19 +144,18 @@ def _inventory(s: SparkSession, d: str) -> DataFrame:
     return _events(s, d).select(F.concat_ws("#", "file", k.cast("string")).alias("file_path"), status.alias("status"), (k % 8 + 1).alias("priority"), F.col("ts").alias("created_at"))
 
 
-_CATEGORIES = ("lc", "finance", "invoice", "hr", "inventory", "reports", "unknown", "other")
 QUERIES = {
     "sc100_text_class": lambda s, d: _events(s, d).select("event_id", text_class(F.col("text"), F.col("file")).alias("c")).select("event_id", "c.class", "c.confidence"),
     "sc102_credit": lambda s, d: _events(s, d).withColumn("confidence", credit_confidence(F.col("text"), F.col("file"))).select("event_id", "confidence", (F.col("confidence") > 0.5).alias("is_credit")),
     "sc104_pdf_quality": lambda s, d: table(s, d, "documents").select("doc_id", F.round(pdf_quality(F.coalesce("text", F.lit("")), F.col("doc_id") % 5, F.col("doc_id") % 5 + 1), 6).alias("quality")),
     "sc99_file_rules": _sc99,
     "sc95_likely_names": lambda s, d: table(s, d, "customer").select("c_custkey", likely_customer(F.concat_ws(" ", "c_name", F.when(F.col("c_custkey") % 3 == 0, "Ltd"))).alias("customer"), likely_staff(F.when(F.col("c_custkey") % 2 == 0, F.initcap("c_mktsegment")).otherwise(F.col("c_name"))).alias("staff")),
-    "tk11_priority": lambda s, d: table(s, d, "events").select("event_id", category_priority(pick(_CATEGORIES, F.col("event_id")), F.col("event_id") % 3 == 0).alias("priority")),
+    "tk11_priority": lambda s, d: _events(s, d).select("event_id", category_priority(cases(F.lower("text"), CATEGORIES, "unknown"), F.endswith("file", F.lit(".xlsx"))).alias("priority")),
     "jn19_folders": lambda s, d: _events(s, d).select("event_id", exact_lookup(F.get(F.split("file", "/"), F.lit(0)), FOLDERS).alias("department")),
     "src31_inventory": lambda s, d: to_analyse(_inventory(s, d), "Accounts").select("file_path", "status", "priority"),
     "sc92_terms": lambda s, d: _events(s, d).select("event_id", standard_terms(F.col("text"), TERMS).alias("standard"), F.array_join(F.transform(percentages(F.col("text")), lambda v: F.round(v * 100).cast("long").cast("string")), ",").alias("percent_hundredths"), F.array_join(quantities(F.col("text")), ",").alias("quantities")),
 }
-_E = f"(SELECT event_id, ts, {pick_sql(SNIPPETS, 'event_id')} AS text, lower({pick_sql(SNIPPETS, 'event_id')}) AS low, {pick_sql(FILES, '(event_id + event_id // 10)')} AS file, lower({pick_sql(FILES, '(event_id + event_id // 10)')}) AS name FROM events)"
+_E = f"(SELECT event_id, ts, question AS text, lower(question) AS low, file, lower(file) AS name FROM ({ASKED_SQL}))"
 
 
 def _class_sql() -> str:
@@ -185,7 +185,7 @@ ORACLE_SQL = {
     "sc104_pdf_quality": f"SELECT doc_id, round(CASE WHEN length(body) > 100 THEN least(1::DOUBLE, length(body) / 1000::DOUBLE) ELSE 0 END * 0.4::DOUBLE + (doc_id % 5) / (doc_id % 5 + 1)::DOUBLE * 0.3::DOUBLE + {count_sql("lower(body)", PDF_WORDS)} / 6::DOUBLE * 0.3::DOUBLE, 6) AS quality FROM (SELECT doc_id, coalesce(text, '') AS body FROM documents)",
     "sc99_file_rules": f"SELECT event_id, {cases_sql('name', FILE_PRIORITY, text_sql('medium'))} AS priority, {cases_sql('name', FILE_DEPARTMENT, 'NULL')} AS department, {cases_sql('name', PDF_PRIORITY, text_sql('medium'))} AS pdf_priority, {cases_sql('name', PDF_DEPARTMENT, 'NULL')} AS pdf_department FROM {_E}",
     "sc95_likely_names": "SELECT c_custkey, c_custkey % 3 = 0 AS customer, c_custkey % 2 = 0 AS staff FROM customer",
-    "tk11_priority": f"SELECT event_id, CASE WHEN event_id % 3 = 0 THEN greatest(1, r - 1) ELSE r END AS priority FROM (SELECT event_id, CASE {pick_sql(_CATEGORIES, 'event_id')} {' '.join(f'WHEN {text_sql(k)} THEN {v}' for k, v in CATEGORY_RANK.items())} ELSE 8 END AS r FROM events)",
+    "tk11_priority": f"SELECT event_id, CASE WHEN ends_with(file, '.xlsx') THEN greatest(1, r - 1) ELSE r END AS priority FROM (SELECT event_id, file, CASE {cases_sql('low', CATEGORIES, text_sql('unknown'))} {' '.join(f'WHEN {text_sql(k)} THEN {v}' for k, v in CATEGORY_RANK.items())} ELSE 8 END AS r FROM {_E})",
     "jn19_folders": f"SELECT event_id, CASE string_split(file, '/')[1] {' '.join(f'WHEN {text_sql(k)} THEN {text_sql(v)}' for k, v in FOLDERS.items())} END AS department FROM {_E}",
     "src31_inventory": f"SELECT file || '#' || event_id AS file_path, ['pending', 'completed', 'failed', 'needs_reprocessing'][CAST(event_id % 4 + 1 AS INT)] AS status, event_id % 8 + 1 AS priority FROM {_E} WHERE starts_with(file, 'Accounts') AND event_id % 4 <> 1",
     "sc92_terms": f"SELECT event_id, {_STANDARD} AS standard, array_to_string(list_transform(regexp_extract_all(text, '([0-9]+(?:\\.[0-9]+)?)\\s*%', 1), lambda v: CAST(CAST(round(round(v::DOUBLE, 2) * 100) AS BIGINT) AS VARCHAR)), ',') AS percent_hundredths, array_to_string(list_transform(list_zip(regexp_extract_all(text, {_Q}, 1), regexp_extract_all(text, {_Q}, 2)), lambda z: replace(z[1], ',', '') || ' ' || lower(z[2])), ',') AS quantities FROM {_E}",

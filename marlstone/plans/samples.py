@@ -1,40 +1,71 @@
-"""Questions, snippets and file names that the rule queries deal out to all rows of a table by its id, and rule tables as SQL."""
+"""The texts, questions and files that the rule queries read from the given tables, and rule tables as SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUESTIONS = (
-    "What is the total cost of yarn for the accounting department between 01/02/2024 and 15/02/2024?",
-    "Please compare revenue versus expense above 50,000 BDT",
-    "Show me the specific invoice number INV-2041",
-    "how has output changed over time, last quarter",
-    "Tell me about the payroll process for staff members",
-    "can you find all documents from customer Larkfield with amounts greater than 1,200.50",
-    "current status of MHM machine 7 today",
-    "i need to see the LC shipment planned for next month",
-    "hello",
-    "which is better: order PO-118 or order PO-204? less than $900",
-    "give me an overview of public reports, q3 2023 and March 2024",
-    "",
-)
-SNIPPETS = (
-    "Invoice: INV-77 for Larkfield Textile Ltd. Amount due 12,500 BDT by 10/02/2024. Payment terms 30 days!",
-    "Production report. Machine 7 ran 96.5% of the shift. Output was 1,200 pieces and 40 dozen.",
-    "Letter of credit no: LC-9921 from the issuing bank to the beneficiary. Documentary credit, USD 54,000.",
-    "date | item | qty | price\n2024-01-02 | yarn | 20 | 300\nnote without numbers\nTOTAL\n\nend 5",
-    "The agreement is a contract between the party of the first part and the party of the second. Whereas it holds.",
-    "Staff salary sheet for March; see order: PO-118 and ref: A-12",
-    "short",
-    "Revenue: $1,000 and cost: $250. Profit grew 12%. The budget is fine? Yes. Delivery to the customer went well.",
-    "",
-    "Quarterly financial statement with balance, trend and profit and loss for the month of May. Expense rose 7.25%.",
-)
-FILES = (
-    "Larkfield/LC amendment 12.pdf", "Accounts/cash book 2024.xlsx", "Hr/salary sheet.xlsx", "Plant/machine schedule.csv", "Sales/export order 7.docx",
-    "Accounts/invoice 88.pdf", "Misc/notes.txt", "Reports/monthly summary.xlsx", "Commercial/urgent payment due.xlsx", "lc/scan.pdf",
-)
+from marlstone.session import table
+
+#: Orders in words: by priority what is asked, with the order's own numbers and dates ({key}, {customer}, {price}, {day}, {later}).
+SENTENCES = {
+    "1-URGENT": "What is the total cost of order PO-{key} for the accounting department between {day} and {later}? Please compare revenue versus expense above {price} BDT",
+    "2-HIGH": "Show me the specific invoice number INV-{key} for Larkfield Textile Ltd. Amount due {price} BDT by {later}. Payment terms 30 days!",
+    "3-MEDIUM": "how has production output changed over time, last quarter? Machine 7 ran {customer}% of the shift since {day}. Output was {key} pieces and 40 dozen, cost: ${price}.",
+    "4-NOT SPECIFIED": "Tell me about the payroll process for staff members: salary sheet of {day}, ref: A-{key}, less than ${price}",
+    "5-LOW": "can you find all documents of the LC shipment planned for next month? Letter of credit no: LC-{key} from the issuing bank to the beneficiary, USD {price}, status {customer}",
+}
+#: Files by the state of an order, and by its priority where it is finished.
+FILES_BY_STATUS = {"O": "Plant/machine schedule {key}.csv", "P": "Sales/export order {key}.docx"}
+FILES_BY_PRIORITY = {
+    "1-URGENT": "Commercial/urgent payment due {key}.xlsx", "2-HIGH": "Accounts/invoice {key}.pdf", "3-MEDIUM": "Accounts/cash book {customer}.xlsx",
+    "4-NOT SPECIFIED": "Hr/salary sheet {key}.xlsx", "5-LOW": "Larkfield/LC amendment {customer}.pdf",
+}
+DEPARTMENT_BY_STATUS = {"F": "production", "O": "accounting", "P": "commercial"}
+_PIECES = {
+    "key": (lambda: F.col("o_orderkey").cast("string"), "CAST(o_orderkey AS VARCHAR)"),
+    "customer": (lambda: F.col("o_custkey").cast("string"), "CAST(o_custkey AS VARCHAR)"),
+    "price": (lambda: F.floor("o_totalprice").cast("string"), "CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR)"),
+    "day": (lambda: F.date_format("o_orderdate", "dd/MM/yyyy"), "strftime(o_orderdate, '%d/%m/%Y')"),
+    "later": (lambda: F.date_format(F.date_add(F.to_date("o_orderdate"), 14), "dd/MM/yyyy"), "strftime(CAST(o_orderdate AS DATE) + INTERVAL 14 DAY, '%d/%m/%Y')"),
+}
+
+
+def _parts(template: str) -> list[tuple[str, bool]]:
+    """A template's pieces in order: plain text, or the name of a value."""
+    return [(p, k % 2 == 1) for k, p in enumerate(re.split(r"[{}]", template)) if p]
+
+
+def _filled(template: str) -> Column:
+    return F.concat(*[_PIECES[p][0]() if named else F.lit(p) for p, named in _parts(template)])
+
+
+def _filled_sql(template: str) -> str:
+    return " || ".join(_PIECES[p][1] if named else text_sql(p) for p, named in _parts(template))
+
+
+def _by(column: str, templates: dict[str, str], otherwise: Column, fill=None) -> Column:
+    out = otherwise
+    for value, template in templates.items():
+        out = F.when(F.col(column) == value, (fill or _filled)(template)).otherwise(out)
+    return out
+
+
+def asked(s: SparkSession, d: str) -> DataFrame:
+    """event_id, question, department, file, ts: every turn and every document as it is, and every order in words."""
+    empty = F.lit("")
+    turns = table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("event_id"), F.coalesce("text", empty).alias("question"), empty.alias("department"), F.concat(F.lit("Turns/"), "role", F.lit(".txt")).alias("file"), F.lit(None).cast("timestamp").alias("ts"))
+    docs = table(s, d, "documents").select((F.col("doc_id") + 1_000_000_000).cast("long").alias("event_id"), F.coalesce("text", empty).alias("question"), empty.alias("department"), F.concat("source", F.lit("/"), "lang", F.lit(" text.txt")).alias("file"), F.lit(None).cast("timestamp").alias("ts"))
+    orders = table(s, d, "orders").select(
+        (F.col("o_orderkey") + 2_000_000_000).cast("long").alias("event_id"),
+        _by("o_orderpriority", SENTENCES, empty).alias("question"),
+        _by("o_orderstatus", DEPARTMENT_BY_STATUS, empty, F.lit).alias("department"),
+        _by("o_orderstatus", FILES_BY_STATUS, _by("o_orderpriority", FILES_BY_PRIORITY, F.lit("Misc/notes.txt"))).alias("file"),
+        F.col("o_orderdate").cast("timestamp").alias("ts"),
+    )
+    return turns.unionByName(docs).unionByName(orders)
 
 
 def pick(values: tuple[str, ...], by: Column) -> Column:
@@ -91,3 +122,13 @@ def cases(value: Column, rules: dict[str, tuple[str, ...]], otherwise) -> Column
 
 def cases_sql(value: str, rules: dict[str, tuple[str, ...]], otherwise: str) -> str:
     return "CASE " + " ".join(f"WHEN {any_sql(value, terms)} THEN {text_sql(name)}" for name, terms in rules.items()) + f" ELSE {otherwise} END"
+
+
+def _by_sql(column: str, templates: dict[str, str], otherwise: str, fill=_filled_sql) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN {text_sql(k)} THEN {fill(v)}" for k, v in templates.items()) + f" ELSE {otherwise} END"
+
+
+ASKED_SQL = f"""SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS event_id, coalesce(text, '') AS question, '' AS department, 'Turns/' || role || '.txt' AS file, CAST(NULL AS TIMESTAMP) AS ts FROM conversations
+ UNION ALL SELECT doc_id + 1000000000, coalesce(text, ''), '', source || '/' || lang || ' text.txt', NULL FROM documents
+ UNION ALL SELECT o_orderkey + 2000000000, {_by_sql('o_orderpriority', SENTENCES, "''")}, {_by_sql('o_orderstatus', DEPARTMENT_BY_STATUS, "''", text_sql)},
+ {_by_sql('o_orderstatus', FILES_BY_STATUS, _by_sql('o_orderpriority', FILES_BY_PRIORITY, text_sql('Misc/notes.txt')))}, CAST(o_orderdate AS TIMESTAMP) FROM orders"""

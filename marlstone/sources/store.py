@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.operators.traversal import reachable
-from marlstone.plans.samples import pick, pick_sql
+from marlstone.plans.samples import ASKED_SQL, asked, text_sql
 from marlstone.session import table
 
 
@@ -113,7 +113,7 @@ def _vectors(s: SparkSession, d: str) -> DataFrame:
 
 
 def _manifest(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "events").select("event_id", pick(NAMES, F.col("event_id")).alias("name"), F.col("ts").cast("timestamp").alias("modified"))
+    return asked(s, d).select("event_id", F.substring_index("file", "/", -1).alias("name"), F.col("ts").alias("modified"))
 
 
 def _cyclic(s: SparkSession, d: str) -> DataFrame:
@@ -122,14 +122,13 @@ def _cyclic(s: SparkSession, d: str) -> DataFrame:
     return li.unionByName(li.select(F.col("parent").alias("id"), F.col("id").alias("parent")))
 
 
-NAMES = ("Cash Book-2024.xlsx", "salary_sheet.xlsx", "order list.xlsx", "notes.txt")
 RULES = {"cash": ("cash", "book"), "salary": ("salarysheet",), "any sheet": ("xlsx",)}
 QUERIES = {
     "src19_reuse": lambda s, d: _vectors(s, d).select("document", "ordinal", F.element_at("vector", 1).alias("v"), "reused"),
     "src19_counts": lambda s, d: upsert_counts(_chunks(s, d)[0]),
     "src19_latest": lambda s, d: latest(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), table(s, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") % 3).alias("l_linenumber"), (-F.col("l_partkey")).alias("l_partkey")), ["l_orderkey"], "l_linenumber").select("l_orderkey", "l_linenumber", "l_partkey"),
     "src21_earlier_queries": lambda s, d: earlier_queries(table(s, d, "events").select(F.col("event_id").alias("query_id"), "user_id", F.floor(F.col("event_id") / 100).alias("batch"))).groupBy("query_id").agg(F.count("*").alias("n"), F.max("other_id").alias("last")),
-    "src06_modified_after": lambda s, d: modified_after(_manifest(s, d), "2024-01-15 12:00:00").select("event_id"),
+    "src06_modified_after": lambda s, d: modified_after(_manifest(s, d), "1996-01-15 12:00:00").select("event_id"),
     "src07_allow_list": lambda s, d: _manifest(s, d).select("event_id", allowed(F.col("name"), RULES).alias("file")),
     "src08_subfolders": lambda s, d: below(table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.floor(F.col("c_custkey") / 3).cast("string").alias("parent")).filter("id <> parent"), "5"),
     "src08_cyclic_folders": lambda s, d: below(_cyclic(s, d), "s1"),
@@ -141,8 +140,8 @@ ORACLE_SQL = {
     "src19_counts": f"SELECT count(DISTINCT document) AS documents, count(*) AS chunks, count(vector) AS embeddings, count(*) FILTER (vector IS NULL) AS errors FROM {_C}",
     "src19_latest": "WITH b AS (SELECT l_orderkey, l_linenumber, 0 AS is_new, l_partkey FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber % 3, 1, -l_partkey FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, is_new DESC, l_partkey DESC) AS n FROM b) WHERE n = 1",
     "src21_earlier_queries": "SELECT a.event_id AS query_id, count(*) AS n, max(b.event_id) AS last FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_id // 100 < a.event_id // 100 GROUP BY 1",
-    "src06_modified_after": "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-15 12:00:00'",
-    "src07_allow_list": f"SELECT event_id, CASE {pick_sql(NAMES, 'event_id')} WHEN 'Cash Book-2024.xlsx' THEN 'cash' WHEN 'salary_sheet.xlsx' THEN 'salary' WHEN 'order list.xlsx' THEN 'any sheet' END AS file FROM events",
+    "src06_modified_after": f"SELECT event_id FROM ({ASKED_SQL}) WHERE ts > TIMESTAMP '1996-01-15 12:00:00'",
+    "src07_allow_list": f"SELECT event_id, CASE {' '.join('WHEN ' + ' AND '.join(f'contains(name, {text_sql(w)})' for w in words) + f' THEN {text_sql(k)}' for k, words in RULES.items())} END AS file FROM (SELECT event_id, regexp_replace(lower(string_split(file, '/')[-1]), '[ _-]+', '', 'g') AS name FROM ({ASKED_SQL}))",
     "src08_subfolders": "WITH RECURSIVE f AS (SELECT c_custkey AS id, c_custkey // 3 AS parent FROM customer WHERE c_custkey <> c_custkey // 3), t AS (SELECT id FROM f WHERE parent = 5 UNION SELECT f.id FROM f JOIN t ON f.parent = t.id) SELECT CAST(id AS VARCHAR) AS id FROM t",
     "src08_cyclic_folders": "WITH RECURSIVE f AS (SELECT 's' || l_suppkey AS id, 'p' || l_partkey AS parent FROM lineitem WHERE l_quantity >= 49 UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_quantity >= 49), t AS (SELECT id FROM f WHERE parent = 's1' UNION SELECT f.id FROM f JOIN t ON f.parent = t.id) SELECT id FROM t WHERE id <> 's1'",
     "src28_file_documents": "SELECT s_suppkey || '_' || kind AS id, kind, CASE kind WHEN 'overview' THEN 'File ' || s_name || ' of commercial' WHEN 'entities' THEN 'Entities: ' || s_name || ', ' || s_nationkey ELSE 's_nationkey: ' || s_nationkey END AS text FROM supplier, (SELECT unnest(['overview', 'entities', 'details']) AS kind)",
