@@ -85,16 +85,27 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _sum(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(v.as_buffer(), np.int64) for v in table.column("v"))
-    return pa.table({"v": pa.array([total.tobytes()], pa.binary())})
+#: Numbers in a slice of a vector, and tasks whose slices meet at the first level.
+SLICE = 4096
+FAN = 1024
 
 
-def add_up(vectors: DataFrame, size: int, groups: int = 8) -> np.ndarray:
-    """The sum of vectors of ``size`` whole numbers (64-bit, as bytes in the one column), a row for each task: added in
-    ``groups`` parts, which the driver adds up."""
+def _sum(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(v.as_buffer(), np.int64) for v in table.column("v"))
+    return pa.table({"g": table.column("g")[:1], "slice": table.column("slice")[:1], "v": pa.array([total.tobytes()], pa.binary())})
+
+
+def add_up(vectors: DataFrame, size: int) -> np.ndarray:
+    """The sum of vectors of ``size`` whole numbers (64-bit, as bytes in the one column), a row for each task. Vectors are cut
+    into slices; the same slices of ``FAN`` tasks are added first, then those sums, so a million tasks give no task more than
+    ``FAN`` slices of 32 KB. The driver gets one vector."""
+    width = SLICE * 8
+    pieces = F.expr(f"transform(sequence(0, {size * 8 - 1}, {width}), i -> substring(v, cast(i + 1 as int), {width}))")
+    rows = vectors.toDF("v").select(F.floor(F.spark_partition_id() / FAN).cast("int").alias("g"), F.posexplode(pieces).alias("slice", "v"))
+    rows = rows.groupBy("g", "slice").applyInArrow(_sum, "g int, slice int, v binary")
+    rows = rows.withColumn("g", F.lit(0)).groupBy("g", "slice").applyInArrow(_sum, "g int, slice int, v binary")
     out = np.zeros(size, dtype=np.int64)
-    parts = vectors.toDF("v").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(groups)))
-    for r in parts.groupBy("g").applyInArrow(_sum, "v binary").toLocalIterator():
-        out += np.frombuffer(r["v"], np.int64)
+    for r in rows.toLocalIterator():
+        part = np.frombuffer(r["v"], np.int64)
+        out[r["slice"] * SLICE : r["slice"] * SLICE + len(part)] = part
     return out

@@ -253,3 +253,15 @@ def test_queries_match_sql(spark, sf_dir, name):
     df, want = QUERIES[name](spark, sf_dir), con.sql(ORACLE_SQL[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert sorted(tuple(r[c] for c in want.columns) for r in df.collect()) == sorted(want.fetchall())
+
+
+@pytest.mark.parametrize("size", [1, 5000, 9000])
+def test_vectors_add_up(spark, size, monkeypatch):
+    from marlstone.llm import common
+
+    rng = np.random.Generator(np.random.PCG64(2))
+    vectors = [rng.integers(-(1 << 40), 1 << 40, size) for _ in range(7)]
+    rows = spark.createDataFrame([(bytearray(v.tobytes()),) for v in vectors], "counts binary").repartition(5)
+    monkeypatch.setattr(common, "FAN", 2)
+    assert (common.add_up(rows, size) == sum(vectors)).all()
+    assert (common.add_up(rows.limit(0), size) == 0).all()
