@@ -84,6 +84,12 @@ ORACLE_SQL = {
  f AS (SELECT conv_id, 0::BIGINT AS i, 0::BIGINT AS kept, 0::BIGINT AS used, false AS truncated FROM (SELECT DISTINCT conv_id FROM c) UNION ALL
  SELECT f.conv_id, c.i, CASE WHEN used + n <= 100 THEN kept + 1 WHEN kept = 0 AND n > 100 THEN 1 ELSE kept END, CASE WHEN used + n <= 100 THEN used + n WHEN kept = 0 AND n > 100 THEN 100 ELSE used END, CASE WHEN used + n <= 100 THEN truncated ELSE true END FROM f JOIN c ON c.conv_id = f.conv_id AND c.i = f.i + 1)
  SELECT conv_id, kept, used, truncated FROM f QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1""",
+    "wn07_priority_packing": """WITH RECURSIVE c AS (SELECT conv_id, CAST(turn AS INT) AS pos, CASE WHEN turn = 0 THEN 0 ELSE 1 END AS priority, CAST(greatest(1, length(text) // 4) AS INT) AS n FROM conversations),
+ o AS (SELECT *, CAST(floor(n * 0.7::DOUBLE) AS INT) AS small, row_number() OVER (PARTITION BY conv_id ORDER BY priority, pos, n) AS i FROM c),
+ f AS (SELECT conv_id, 0::BIGINT AS i, 0 AS used, 0 AS pos, 0 AS tokens, false AS compressed FROM (SELECT DISTINCT conv_id FROM o) UNION ALL
+ SELECT f.conv_id, o.i, CASE WHEN used + n <= 120 THEN used + n WHEN priority > 0 AND used + small <= 120 THEN used + small ELSE used END, o.pos,
+  CASE WHEN used + n <= 120 THEN n WHEN priority > 0 AND used + small <= 120 THEN small END, used + n > 120 FROM f JOIN o ON o.conv_id = f.conv_id AND o.i = f.i + 1)
+ SELECT conv_id, pos, tokens, compressed FROM f WHERE i > 0 AND tokens IS NOT NULL""",
     "ag19_priority_histogram": f"SELECT conv_id, " + ", ".join(f"count(*) FILTER ({_PR} = '{p}') AS {p}" for p in ("critical", "high", "medium", "low")) + " FROM conversations GROUP BY 1",
     "ag20_context_quality": f"SELECT conv_id, round(CASE WHEN bool_or({_PR} = 'critical') THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN bool_or({_PR} = 'high') THEN 0.3::DOUBLE ELSE 0 END + 0.2::DOUBLE * avg(length(text) % 100 / 100) + 0.1::DOUBLE * avg(CAST(role = 'user' AS INT)), 6) AS quality FROM conversations GROUP BY 1",
 }
