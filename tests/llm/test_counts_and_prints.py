@@ -173,7 +173,7 @@ def brute_divergence(rows, least_docs):
 
 
 @pytest.mark.parametrize("counters", [400_000, 20])
-def test_op12(spark, empty, odd, counters, monkeypatch):
+def test_op12(spark, empty, odd, counters):
     from marlstone.llm import divergence
 
     rng = random.Random(6)
@@ -181,8 +181,6 @@ def test_op12(spark, empty, odd, counters, monkeypatch):
     rows = [(" ".join(rng.choice(words) + rng.choice(["", "!", "a"]) for _ in range(rng.randint(0, 12))), rng.choice(["en", None, "fr"]), rng.choice(["s", "t", None, "u"])) for _ in range(120)]
     rows += [("once only", "xx", "s"), (None, "xx", "t"), ("", "yy", "s")]
     df = spark.createDataFrame(rows, "text string, lang string, source string").withColumn("item", F.lit(1)).withColumn("block", F.lit(2)).repartition(3)
-    if counters == 20:  # in this process only the block size of the merge counts; tasks read the parameter
-        monkeypatch.setattr(divergence, "STEP", 3)
     got = sorted(tuple(r) for r in divergence.audit(spark, df, 3, counters).collect())
     assert got == brute_divergence(rows, 3)
     assert divergence.audit(spark, empty).count() == 0
