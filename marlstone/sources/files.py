@@ -14,7 +14,9 @@ INDEX_SCHEMA = f"dim int, items array<{INDEX_ITEM}>, version string, embedding_d
 def discover(spark: SparkSession, folder: str) -> DataFrame:
     """SRC-01, SRC-15, PF-18: supported files below ``folder`` with owner folder, name, title and text; files that are not text
     have null text, which an extractor may fill; empty ones are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    # other files are not opened
+    either_case = ",".join("".join(f"[{c.lower()}{c.upper()}]" for c in suffix) for suffix in SUPPORTED)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{either_case}}}").load(folder)
     path = F.regexp_replace("path", "^[a-z]+:/+", "/")
     name = F.element_at(F.split(path, "/"), -1)
     suffix = F.lower(F.regexp_extract(name, "\\.([^.]+)$", 1))

@@ -144,8 +144,9 @@ def test_discover_and_index(spark, tmp_path):
     (tmp_path / "HR desk" / "leave_policy.md").write_bytes(b"Leave \xff rules")
     (tmp_path / "HR desk" / "skip.xyz").write_text("no")
     (tmp_path / "HR desk" / "empty.txt").write_text("")
-    got = files.discover(spark, f"file://{tmp_path}").collect()
-    assert [(r["title"], r["text"], r["owner_folder"]) for r in got] == [("leave policy", "Leave  rules", "HR desk")]
+    (tmp_path / "HR desk" / "NOTES.Txt").write_text("loud")
+    got = files.discover(spark, f"file://{tmp_path}").orderBy(F.desc("title")).collect()
+    assert [(r["title"], r["text"], r["owner_folder"]) for r in got] == [("leave policy", "Leave  rules", "HR desk"), ("NOTES", "loud", "HR desk")]
     assert one(spark, files.department_of(F.col("f"), {"hr": "HR", "ptil": "Finance"}), f="Md. X (HR)") == "HR"
     (tmp_path / "a.json").write_text(json.dumps({"dim": 2, "items": [{"id": "x", "text": "t", "metadata": {"a": "b"}, "vector": [1.0, 2.0]}]}))
     (tmp_path / "b.json").write_text(json.dumps({"version": "2", "embedding_dim": 2, "documents": ["u"], "embeddings": [[3.0, 4.0]], "metadata": [{"c": "d"}]}))
