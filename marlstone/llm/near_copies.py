@@ -7,15 +7,20 @@ guaranteed number of shared bytes reaches, so an exact search adds the links tha
 Shingles have one order, rarest first by a vector of hashed counts over all documents (any order gives the same result; a
 good one keeps the lists short). Two sets of n and m shingles that reach the threshold share one of the first
 n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1 shingles, so each set enters the posting lists of its prefix only, and every
-pair that can be linked meets in a list. A bitmap of each set (the parity of its shingles by hash) bounds from below how
-many shingles two sets don't share; pairs beyond what the threshold allows are dropped within their list, and the others
-are verified on the whole sets.
+pair that can be linked meets in a list. In the list of the first shingle that two sets share, all that they share lies
+from there on, so a pair is taken up only where what is left of both sets reaches the threshold; the smaller set of a pair is
+then within n - ceil(8 n / 9) of its beginning (it leads), and entries that no such one can meet are dropped. A bitmap of
+each set (the parity of its shingles by hash) bounds from below how many shingles two sets don't share; pairs beyond what the
+threshold allows are dropped within their list. What is left is held against bitmaps of two bits a shingle and more, which
+grow with the sets (a set of 2300 shingles has 1 KB, not 14 KB of text), and the few pairs that pass are verified on the
+whole sets.
 
 Components are what counts, not pairs: after the fingerprints' links each list links its members in a chain and to its
 first member; then only members of different components are paired, so a large group of copies does not give its square.
 
-Sets are not stored: they are made from the texts where they are needed. One text of each set is kept in a table bucketed
-by the set's id, so that verifying pairs moves only the texts of pairs that the bitmaps leave.
+Sets are not stored: they are made from the texts where they are needed. One text of each set and its long bitmap are kept
+in a table bucketed by the set's id, so that verifying moves the long bitmaps of candidates and the texts of pairs that those
+leave.
 
 Defined results: words are lower-cased and split at white space; a text of fewer than five words is one shingle; null and
 empty texts and texts of white space are equal; shingles are compared by 64-bit hashes. Of a component the row of the
@@ -43,8 +48,12 @@ SEED = 42
 NUM, DEN = 4, 5
 #: Counters of the order of shingles.
 COUNTERS = 1 << 18
-#: Bits of a set's bitmap; the filter is exact at any size.
+#: Bits of a set's bitmap within the lists; the filter is exact at any size.
 BITS = 512
+#: Bits of the long bitmap for each shingle, at least; their number is a power of two.
+LONG_BITS = 2
+#: A list's entry has the set's size and the shingle's place in its order in one number.
+PLACE = 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -104,8 +113,37 @@ def _marked(batches):
         yield pa.RecordBatch.from_arrays(columns, names=[*[f.name for f in MARKED], "doc_id"])
 
 
-def bitmap(h: np.ndarray) -> np.ndarray:
-    return np.packbits((np.bincount((h >> 32) & (BITS - 1), minlength=BITS) & 1).astype(np.uint8))
+def bitmap(h: np.ndarray, bits: int = BITS) -> np.ndarray:
+    return np.packbits((np.bincount((h >> 32) & (bits - 1), minlength=bits) & 1).astype(np.uint8))
+
+
+def long_bitmap(h: np.ndarray) -> np.ndarray:
+    return bitmap(h, max(BITS, 1 << (LONG_BITS * max(len(h), 1) - 1).bit_length()))
+
+
+def close(a: bytes, n: int, b: bytes, m: int) -> bool:
+    """Whether the long bitmaps of sets of n and m shingles leave it possible that they reach the threshold. The longer one
+    is folded to the length of the other."""
+    size = min(len(a), len(b))
+    x, y = (np.bitwise_xor.reduce(np.frombuffer(v, np.uint8).reshape(-1, size), axis=0) for v in (a, b))
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) * (DEN + NUM) <= (n + m) * (DEN - NUM)
+
+
+def _with_bitmaps(batches):
+    """id, text to id, text, n, long bitmap."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            sets = [shingles(t) for t in part.column("text").to_pylist()]
+            columns = [part.column("id"), part.column("text"), pa.array([len(s) for s in sets], pa.int64()), pa.array([long_bitmap(s).tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "n", "long"])
+
+
+def _close(batches):
+    """Pairs that their long bitmaps leave."""
+    for batch in batches:
+        keep = [close(p, n, q, m) for p, n, q, m in zip(*(batch.column(c).to_pylist() for c in ("x", "n", "y", "m")))]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _bits(table: pa.Table) -> np.ndarray:
@@ -125,15 +163,15 @@ def _postings(counts):
     def run(batches):
         often = counts.value
         for batch in batches:
-            tokens, ids, sizes = [], [], []
+            tokens, ids, spots = [], [], []
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 h = shingles(text)
                 first = h[np.lexsort((h, often[h & (COUNTERS - 1)]))][: prefix_length(len(h))]
                 tokens.append(first)
                 ids.append(np.full(len(first), i))
-                sizes.append(np.full(len(first), len(h)))
+                spots.append((len(h) << PLACE) + np.arange(len(first)))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (tokens, ids, sizes)], names=["token", "id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (tokens, ids, spots)], names=["token", "id", "spot"])
 
     return run
 
@@ -163,51 +201,83 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
+def _sizes(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Of each entry the size of its set and how many of its shingles are left from this one on."""
+    spot = np.asarray(table.column("spot"))
+    n = spot >> PLACE
+    return n, n - (spot & ((1 << PLACE) - 1))
+
+
+def _reach(n: np.ndarray, left: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs can reach the threshold if this is the first shingle that they share."""
+    return np.minimum(left[x], left[y]) * (NUM + DEN) >= (n[x] + n[y]) * NUM
+
+
+def _leads(n: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Which entries can be the smaller set of a pair, or as large as the other."""
+    return left * (NUM + DEN) >= 2 * n * NUM
+
+
+def _leaders(leads: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each entry the last one before it in its list that leads, or itself where there is none."""
+    at = np.arange(len(leads))
+    last = np.concatenate([[-1], np.maximum.accumulate(np.where(leads, at, -1))[:-1]])
+    return np.where(last >= first, last, at)
+
+
 def _shared(batches):
-    """The rows of lists with more than one member."""
+    """The entries that can meet another in their list: entries ascend by size, those of equal size by place."""
     for table in _lists(batches):
         if not table.num_rows:
             continue
         token = np.asarray(table.column("token"))
+        n, left = _sizes(table)
         starts, ends = _bounds(token)
-        many = np.repeat(ends - starts > 1, ends - starts)
-        yield from table.filter(pa.array(many)).to_batches()
+        at, leads = np.arange(len(token)), _leads(n, left)
+        before = _leaders(leads, np.repeat(starts, ends - starts))
+        after = np.minimum(at + 1, len(at) - 1)
+        meets = (before != at) & (n[before] * DEN >= n * NUM)
+        meets |= leads & (after != at) & (token[after] == token) & (n * DEN >= n[after] * NUM)
+        yield from table.filter(pa.array(meets)).to_batches()
 
 
 def _first_pairs(batches):
-    """Each member with the one before it, by size, and with the first of its list."""
+    """Each member with the last one before it, by size, that leads, and with the first of its list."""
     for table in _lists(batches):
         if not table.num_rows:
             continue
-        token, ids, n = (np.asarray(table.column(c)) for c in ("token", "id", "n"))
+        token, ids = (np.asarray(table.column(c)) for c in ("token", "id"))
+        n, left = _sizes(table)
         starts, ends = _bounds(token)
         first = np.repeat(starts, ends - starts)
         at = np.arange(len(token))
-        x = np.concatenate([first, at[:-1]])
-        y = np.concatenate([at, at[1:]])
-        good = (x != y) & (token[x] == token[y]) & (n[x] * DEN >= n[y] * NUM)
+        x = np.concatenate([first, _leaders(_leads(n, left), first)])
+        y = np.concatenate([at, at])
+        good = (x != y) & (n[x] * DEN >= n[y] * NUM) & _reach(n, left, x, y)
         x, y = x[good], y[good]
         near = _near(_bits(table), n, x, y)
         yield _pairs(ids[x[near]], ids[y[near]])
 
 
 def _other_pairs(batches):
-    """All members of a list that are in different components and near enough in size. Each step pairs all members that still
-    have one near enough in size with the member that many places on; sizes ascend within a list, so who has none drops out."""
+    """All members of a list that are in different components and near enough in size. Each step pairs all leading members that
+    still have one near enough in size with the member that many places on; sizes ascend within a list, so who has none drops
+    out."""
     for table in _lists(batches):
         if not table.num_rows:
             continue
-        token, ids, n, root = (np.asarray(table.column(c)) for c in ("token", "id", "n", "root"))
+        token, ids, root = (np.asarray(table.column(c)) for c in ("token", "id", "root"))
+        n, left = _sizes(table)
         starts, ends = _bounds(token)
         mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
         bits = _bits(table) if mixed.any() else None
         end = np.repeat(ends, ends - starts)
-        x, step = np.flatnonzero(np.repeat(mixed, ends - starts)), 0
+        x, step = np.flatnonzero(np.repeat(mixed, ends - starts) & _leads(n, left)), 0
         while len(x):
             step += 1
             x = x[x + step < end[x]]
             x = x[n[x + step] * NUM <= n[x] * DEN]
-            apart = x[root[x] != root[x + step]]
+            apart = x[(root[x] != root[x + step]) & _reach(n, left, x, x + step)]
             if len(apart):
                 near = apart[_near(bits, n, apart, apart + step)]
                 if len(near):
@@ -229,8 +299,14 @@ def _verified(batches):
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    one = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "x"}), "a")
-    both = one.join(texts.withColumnsRenamed({"id": "b", "text": "y"}), "b")
+    """The pairs that reach the threshold: by their long bitmaps first, then by their texts."""
+    maps = texts.select("id", "n", "long")
+    one = pairs.join(maps.withColumnsRenamed({"id": "a", "long": "x"}), "a")
+    both = one.join(maps.withColumnsRenamed({"id": "b", "n": "m", "long": "y"}), "b")
+    pairs = both.mapInArrow(_close, "a long, b long")
+    whole = texts.select("id", "text")
+    one = pairs.join(whole.withColumnsRenamed({"id": "a", "text": "x"}), "a")
+    both = one.join(whole.withColumnsRenamed({"id": "b", "text": "y"}), "b")
     return both.mapInArrow(_verified, "a long, b long")
 
 
@@ -248,18 +324,18 @@ def fingerprint_pairs(spark: SparkSession, groups: DataFrame) -> DataFrame:
 
 
 def classes(spark: SparkSession, groups: DataFrame, texts: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``a, b``: every set (columns id, fp, bits; its text in ``texts``, bucketed by id) that is linked to one of a smaller
+    """``a, b``: every set (columns id, fp, bits; its text and long bitmap in ``texts``, bucketed by id) that is linked to one of a smaller
     id, and the least id of its component."""
     shared = spark.sparkContext.broadcast(counts)
-    postings = texts.mapInArrow(_postings(shared), "token long, id long, n long")
-    lists = postings.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(_shared, "token long, id long, n long")
+    postings = texts.select("id", "text").mapInArrow(_postings(shared), "token long, id long, spot long")
+    lists = postings.repartition("token").sortWithinPartitions("token", "spot", "id").mapInArrow(_shared, "token long, id long, spot long")
     lists, at_lists = materialize(spark, lists, "lists")
     bits = groups.select("id", "bits")
-    ordered = lists.join(bits, "id").repartition("token").sortWithinPartitions("token", "n", "id")
+    ordered = lists.join(bits, "id").repartition("token").sortWithinPartitions("token", "spot", "id")
     pairs = ordered.mapInArrow(_first_pairs, "a long, b long").unionByName(fingerprint_pairs(spark, groups)).distinct()
     first, at_first = materialize(spark, _links(pairs, texts), "links")
     roots = components(spark, first)
-    ordered = _rooted(lists.join(bits, "id"), roots).repartition("token").sortWithinPartitions("token", "n", "id")
+    ordered = _rooted(lists.join(bits, "id"), roots).repartition("token").sortWithinPartitions("token", "spot", "id")
     other, at_other = materialize(spark, _links(ordered.mapInArrow(_other_pairs, "a long, b long").distinct(), texts), "links")
     out = components(spark, roots.unionByName(other))
     remove(spark, at_lists, at_first, at_other)
@@ -279,6 +355,7 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     counts = add_up(marked.filter("counts is not null").select("counts"), COUNTERS)
     remove(spark, at_marked)
     texts = addressed.select(*at, "text").join(groups.select("id", "o.file", "o.row"), ["file", "row"]).select("id", "text")
+    texts = texts.mapInArrow(_with_bitmaps, "id long, text string, n long, long binary")
     texts, name, at_texts = bucketed(spark, texts, "set_texts", "id")
     roots = classes(spark, groups, texts, counts)
     best = _rooted(groups, roots).groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.file").alias(file), F.col("o.row").alias(row))
