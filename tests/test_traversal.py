@@ -35,6 +35,23 @@ def test_reachable_on_graphs_with_cycles(spark, rounds):
     assert T.reachable(df.limit(0), roots.limit(0)).count() == 0
 
 
+def test_reachable_keeps_no_row_a_pair(spark, monkeypatch):
+    """1100 roots (three blocks) over one hub to 40 nodes and back: rows of rounds go by node and block, not by pair."""
+    edges = spark.createDataFrame([(f"r{i}", "hub") for i in range(1100)] + [("hub", f"n{i}") for i in range(40)] + [("n0", "hub"), ("n1", "r5")], "source string, target string")
+    roots, rows, write = spark.createDataFrame([(f"r{i}",) for i in range(1100)], "root string"), [], T.written
+
+    def counted(df, name):
+        out = write(df, name)
+        rows.append(out[0].count() if name == "frontier" else 0)
+        return out
+
+    monkeypatch.setattr(T, "written", counted)
+    got = {(r.root, r.node, r.hops) for r in T.reachable(edges, roots).collect()}
+    want = {(f"r{i}", n, h) for i in range(1100) for n, h in [(f"r{i}", 0), ("hub", 1)] + [(f"n{k}", 2) for k in range(40)] + ([("r5", 3)] if i != 5 else [])}
+    assert got == want
+    assert sum(rows) < 5000
+
+
 def test_folders_in_a_circle_end(spark):
     folders = spark.createDataFrame([("b", "a"), ("c", "b"), ("a", "c"), ("d", "c"), ("e", "z"), ("c", "b")], "id string, parent string")
     assert sorted(r["id"] for r in below(folders, "a").collect()) == ["b", "c", "d"]
