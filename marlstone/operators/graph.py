@@ -14,23 +14,37 @@ def adjacent(chunks: DataFrame, within: list[str], order: str, key: str) -> Data
     return chunks.select(*within, F.col(key).alias("source_id"), nxt.alias("target_id")).filter("target_id is not null")
 
 
+# Fixed value: sets of up to so many terms travel with each of their terms, and pairs of them are verified where they meet.
+WIDE = 32
+
+
 def shared_terms(rows: DataFrame, within: list[str], key: str, terms: str, floor: float, denominator: str = "min") -> DataFrame:
     """JN-13 to JN-16: pairs a < b in the same ``within`` whose sets of terms overlap by more than ``floor`` of the smaller set
     (``min``) or of both (``union``). A pair above the floor shares one of the smaller set's rarest terms, so only those meet
-    the other sets: a term that a third of all rows hold comes last and is hardly ever joined. What meets is then verified."""
+    the other sets: a term that a third of all rows hold comes last and is hardly ever joined. A pair is verified where it meets
+    first, at the rarest term it shares, and moves no more; where the larger set has over ``WIDE`` terms, pairs meet without
+    their sets, count once and are joined with them."""
     each = rows.select(*within, F.col(key).alias("k"), F.explode(F.array_distinct(terms)).alias("term"))
     common = each.groupBy(*within, "term").agg(F.count("*").alias("df"))
     sets = each.join(common, [*within, "term"]).groupBy(*within, "k").agg(F.sort_array(F.collect_list(F.struct("df", "term")))["term"].alias("t"))
     n = F.size("t")
     rare = F.slice("t", F.lit(1), n - F.floor(n * F.lit(floor)).cast("int"))
-    small = sets.select(*within, F.col("k").alias("a"), n.alias("na"), F.explode(rare).alias("term"))
-    large = sets.select(*within, F.col("k").alias("b"), n.alias("nb"), F.explode("t").alias("term"))
-    met = small.join(large, [*within, "term"]).filter("na < nb or (na = nb and a < b)")
-    met = met.select(*within, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    both = met.join(sets.withColumnsRenamed({"k": "a", "t": "ta"}), [*within, "a"]).join(sets.withColumnsRenamed({"k": "b", "t": "tb"}), [*within, "b"])
+    narrow, smaller = n <= WIDE, "na < nb or (na = nb and a < b)"
     shared = F.size(F.array_intersect("ta", "tb"))
     base = F.least(F.size("ta"), F.size("tb")) if denominator == "min" else F.size("ta") + F.size("tb") - shared
-    return both.withColumn("overlap", shared / base).filter(F.col("overlap") > floor).select(*within, "a", "b", F.round("overlap", 6).alias("overlap"))
+
+    def small(of: DataFrame, *more) -> DataFrame:
+        return of.select(*within, F.col("k").alias("a"), n.alias("na"), *more, F.explode(rare).alias("term"))
+
+    def large(of: DataFrame, *more) -> DataFrame:
+        return of.select(*within, F.col("k").alias("b"), n.alias("nb"), *more, F.explode("t").alias("term"))
+
+    met = small(sets.filter(narrow), F.col("t").alias("ta")).join(large(sets.filter(narrow), F.col("t").alias("tb")), [*within, "term"]).filter(smaller)
+    near = met.filter(F.get(F.array_intersect("ta", "tb"), F.lit(0)) == F.col("term"))
+    far = small(sets).join(large(sets.filter(~narrow)), [*within, "term"]).filter(smaller).select(*within, "a", "b").distinct()
+    far = far.join(sets.withColumnsRenamed({"k": "a", "t": "ta"}), [*within, "a"]).join(sets.withColumnsRenamed({"k": "b", "t": "tb"}), [*within, "b"])
+    both = near.select(*within, "a", "b", (shared / base).alias("overlap")).unionByName(far.select(*within, "a", "b", (shared / base).alias("overlap")))
+    return both.filter(F.col("overlap") > floor).select(*within, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("overlap", 6).alias("overlap"))
 
 
 def degree(edges: DataFrame) -> DataFrame:
