@@ -99,7 +99,8 @@ def base_features(text: Column, words: Column, hashes: Column) -> list[Column]:
 def fit_weights(docs: DataFrame, labels: DataFrame, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS) -> DataFrame:
     """``bucket, weight``: log p_target - log p_raw in units of 1 / SCALE, with add-one smoothing."""
     target = labels.filter(F.col("quality") == 1).select("doc_id").distinct().withColumn("target", F.lit(1))
-    marked = docs.select("doc_id", "text").join(target, "doc_id", "left")
+    # a broadcast of few labels would turn into this join as they grow; texts move once at any size
+    marked = docs.select("doc_id", "text").join(target.hint("merge"), "doc_id", "left")
     each = marked.select(F.col("target"), F.explode(buckets_of(hash_words(words_of(F.col("text"))), orders, buckets)).alias("bucket"))
     counts = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("target").alias("target"))
     size = len(orders) * buckets
