@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marlstone.plans.samples import any_of, found
+from marlstone.plans.samples import any_of, extracted, found, may_hold
 
 # Rewrites in their order, intents with their patterns, entity, constraint and time patterns, word lists.
 REWRITES = (
@@ -140,20 +140,26 @@ SENSITIVITY = {"high": ("salary", "confidential", "private", "sensitive"), "low"
 PERIODS = {"last_quarter": ("last quarter", "previous quarter"), "current_quarter": ("this quarter", "current quarter"), "last_month": ("last month", "previous month")}
 
 
+def _rewrite(pattern: str, to: str):
+    return lambda x: F.when(~may_hold(x, pattern), x).otherwise(F.regexp_replace(x, f"(?i){pattern}", to))
+
+
 def clean(text: Column) -> Column:
-    """SC-20: stripped and lower-cased, the rewrites in their order, white space squeezed."""
+    """SC-20: stripped and lower-cased, the rewrites in their order, white space squeezed. Capitals that a rewrite brings in are
+    in no word of a later one."""
     out = F.lower(F.regexp_replace(text, r"^\s+|\s+$", ""))
     for pattern, to in REWRITES:
-        out = F.regexp_replace(out, f"(?i){pattern}", to)
+        # the text before a rewrite is evaluated once
+        out = F.get(F.transform(F.array(out), _rewrite(pattern, to)), F.lit(0))
     return F.regexp_replace(F.regexp_replace(out, r"\s+", " "), r"^ | $", "")
 
 
-def intents(cleaned: Column) -> Column:
+def intents(cleaned: Column, low: Column | None = None) -> Column:
     """SC-21: structs of score, place and name of the intents with a hit, best first, the first defined on ties. A pattern
-    counts 1, or 2 if it has the word "specific" in it, over the number of the intent's patterns."""
-    scored = []
+    counts 1, or 2 if it has the word "specific" in it, over the number of the intent's patterns. ``low``: lower case of it."""
+    low, scored = F.lower(cleaned) if low is None else low, []
     for k, (name, patterns) in enumerate(INTENTS.items()):
-        hits = sum((F.when(cleaned.rlike(f"(?i){p}"), 2.0 if "specific" in p else 1.0).otherwise(0.0) for p in patterns), F.lit(0.0))
+        hits = sum((F.when(may_hold(low, p) & cleaned.rlike(f"(?i){p}"), 2.0 if "specific" in p else 1.0).otherwise(0.0) for p in patterns), F.lit(0.0))
         scored.append(F.struct((hits / len(patterns)).alias("score"), F.lit(-k).alias("place"), F.lit(name).alias("name")))
     return F.sort_array(F.filter(F.array(*scored), lambda s: s["score"] > 0), asc=False)
 
@@ -172,11 +178,11 @@ def secondary(ranked: Column) -> Column:
     return F.transform(F.filter(rest, lambda s: (s["score"] > 0.3) & (s["score"] > primary_score(ranked) * 0.5)), lambda s: s["name"])
 
 
-def entities(cleaned: Column) -> Column:
+def entities(cleaned: Column, low: Column | None = None) -> Column:
     """SC-23: structs of kind, value and confidence of amounts (0.95), dates (0.9) and references (0.95), pattern by pattern."""
 
     def of(kind: str, confidence: float, patterns) -> Column:
-        return F.transform(found(cleaned, patterns), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.lit(confidence).alias("confidence")))
+        return F.transform(found(cleaned, patterns, low), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.lit(confidence).alias("confidence")))
 
     return F.concat(of("financial_amount", 0.95, AMOUNTS), of("date", 0.9, DATES), of("reference_id", 0.95, REFERENCES))
 
@@ -197,13 +203,14 @@ def named_entities(text: Column, known: dict[str, tuple[str, ...]]) -> Column:
     return F.array_compact(F.array(*[entity(*n) for n in names]))
 
 
-def constraints(cleaned: Column) -> Column:
+def constraints(cleaned: Column, low: Column | None = None) -> Column:
     """SC-24, PF-23: structs of kind, operator and value: date ranges, limits of amounts, departments."""
+    low = F.lower(cleaned) if low is None else low
 
     def of(kind: str, operator: str, values: Column) -> Column:
         return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), F.lit(operator).alias("operator"), v.alias("value")))
 
-    group = lambda p, k: F.regexp_extract_all(cleaned, F.lit(p), F.lit(k))
+    group = lambda p, k: extracted(cleaned, p, k, low)
     parts = [of("date_range", "between", F.zip_with(group(p, 1), group(p, 2), lambda a, b: F.concat_ws("..", a, b))) for p in RANGES]
     parts += [of("amount", op, F.transform(group(p, 1), lambda v: F.replace(v, F.lit(","), F.lit("")))) for p, op in LIMITS]
     parts.append(of("department", "equals", F.transform(group(DEPARTMENT, 1), F.lower)))
@@ -259,9 +266,9 @@ def suggested(context_departments: Column, found_entities: Column) -> Column:
     return F.array_sort(F.array_union(context_departments, money))
 
 
-def time_references(cleaned: Column) -> Column:
+def time_references(cleaned: Column, low: Column | None = None) -> Column:
     """SC-29: pattern by pattern."""
-    return found(cleaned, TIMES)
+    return found(cleaned, TIMES, low)
 
 
 def periods(references: Column) -> Column:

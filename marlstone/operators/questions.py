@@ -13,9 +13,10 @@ NAMES = {"customers": ("Larkfield", "Osborne Mills"), "machines": ("machine 7",)
 
 def parsed(questions: DataFrame) -> DataFrame:
     """DR-06: the whole of query understanding for rows with a column ``question``."""
-    out = questions.withColumn("cleaned", Q.clean(F.col("question")))
-    out = out.withColumns({"ranked": Q.intents(F.col("cleaned")), "entities": Q.entities(F.col("cleaned")), "constraints": Q.constraints(F.col("cleaned"))})
-    out = out.withColumns({"departments": Q.departments(F.col("cleaned")), "times": Q.time_references(F.col("cleaned")), "expansion": Q.expansion(F.col("cleaned"), F.col("entities"))})
+    out, low = questions.withColumn("cleaned", Q.clean(F.col("question"))), F.col("_low")
+    out = out.withColumn("_low", F.lower("cleaned"))
+    out = out.withColumns({"ranked": Q.intents(F.col("cleaned"), low), "entities": Q.entities(F.col("cleaned"), low), "constraints": Q.constraints(F.col("cleaned"), low)})
+    out = out.withColumns({"departments": Q.departments(F.col("cleaned")), "times": Q.time_references(F.col("cleaned"), low), "expansion": Q.expansion(F.col("cleaned"), F.col("entities"))})
     ranges = F.size(F.filter("constraints", lambda c: c["kind"] == "date_range"))
     return out.withColumns(
         {
@@ -25,7 +26,7 @@ def parsed(questions: DataFrame) -> DataFrame:
             "suggested": Q.suggested(F.col("departments"), F.col("entities")),
             "periods": Q.periods(F.col("times")),
         }
-    )
+    ).drop("_low")
 
 
 def expanded(cleaned: str = "cleaned", expansion: str = "expansion"):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from re import _parser
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,7 +88,7 @@ def pick_sql(values: tuple[str, ...], by: str) -> str:
 
 def any_of(text: Column, terms) -> Column:
     """Whether a lower-cased text holds any of the terms."""
-    return F.exists(F.array(*[F.lit(t.lower()) for t in terms]), lambda t: F.contains(text, t))
+    return reduce(Column.__or__, [F.contains(text, F.lit(t.lower())) for t in terms], F.lit(False))
 
 
 def any_sql(text: str, terms) -> str:
@@ -95,16 +97,53 @@ def any_sql(text: str, terms) -> str:
 
 def count_of(text: Column, terms) -> Column:
     """How many of the terms a lower-cased text holds."""
-    return F.size(F.filter(F.array(*[F.lit(t.lower()) for t in terms]), lambda t: F.contains(text, t)))
+    return reduce(Column.__add__, [F.when(F.contains(text, F.lit(t.lower())), 1).otherwise(0) for t in terms], F.lit(0))
 
 
 def count_sql(text: str, terms) -> str:
     return f"len(list_filter({list_sql([t.lower() for t in terms])}, lambda t: contains({text}, t)))"
 
 
-def found(text: Column, patterns) -> Column:
-    """All matches of the patterns, pattern by pattern."""
-    return F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in patterns])
+def needed(pattern: str) -> tuple[str, ...]:
+    """Lower-case literals of which every match of a pattern holds one; empty where none are sure."""
+
+    def of(items) -> tuple[str, ...]:
+        options, run = [], ""
+        for op, value in items:
+            if op is _parser.LITERAL:
+                run += chr(value)
+                continue
+            options, run = options + [(run,)], ""
+            if op is _parser.SUBPATTERN:
+                options.append(of(value[3]))
+            elif op is _parser.BRANCH:
+                parts = [of(b) for b in value[1]]
+                options.append(sum(parts, ()) if all(parts) else ())
+            elif op is _parser.IN and all(o is _parser.LITERAL for o, _ in value):
+                options.append(tuple(chr(v) for _, v in value))
+            elif op is _parser.MAX_REPEAT and value[0] > 0:
+                options.append(of(value[2]))
+        options = [o for o in options + [(run,)] if o and all(o)]
+        return max(options, key=lambda o: (min(map(len, o)), -len(o)), default=())
+
+    return tuple(dict.fromkeys(x.lower() for x in of(_parser.parse(pattern))))
+
+
+def may_hold(low: Column, pattern: str) -> Column:
+    """False only where a pattern has no match in the text whose lower-cased form is ``low``; far cheaper than the match."""
+    terms = needed(pattern)
+    return any_of(low, terms) if terms else F.lit(True)
+
+
+def extracted(text: Column, pattern: str, group: int, low: Column) -> Column:
+    """All matches of a pattern, or of a group of it."""
+    return F.when(~may_hold(low, pattern), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
+
+
+def found(text: Column, patterns, low: Column | None = None) -> Column:
+    """All matches of the patterns, pattern by pattern. ``low``: the text in lower case, if there is such a column."""
+    low = F.lower(text) if low is None else low
+    return F.concat(*[extracted(text, p, 0, low) for p in patterns])
 
 
 def found_sql(text: str, patterns) -> str:
