@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import materialize, remove
 from marlstone.llm.decontamination import without_contaminated
 from marlstone.llm.language_id import UNDETERMINED, identify
-from marlstone.llm.near_copies import keep_one
+from marlstone.llm.near_copies import forget, keep_one
 from marlstone.llm.packing import pack
 from marlstone.llm.pseudonyms import pseudonymise
 
@@ -62,5 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs, path = materialize(spark, stage(spark, docs, sf_dir), name)
         if before:
             remove(spark, before)
+        forget(spark)
         before = path
     return docs

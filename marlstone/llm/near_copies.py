@@ -18,9 +18,13 @@ whole sets.
 Components are what counts, not pairs: after the fingerprints' links each list links its members in a chain and to its
 first member; then only members of different components are paired, so a large group of copies does not give its square.
 
-Sets are not stored: they are made from the texts where they are needed. One text of each set and its long bitmap are kept
-in a table bucketed by the set's id, so that verifying moves the long bitmaps of candidates and the texts of pairs that those
-leave.
+A pair meets in the list of every shingle of both prefixes, often hundreds of times. Entries therefore carry the last few
+shingles of their set before this one that are in lists too; where two entries have one of these in common, their pair is
+left to that shingle's list. The first list that they share has none before it, so no pair is lost.
+
+Sets are not stored: they are made from the texts where they are needed. One row of each set and its long bitmap are kept in
+a table bucketed by the set's id, so that verifying moves the long bitmaps of candidates and the texts of pairs that those
+leave. The kept rows are read from it as well, so the documents don't move again; the table stays until ``forget``.
 
 Defined results: words are lower-cased and split at white space; a text of fewer than five words is one shingle; null and
 empty texts and texts of white space are equal; shingles are compared by 64-bit hashes. Of a component the row of the
@@ -54,6 +58,10 @@ BITS = 512
 LONG_BITS = 2
 #: A list's entry has the set's size and the shingle's place in its order in one number.
 PLACE = 32
+#: Shingles before an entry's own that it carries.
+PRIOR = 4
+#: Orders in which lists chain their members of one size; lists of one order make mostly the same pairs of a group of copies.
+CHAINS = 4
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,12 +97,14 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return common * DEN >= (len(a) + len(b) - common) * NUM
 
 
-MARKED = [T.StructField(c, T.LongType()) for c in ("file", "row", "fp")] + [T.StructField(c, T.BinaryType()) for c in ("bits", "digest", "counts")]
+MARKED = [T.StructField(c, T.LongType()) for c in ("file", "row", "fp", "n")] + [T.StructField(c, T.BinaryType()) for c in ("bits", "long", "digest", "counts")]
+#: Names and paths of the tables that results are read from.
+_TABLES: list[tuple[str, str]] = []
 
 
 def _marked(batches):
-    """file, row, doc_id, text to file, row, fp, bitmap and digest of the set, doc_id; the task's last row has its counts of
-    shingles and nothing else."""
+    """file, row, doc_id, text to file, row, fp, size, bitmaps and digest of the set, doc_id; the task's last row has its counts
+    of shingles and nothing else."""
     total, kind = np.zeros(COUNTERS, dtype=np.int64), None
     for batch in batches:
         kind = batch.column("doc_id").type
@@ -105,11 +115,12 @@ def _marked(batches):
             fps = np.array([simhash.majority(s.view(np.uint64)) for s in sets], dtype=np.uint64).view(np.int64)
             bits = pa.array([bitmap(s).tobytes() for s in sets], pa.binary())
             digests = pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary())
-            columns = [part.column("file"), part.column("row"), pa.array(fps), bits, digests, pa.nulls(len(sets), pa.binary()), part.column("doc_id")]
+            sizes, longs = pa.array([len(s) for s in sets], pa.int64()), pa.array([long_bitmap(s).tobytes() for s in sets], pa.binary())
+            columns = [part.column("file"), part.column("row"), pa.array(fps), sizes, bits, longs, digests, pa.nulls(len(sets), pa.binary()), part.column("doc_id")]
             yield pa.RecordBatch.from_arrays(columns, names=[*[f.name for f in MARKED], "doc_id"])
     if kind is not None:
-        none = [pa.nulls(1, pa.int64())] * 3
-        columns = [*none, *[pa.nulls(1, pa.binary())] * 2, pa.array([total.tobytes()], pa.binary()), pa.nulls(1, kind)]
+        none = [pa.nulls(1, pa.int64())] * 4
+        columns = [*none, *[pa.nulls(1, pa.binary())] * 3, pa.array([total.tobytes()], pa.binary()), pa.nulls(1, kind)]
         yield pa.RecordBatch.from_arrays(columns, names=[*[f.name for f in MARKED], "doc_id"])
 
 
@@ -129,16 +140,6 @@ def close(a: bytes, n: int, b: bytes, m: int) -> bool:
     return int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) * (DEN + NUM) <= (n + m) * (DEN - NUM)
 
 
-def _with_bitmaps(batches):
-    """id, text to id, text, n, long bitmap."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            sets = [shingles(t) for t in part.column("text").to_pylist()]
-            columns = [part.column("id"), part.column("text"), pa.array([len(s) for s in sets], pa.int64()), pa.array([long_bitmap(s).tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "n", "long"])
-
-
 def _close(batches):
     """Pairs that their long bitmaps leave."""
     for batch in batches:
@@ -176,15 +177,15 @@ def _postings(counts):
     return run
 
 
-def _lists(batches):
-    """Tables of the columns of batches sorted by token, cut so that no list is split."""
+def _lists(batches, by: str = "token"):
+    """Tables of the columns of batches sorted by ``by``, cut so that no list is split."""
     held = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        token = np.asarray(batch.column("token"))
-        cut = int(np.searchsorted(token, token[-1]))  # where the last list begins
-        if cut or (held and held[-1].column("token")[-1].as_py() != token[0]):
+        key = np.asarray(batch.column(by))
+        cut = int(np.searchsorted(key, key[-1]))  # where the last list begins
+        if cut or (held and held[-1].column(by)[-1].as_py() != key[0]):
             yield pa.Table.from_batches([*held, batch.slice(0, cut)])
             held = []
         held.append(batch.slice(cut))
@@ -241,8 +242,40 @@ def _shared(batches):
         yield from table.filter(pa.array(meets)).to_batches()
 
 
+def _with_prior(batches):
+    """Entries sorted by id and spot, with the PRIOR tokens before each of the same id, 0 where there are fewer."""
+    for table in _lists(batches, "id"):
+        if not table.num_rows:
+            continue
+        token = np.asarray(table.column("token"))
+        starts, ends = _bounds(np.asarray(table.column("id")))
+        place = np.arange(len(token)) - np.repeat(starts, ends - starts)
+        prior = np.zeros((len(token), PRIOR), dtype=np.int64)
+        for k in range(1, PRIOR + 1):
+            at = np.flatnonzero(place >= k)
+            prior[at, k - 1] = token[at - k]
+        ends = pa.py_buffer(np.arange(len(token) + 1, dtype=np.int32) * (8 * PRIOR))
+        column = pa.Array.from_buffers(pa.binary(), len(token), [None, ends, pa.py_buffer(prior)])
+        yield from table.append_column("prior", column).to_batches()
+
+
+def _priors(table: pa.Table) -> np.ndarray | None:
+    if "prior" in table.column_names:
+        return np.frombuffer(b"".join(table.column("prior").to_pylist()), np.int64).reshape(-1, PRIOR)
+
+
+def _met(prior: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of rows x, y have met in a list before: one of the tokens before both is the same."""
+    met = np.zeros(len(x), dtype=bool)
+    for at in range(0, len(x), 1 << 14):
+        a, b = prior[x[at : at + (1 << 14)], :, None], prior[y[at : at + (1 << 14)], None, :]
+        met[at : at + (1 << 14)] = ((a == b) & (a != 0)).any((1, 2))
+    return met
+
+
 def _first_pairs(batches):
-    """Each member with the last one before it, by size, that leads, and with the first of its list."""
+    """Each member with the last one before it, by size, that leads, and with the first of its list. Members of one size are in
+    one of ``CHAINS`` orders of ids."""
     for table in _lists(batches):
         if not table.num_rows:
             continue
@@ -250,9 +283,11 @@ def _first_pairs(batches):
         n, left = _sizes(table)
         starts, ends = _bounds(token)
         first = np.repeat(starts, ends - starts)
+        mixed = (ids.view(np.uint64) * np.uint64(CHAINS) + token.view(np.uint64) % np.uint64(CHAINS) + np.uint64(1)) * _BASE
+        order = np.lexsort((mixed ^ (mixed >> np.uint64(32)), n, first))
         at = np.arange(len(token))
-        x = np.concatenate([first, _leaders(_leads(n, left), first)])
-        y = np.concatenate([at, at])
+        x = order[np.concatenate([first, _leaders(_leads(n, left)[order], first)])]
+        y = order[np.concatenate([at, at])]
         good = (x != y) & (n[x] * DEN >= n[y] * NUM) & _reach(n, left, x, y)
         x, y = x[good], y[good]
         near = _near(_bits(table), n, x, y)
@@ -260,9 +295,9 @@ def _first_pairs(batches):
 
 
 def _other_pairs(batches):
-    """All members of a list that are in different components and near enough in size. Each step pairs all leading members that
-    still have one near enough in size with the member that many places on; sizes ascend within a list, so who has none drops
-    out."""
+    """All members of a list that are in different components, near enough in size and have not met before. Each step pairs all
+    leading members that still have one near enough in size with the member that many places on; sizes ascend within a list, so
+    who has none drops out."""
     for table in _lists(batches):
         if not table.num_rows:
             continue
@@ -271,6 +306,7 @@ def _other_pairs(batches):
         starts, ends = _bounds(token)
         mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
         bits = _bits(table) if mixed.any() else None
+        prior = _priors(table)
         end = np.repeat(ends, ends - starts)
         x, step = np.flatnonzero(np.repeat(mixed, ends - starts) & _leads(n, left)), 0
         while len(x):
@@ -278,6 +314,8 @@ def _other_pairs(batches):
             x = x[x + step < end[x]]
             x = x[n[x + step] * NUM <= n[x] * DEN]
             apart = x[(root[x] != root[x + step]) & _reach(n, left, x, x + step)]
+            if prior is not None:
+                apart = apart[~_met(prior, apart, apart + step)]
             if len(apart):
                 near = apart[_near(bits, n, apart, apart + step)]
                 if len(near):
@@ -304,7 +342,7 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     one = pairs.join(maps.withColumnsRenamed({"id": "a", "long": "x"}), "a")
     both = one.join(maps.withColumnsRenamed({"id": "b", "n": "m", "long": "y"}), "b")
     pairs = both.mapInArrow(_close, "a long, b long")
-    whole = texts.select("id", "text")
+    whole = texts.select("id", F.col("doc.text").alias("text"))
     one = pairs.join(whole.withColumnsRenamed({"id": "a", "text": "x"}), "a")
     both = one.join(whole.withColumnsRenamed({"id": "b", "text": "y"}), "b")
     return both.mapInArrow(_verified, "a long, b long")
@@ -324,10 +362,10 @@ def fingerprint_pairs(spark: SparkSession, groups: DataFrame) -> DataFrame:
 
 
 def classes(spark: SparkSession, groups: DataFrame, texts: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``a, b``: every set (columns id, fp, bits; its text and long bitmap in ``texts``, bucketed by id) that is linked to one of a smaller
-    id, and the least id of its component."""
+    """``a, b``: every set (columns id, fp, bits; its size, long bitmap and row in ``texts``, bucketed by id) that is linked to one
+    of a smaller id, and the least id of its component."""
     shared = spark.sparkContext.broadcast(counts)
-    postings = texts.select("id", "text").mapInArrow(_postings(shared), "token long, id long, spot long")
+    postings = texts.select("id", F.col("doc.text").alias("text")).mapInArrow(_postings(shared), "token long, id long, spot long")
     lists = postings.repartition("token").sortWithinPartitions("token", "spot", "id").mapInArrow(_shared, "token long, id long, spot long")
     lists, at_lists = materialize(spark, lists, "lists")
     bits = groups.select("id", "bits")
@@ -335,7 +373,9 @@ def classes(spark: SparkSession, groups: DataFrame, texts: DataFrame, counts: np
     pairs = ordered.mapInArrow(_first_pairs, "a long, b long").unionByName(fingerprint_pairs(spark, groups)).distinct()
     first, at_first = materialize(spark, _links(pairs, texts), "links")
     roots = components(spark, first)
-    ordered = _rooted(lists.join(bits, "id"), roots).repartition("token").sortWithinPartitions("token", "spot", "id")
+    entries = _rooted(lists.repartition("id").join(bits, "id"), roots).select("token", "id", "spot", "bits", "root").sortWithinPartitions("id", "spot")
+    entries = entries.mapInArrow(_with_prior, "token long, id long, spot long, bits binary, root long, prior binary")
+    ordered = entries.repartition("token").sortWithinPartitions("token", "spot", "id")
     other, at_other = materialize(spark, _links(ordered.mapInArrow(_other_pairs, "a long, b long").distinct(), texts), "links")
     out = components(spark, roots.unionByName(other))
     remove(spark, at_lists, at_first, at_other)
@@ -350,16 +390,24 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     marked = addressed.select(*at, "doc_id", "text").mapInArrow(_marked, T.StructType([*MARKED, docs.schema["doc_id"]]))
     marked, at_marked = materialize(spark, marked, "marked")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "file", "row")
-    groups = marked.filter("counts is null").groupBy("digest").agg(F.min(order).alias("o"), F.max("fp").alias("fp"), F.max("bits").alias("bits"))
-    groups, at_groups = materialize(spark, groups.select(F.monotonically_increasing_id().alias("id"), "o", "fp", "bits"), "groups")
+    found = [F.max(c).alias(c) for c in ("fp", "n", "bits", "long")]
+    groups = marked.filter("counts is null").groupBy("digest").agg(F.min(order).alias("o"), *found)
+    groups, at_groups = materialize(spark, groups.select(F.monotonically_increasing_id().alias("id"), "o", "fp", "n", "bits", "long"), "groups")
     counts = add_up(marked.filter("counts is not null").select("counts"), COUNTERS)
     remove(spark, at_marked)
-    texts = addressed.select(*at, "text").join(groups.select("id", "o.file", "o.row"), ["file", "row"]).select("id", "text")
-    texts = texts.mapInArrow(_with_bitmaps, "id long, text string, n long, long binary")
-    texts, name, at_texts = bucketed(spark, texts, "set_texts", "id")
+    whole = addressed.select(*at, F.struct(*[F.col(c) for c in docs.columns]).alias("doc"))
+    texts = whole.join(groups.select("id", "o.file", "o.row", "n", "long"), ["file", "row"]).select("id", "n", "long", "doc")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # as many as buckets, so each is one file
+    texts, name, at_texts = bucketed(spark, texts.repartition(parts, "id"), "set_texts", "id")
+    _TABLES.append((name, at_texts))
     roots = classes(spark, groups, texts, counts)
-    best = _rooted(groups, roots).groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.file").alias(file), F.col("o.row").alias(row))
+    best = _rooted(groups.select("id", "o"), roots).groupBy("root").agg(F.min(F.struct("o", "id")).alias("m")).select("m.id")
     best, _ = materialize(spark, best, "best")
-    remove(spark, at_groups)
-    drop_bucketed(spark, name, at_texts)
-    return addressed.join(best, [file, row], "left_semi").select(*docs.columns)
+    remove(spark, at_groups, *paths)
+    return texts.join(best, "id", "left_semi").select("doc.*")
+
+
+def forget(spark: SparkSession) -> None:
+    """Drops the tables that results of ``keep_one`` are read from, once those are written elsewhere."""
+    while _TABLES:
+        drop_bucketed(spark, *_TABLES.pop())

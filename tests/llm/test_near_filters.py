@@ -49,3 +49,23 @@ def test_places_in_lists_keep_all_pairs_at_the_threshold():
     for batch in N._first_pairs(entries.to_batches(max_chunksize=97)):
         first |= set(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()))
     assert first and first <= found
+
+
+def test_pairs_that_met_before_are_left_out_and_none_is_lost():
+    rng = random.Random(6)
+    base = sorted(rng.getrandbits(62) for _ in range(600))
+    sets = [np.array(sorted({h for h in base if rng.random() < 0.93} | {rng.getrandbits(62) for _ in range(30)}), np.int64) for _ in range(12)]
+    rows = sorted((i, (len(s) << N.PLACE) + k, int(h)) for i, s in enumerate(sets) for k, h in enumerate(s[: N.prefix_length(len(s))]))
+    table = pa.table({"token": [r[2] for r in rows], "id": [r[0] for r in rows], "spot": [r[1] for r in rows]})
+    entries = pa.Table.from_batches(list(N._with_prior(table.to_batches(max_chunksize=97))))
+    assert entries.num_rows == len(rows)
+    before = np.frombuffer(b"".join(entries.column("prior").to_pylist()), np.int64).reshape(-1, N.PRIOR)
+    for k, (i, _, _) in enumerate(rows):
+        own = [r[2] for r in rows[max(0, k - N.PRIOR) : k] if r[0] == i][::-1]
+        assert before[k].tolist() == own + [0] * (N.PRIOR - len(own))
+    entries = entries.append_column("bits", pa.array([N.bitmap(sets[r[0]]).tobytes() for r in rows], pa.binary())).append_column("root", entries.column("id"))
+    entries = entries.sort_by([("token", "ascending"), ("spot", "ascending"), ("id", "ascending")])
+    made = lambda t: [p for b in N._other_pairs(t.to_batches(max_chunksize=97)) for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
+    every, new = made(entries.drop_columns(["prior"])), made(entries)
+    assert set(new) == set(every) and len(set(every)) > 20
+    assert len(every) > 10 * len(set(every)) and len(new) < 2 * len(set(every))
