@@ -93,7 +93,8 @@ def hash_vector(text: Column, dims: int = HASH_DIMS) -> Column:
     """SC-06: digits of a digest of text and place as numbers from -1 to 1, scaled to unit length."""
     raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.conv(F.substring(F.md5(F.concat_ws("_", text, i.cast("string"))), 1, 8), 16, 10).cast("double") / 4294967295 * 2 - 1)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.get(F.transform(F.array(raw), lambda v: F.transform(v, lambda x: x / norm(v))), F.lit(0))
+    once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    return once(raw, lambda v: once(norm(v), lambda length: F.transform(v, lambda x: x / length)))  # the norm once, not for each number
 
 
 def _ages(s: SparkSession, d: str) -> DataFrame:
