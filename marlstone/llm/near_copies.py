@@ -22,9 +22,10 @@ A pair meets in the list of every shingle of both prefixes, often hundreds of ti
 shingles of their set before this one that are in lists too; where two entries have one of these in common, their pair is
 left to that shingle's list. The first list that they share has none before it, so no pair is lost.
 
-Sets are not stored: they are made from the texts where they are needed. One row of each set and its long bitmap are kept in
-a table bucketed by the set's id, so that verifying moves the long bitmaps of candidates and the texts of pairs that those
-leave. The kept rows are read from it as well, so the documents don't move again; the table stays until ``forget``.
+Sets are not stored: they are made from the texts where they are needed. Each set's bitmaps and the address of its first row
+are kept in a table bucketed by the set's id, and that row in one bucketed by its address, by which it was dealt out for the
+join that leaves one row a set. So the documents move once; verifying moves the long bitmaps of candidates and the texts of
+pairs that those leave, and the kept rows are read from the table of rows, which stays until ``forget``.
 
 Defined results: words are lower-cased and split at white space; a text of fewer than five words is one shingle; null and
 empty texts and texts of white space are equal; shingles are compared by 64-bit hashes. Of a component the row of the
@@ -62,6 +63,8 @@ PLACE = 32
 PRIOR = 4
 #: Orders in which lists chain their members of one size; lists of one order make mostly the same pairs of a group of copies.
 CHAINS = 4
+#: A pair of sets with the addresses of their rows.
+PAIR = ["a", "b", "a_file", "a_row", "b_file", "b_row"]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -144,7 +147,7 @@ def _close(batches):
     """Pairs that their long bitmaps leave."""
     for batch in batches:
         keep = [close(p, n, q, m) for p, n, q, m in zip(*(batch.column(c).to_pylist() for c in ("x", "n", "y", "m")))]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        yield batch.select(PAIR).filter(pa.array(keep, pa.bool_()))
 
 
 def _bits(table: pa.Table) -> np.ndarray:
@@ -164,14 +167,15 @@ def _postings(counts):
     def run(batches):
         often = counts.value
         for batch in batches:
-            tokens, ids, spots = [], [], []
-            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                h = shingles(text)
-                first = h[np.lexsort((h, often[h & (COUNTERS - 1)]))][: prefix_length(len(h))]
-                tokens.append(first)
-                ids.append(np.full(len(first), i))
-                spots.append((len(h) << PLACE) + np.arange(len(first)))
-            if tokens:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                tokens, ids, spots = [], [], []
+                for i, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist()):
+                    h = shingles(text)
+                    first = h[np.lexsort((h, often[h & (COUNTERS - 1)]))][: prefix_length(len(h))]
+                    tokens.append(first)
+                    ids.append(np.full(len(first), i))
+                    spots.append((len(h) << PLACE) + np.arange(len(first)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (tokens, ids, spots)], names=["token", "id", "spot"])
 
     return run
@@ -336,15 +340,15 @@ def _verified(batches):
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs that reach the threshold: by their long bitmaps first, then by their texts."""
-    maps = texts.select("id", "n", "long")
-    one = pairs.join(maps.withColumnsRenamed({"id": "a", "long": "x"}), "a")
-    both = one.join(maps.withColumnsRenamed({"id": "b", "n": "m", "long": "y"}), "b")
-    pairs = both.mapInArrow(_close, "a long, b long")
-    whole = texts.select("id", F.col("doc.text").alias("text"))
-    one = pairs.join(whole.withColumnsRenamed({"id": "a", "text": "x"}), "a")
-    both = one.join(whole.withColumnsRenamed({"id": "b", "text": "y"}), "b")
+    maps = groups.select("id", "n", "long", "file", "row")
+    one = pairs.join(maps.toDF("a", "n", "x", "a_file", "a_row"), "a")
+    both = one.join(maps.toDF("b", "m", "y", "b_file", "b_row"), "b")
+    pairs = both.mapInArrow(_close, ", ".join(f"{c} long" for c in PAIR))
+    whole = texts.select("file", "row", F.col("doc.text").alias("text"))
+    one = pairs.join(whole.toDF("a_file", "a_row", "x"), ["a_file", "a_row"])
+    both = one.join(whole.toDF("b_file", "b_row", "y"), ["b_file", "b_row"]).select("a", "b", "x", "y")
     return both.mapInArrow(_verified, "a long, b long")
 
 
@@ -362,8 +366,8 @@ def fingerprint_pairs(spark: SparkSession, groups: DataFrame) -> DataFrame:
 
 
 def classes(spark: SparkSession, groups: DataFrame, texts: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``a, b``: every set (columns id, fp, bits; its size, long bitmap and row in ``texts``, bucketed by id) that is linked to one
-    of a smaller id, and the least id of its component."""
+    """``a, b``: every set (columns id, fp, n, bits, long, file, row, bucketed by id; its row in ``texts``, bucketed by file and
+    row) that is linked to one of a smaller id, and the least id of its component."""
     shared = spark.sparkContext.broadcast(counts)
     postings = texts.select("id", F.col("doc.text").alias("text")).mapInArrow(_postings(shared), "token long, id long, spot long")
     lists = postings.repartition("token").sortWithinPartitions("token", "spot", "id").mapInArrow(_shared, "token long, id long, spot long")
@@ -371,12 +375,12 @@ def classes(spark: SparkSession, groups: DataFrame, texts: DataFrame, counts: np
     bits = groups.select("id", "bits")
     ordered = lists.join(bits, "id").repartition("token").sortWithinPartitions("token", "spot", "id")
     pairs = ordered.mapInArrow(_first_pairs, "a long, b long").unionByName(fingerprint_pairs(spark, groups)).distinct()
-    first, at_first = materialize(spark, _links(pairs, texts), "links")
+    first, at_first = materialize(spark, _links(pairs, groups, texts), "links")
     roots = components(spark, first)
     entries = _rooted(lists.repartition("id").join(bits, "id"), roots).select("token", "id", "spot", "bits", "root").sortWithinPartitions("id", "spot")
     entries = entries.mapInArrow(_with_prior, "token long, id long, spot long, bits binary, root long, prior binary")
     ordered = entries.repartition("token").sortWithinPartitions("token", "spot", "id")
-    other, at_other = materialize(spark, _links(ordered.mapInArrow(_other_pairs, "a long, b long").distinct(), texts), "links")
+    other, at_other = materialize(spark, _links(ordered.mapInArrow(_other_pairs, "a long, b long").distinct(), groups, texts), "links")
     out = components(spark, roots.unionByName(other))
     remove(spark, at_lists, at_first, at_other)
     return out
@@ -392,19 +396,23 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "file", "row")
     found = [F.max(c).alias(c) for c in ("fp", "n", "bits", "long")]
     groups = marked.filter("counts is null").groupBy("digest").agg(F.min(order).alias("o"), *found)
-    groups, at_groups = materialize(spark, groups.select(F.monotonically_increasing_id().alias("id"), "o", "fp", "n", "bits", "long"), "groups")
+    first = F.monotonically_increasing_id().alias("id"), "o", "o.file", "o.row", "fp", "n", "bits", "long"
+    groups, at_numbered = materialize(spark, groups.select(*first), "groups")
     counts = add_up(marked.filter("counts is not null").select("counts"), COUNTERS)
     remove(spark, at_marked)
-    whole = addressed.select(*at, F.struct(*[F.col(c) for c in docs.columns]).alias("doc"))
-    texts = whole.join(groups.select("id", "o.file", "o.row", "n", "long"), ["file", "row"]).select("id", "n", "long", "doc")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # as many as buckets, so each is one file
-    texts, name, at_texts = bucketed(spark, texts.repartition(parts, "id"), "set_texts", "id")
+    groups, sets, at_sets = bucketed(spark, groups.repartition(parts, "id"), "sets", "id")
+    remove(spark, at_numbered)
+    whole = addressed.select(*at, F.struct(*[F.col(c) for c in docs.columns]).alias("doc")).repartition(parts, "file", "row")
+    texts = whole.join(groups.select("id", "file", "row"), ["file", "row"])
+    texts, name, at_texts = bucketed(spark, texts, "set_texts", "file", "row")
     _TABLES.append((name, at_texts))
     roots = classes(spark, groups, texts, counts)
-    best = _rooted(groups.select("id", "o"), roots).groupBy("root").agg(F.min(F.struct("o", "id")).alias("m")).select("m.id")
+    best = _rooted(groups.select("id", "o"), roots).groupBy("root").agg(F.min(F.struct("o", "id")).alias("m")).select("m.o.file", "m.o.row")
     best, _ = materialize(spark, best, "best")
-    remove(spark, at_groups, *paths)
-    return texts.join(best, "id", "left_semi").select("doc.*")
+    drop_bucketed(spark, sets, at_sets)
+    remove(spark, *paths)
+    return texts.join(best, ["file", "row"], "left_semi").select("doc.*")
 
 
 def forget(spark: SparkSession) -> None:
