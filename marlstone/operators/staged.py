@@ -27,10 +27,11 @@ def staged_search(candidates: DataFrame, least_business: float = 0.3) -> DataFra
     """DR-01: the strategy's number of candidates at or above its threshold by similarity, those of enough business relevance,
     weighted scores (lookups keep their similarity and order), then a diverse selection.
 
-    ``candidates``: query, intent, document, kind, tie (unique in a query), similarity, business, temporal, entity. Equal scores
-    keep the order of retrieval. A first limit that holds for every strategy is applied before the rows of a query meet."""
+    ``candidates``: query, intent, document, kind, tie, similarity, business, temporal, entity. Equal scores keep the order of
+    retrieval: by similarity, tie, and the other columns where a tie comes twice, so the result doesn't depend on the order of
+    the rows. A first limit that holds for every strategy is applied before the rows of a query meet."""
     most = max(s[0] for s in STRATEGIES.values())
-    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "tie")
+    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "tie", F.desc("business"), F.desc("temporal"), F.desc("entity"), "document", "kind")
     intent = F.col("intent")
     found = candidates.filter(F.col("similarity") >= by_strategy(intent, lambda s: F.lit(s[2])))
     found = found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
@@ -172,7 +173,7 @@ def _checks(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "dr01_staged_search": lambda s, d: staged_search(_candidates(s, d)).select("query", "rank", "document", "kind", "tie", F.round("score", 6).alias("score")),
+    "dr01_staged_search": lambda s, d: staged_search(_candidates(s, d)).select("query", "rank", "document", "kind", "tie", (F.round(F.col("score") * 1e6) / 1e6).alias("score")),  # as SQL rounds doubles
     "ag22_chunk_quality": _chunk_quality,
     "sc110_sections": _sections,
     "sc97_sheet_patterns": _sheet_patterns,
