@@ -5,10 +5,10 @@ compared in lower case, and period words are accepted before and after the rewri
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.plans.samples import any_of, extracted, found, may_hold
+from marlstone.plans.samples import any_of, is_set, matches, may_hold
 
 # Rewrites in their order, intents with their patterns, entity, constraint and time patterns, word lists.
 REWRITES = (
@@ -88,6 +88,8 @@ _MONTHS = "january|february|march|april|may|june|july|august|september|october|n
 AMOUNTS = (r"৳\s*[\d,]+(?:\.\d{2})?", r"\$\s*[\d,]+(?:\.\d{2})?", r"(?i)[\d,]+\s*(?:taka|dollar|bdt|usd)")
 DATES = (r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b", r"\b\d{4}[/-]\d{1,2}[/-]\d{1,2}\b", rf"(?i)\b(?:{_MONTHS})\s+\d{{1,2}},?\s+\d{{4}}\b")
 REFERENCES = (r"(?i)\b(?:id|ref|reference|number|no\.?)\s*[:=]?\s*([a-z0-9-]+)\b", r"(?i)\b(?:tx|inv|lc|po|job)[-_]?\d+\b")
+# kinds of entities: patterns and confidence
+KINDS = {"financial_amount": (AMOUNTS, 0.95), "date": (DATES, 0.9), "reference_id": (REFERENCES, 0.95)}
 RANGES = (r"(?i)\bbetween\s+(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})\s+and\s+(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})", r"(?i)\bfrom\s+(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})\s+to\s+(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})")
 LIMITS = (
     (r"(?i)\bgreater\s+than\s+([\d,]+(?:\.\d{2})?)", "greater_than"),
@@ -138,30 +140,38 @@ SCOPES = {
 }
 SENSITIVITY = {"high": ("salary", "confidential", "private", "sensitive"), "low": ("public", "general", "overview")}
 PERIODS = {"last_quarter": ("last quarter", "previous quarter"), "current_quarter": ("this quarter", "current quarter"), "last_month": ("last month", "previous month")}
+# patterns that are screened together, in the order of their bits
+INTENT_PATTERNS = tuple(p for patterns in INTENTS.values() for p in patterns)
+ENTITY_PATTERNS = tuple(p for patterns, _ in KINDS.values() for p in patterns)
+CONSTRAINT_PATTERNS = (*RANGES, *[p for p, _ in LIMITS], DEPARTMENT)
 
 
-def _rewrite(pattern: str, to: str):
-    return lambda x: F.when(~may_hold(x, pattern), x).otherwise(F.regexp_replace(x, f"(?i){pattern}", to))
+def cleaned(questions: DataFrame, text: str = "question") -> DataFrame:
+    """SC-20: with a column ``cleaned``: stripped and lower-cased, the rewrites in their order, white space squeezed. Capitals
+    that a rewrite brings in are in no word of a later one. Each rewrite is a step of its own, which reads the text before it once."""
+    out, x = questions.withColumn("cleaned", F.lower(F.regexp_replace(text, r"^\s+|\s+$", ""))), F.col("cleaned")
+    for pattern, to in REWRITES:
+        out = out.withColumn("cleaned", F.when(may_hold(x, pattern), F.regexp_replace(x, f"(?i){pattern}", to)).otherwise(x))
+    return out.withColumn("cleaned", F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"^ | $", ""))
 
 
-def clean(text: Column) -> Column:
-    """SC-20: stripped and lower-cased, the rewrites in their order, white space squeezed. Capitals that a rewrite brings in are
-    in no word of a later one."""
-    out = F.lower(F.regexp_replace(text, r"^\s+|\s+$", ""))
-    for pattern, to in REWRITES:
-        # the text before a rewrite is evaluated once
-        out = F.get(F.transform(F.array(out), _rewrite(pattern, to)), F.lit(0))
-    return F.regexp_replace(F.regexp_replace(out, r"\s+", " "), r"^ | $", "")
+def scores(cleaned: Column, bits: Column) -> list[Column]:
+    """SC-21: a score for each intent. A pattern counts 1, or 2 if it has the word "specific" in it, over the number of the
+    intent's patterns. ``bits``: which of ``INTENT_PATTERNS`` may match."""
+    out, k = [], 0
+    for patterns in INTENTS.values():
+        hits = F.lit(0.0)
+        for p in patterns:
+            hits += F.when(is_set(bits, k) & cleaned.rlike(f"(?i){p}"), 2.0 if "specific" in p else 1.0).otherwise(0.0)
+            k += 1
+        out.append(hits / len(patterns))
+    return out
 
 
-def intents(cleaned: Column, low: Column | None = None) -> Column:
-    """SC-21: structs of score, place and name of the intents with a hit, best first, the first defined on ties. A pattern
-    counts 1, or 2 if it has the word "specific" in it, over the number of the intent's patterns. ``low``: lower case of it."""
-    low, scored = F.lower(cleaned) if low is None else low, []
-    for k, (name, patterns) in enumerate(INTENTS.items()):
-        hits = sum((F.when(may_hold(low, p) & cleaned.rlike(f"(?i){p}"), 2.0 if "specific" in p else 1.0).otherwise(0.0) for p in patterns), F.lit(0.0))
-        scored.append(F.struct((hits / len(patterns)).alias("score"), F.lit(-k).alias("place"), F.lit(name).alias("name")))
-    return F.sort_array(F.filter(F.array(*scored), lambda s: s["score"] > 0), asc=False)
+def intents(scored: list[Column]) -> Column:
+    """SC-21: structs of score, place and name of the intents with a hit, best first, the first defined on ties."""
+    one = [F.when(s > 0, F.struct(s.alias("score"), F.lit(-k).alias("place"), F.lit(name).alias("name"))) for k, (s, name) in enumerate(zip(scored, INTENTS))]
+    return F.sort_array(F.array_compact(F.array(*one)), asc=False)
 
 
 def primary(ranked: Column) -> Column:
@@ -178,13 +188,27 @@ def secondary(ranked: Column) -> Column:
     return F.transform(F.filter(rest, lambda s: (s["score"] > 0.3) & (s["score"] > primary_score(ranked) * 0.5)), lambda s: s["name"])
 
 
-def entities(cleaned: Column, low: Column | None = None) -> Column:
-    """SC-23: structs of kind, value and confidence of amounts (0.95), dates (0.9) and references (0.95), pattern by pattern."""
+def _each(values: Column, of, kind: str) -> Column:
+    """``of`` each value; most texts have none."""
+    return F.when(F.size(values) == 0, F.array().cast(f"array<struct<{kind}>>")).otherwise(F.transform(values, of))
+
+
+def entity_values(cleaned: Column, bits: Column) -> dict[str, Column]:
+    """SC-23: what the texts hold of each kind of ``KINDS``, pattern by pattern. ``bits``: which of ``ENTITY_PATTERNS`` may match."""
+    out, k = {}, 0
+    for kind, (patterns, _) in KINDS.items():
+        out[kind] = F.concat(*[matches(cleaned, p, 0, is_set(bits, k + j)) for j, p in enumerate(patterns)])
+        k += len(patterns)
+    return out
+
 
-    def of(kind: str, confidence: float, patterns) -> Column:
-        return F.transform(found(cleaned, patterns, low), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.lit(confidence).alias("confidence")))
+def entities(values: dict[str, Column]) -> Column:
+    """SC-23: structs of kind, value and confidence."""
 
-    return F.concat(of("financial_amount", 0.95, AMOUNTS), of("date", 0.9, DATES), of("reference_id", 0.95, REFERENCES))
+    def of(kind: str, confidence: float) -> Column:
+        return _each(values[kind], lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.lit(confidence).alias("confidence")), "kind:string,value:string,confidence:double")
+
+    return F.concat(*[of(kind, confidence) for kind, (_, confidence) in KINDS.items()])
 
 
 def named_entities(text: Column, known: dict[str, tuple[str, ...]]) -> Column:
@@ -203,37 +227,43 @@ def named_entities(text: Column, known: dict[str, tuple[str, ...]]) -> Column:
     return F.array_compact(F.array(*[entity(*n) for n in names]))
 
 
-def constraints(cleaned: Column, low: Column | None = None) -> Column:
+def constraint_values(cleaned: Column, bits: Column) -> list[Column]:
+    """SC-24: values of the date ranges, of the limits of amounts pattern by pattern, and of departments. ``bits``: which of
+    ``CONSTRAINT_PATTERNS`` may match."""
+    group = lambda p, k: F.regexp_extract_all(cleaned, F.lit(p), F.lit(k))
+    pairs = [F.when(~is_set(bits, k), F.array().cast("array<string>")).otherwise(F.zip_with(group(p, 1), group(p, 2), lambda a, b: F.concat_ws("..", a, b))) for k, p in enumerate(RANGES)]
+    n = len(RANGES)
+    return [F.concat(*pairs), *[matches(cleaned, p, 1, is_set(bits, n + k)) for k, p in enumerate(CONSTRAINT_PATTERNS[n:])]]
+
+
+def constraints(values: list[Column]) -> Column:
     """SC-24, PF-23: structs of kind, operator and value: date ranges, limits of amounts, departments."""
-    low = F.lower(cleaned) if low is None else low
 
-    def of(kind: str, operator: str, values: Column) -> Column:
-        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), F.lit(operator).alias("operator"), v.alias("value")))
+    def of(kind: str, operator: str, values: Column, value=lambda v: v) -> Column:
+        return _each(values, lambda v: F.struct(F.lit(kind).alias("kind"), F.lit(operator).alias("operator"), value(v).alias("value")), "kind:string,operator:string,value:string")
 
-    group = lambda p, k: extracted(cleaned, p, k, low)
-    parts = [of("date_range", "between", F.zip_with(group(p, 1), group(p, 2), lambda a, b: F.concat_ws("..", a, b))) for p in RANGES]
-    parts += [of("amount", op, F.transform(group(p, 1), lambda v: F.replace(v, F.lit(","), F.lit("")))) for p, op in LIMITS]
-    parts.append(of("department", "equals", F.transform(group(DEPARTMENT, 1), F.lower)))
-    return F.concat(*parts)
+    ranges, *limits, departments = values
+    parts = [of("date_range", "between", ranges)]
+    parts += [of("amount", op, v, lambda v: F.replace(v, F.lit(","), F.lit(""))) for v, (_, op) in zip(limits, LIMITS)]
+    return F.concat(*parts, of("department", "equals", departments, F.lower))
 
 
 def _when(cond: Column, values) -> Column:
     return F.when(cond, F.array(*[F.lit(v) for v in values])).otherwise(F.array().cast("array<string>"))
 
 
-def expansion(cleaned: Column, found_entities: Column) -> Column:
-    """SC-25, SO-03: synonyms of the words, words for the kinds of entities, and the terms of departments concerned; distinct
+def expansion(low: Column, money: Column) -> Column:
+    """SC-25, SO-03: synonyms of the words, words for amounts of ``money``, and the terms of departments concerned; distinct
     and sorted."""
-    words, low = F.split(F.lower(cleaned), " "), F.lower(cleaned)
+    words = F.split(low, " ")
     parts = [_when(F.array_contains(words, k.lower()), v) for k, v in SYNONYMS.items()]
-    parts.append(_when(F.exists(found_entities, lambda e: e["kind"] == "financial_amount"), ("amount", "money", "cost", "value")))
+    parts.append(_when(money, ("amount", "money", "cost", "value")))
     parts += [_when(any_of(low, terms), terms) for terms, _ in CONTEXTS.values()]
-    return F.array_sort(F.array_distinct(F.concat(*parts)))
+    return F.sort_array(F.array_distinct(F.concat(*parts)))
 
 
-def departments(cleaned: Column) -> Column:
+def departments(low: Column) -> Column:
     """SC-26: departments whose terms occur."""
-    low = F.lower(cleaned)
     return F.concat(*[_when(any_of(low, terms), (name,)) for name, (terms, _) in CONTEXTS.items()])
 
 
@@ -260,15 +290,14 @@ def complexity(intent: Column, n_entities: Column, n_constraints: Column, n_rang
     return F.when(points >= 4, "advanced").when(points >= 2, "complex").when(points >= 1, "moderate").otherwise("simple")
 
 
-def suggested(context_departments: Column, found_entities: Column) -> Column:
+def suggested(context_departments: Column, money: Column) -> Column:
     """SC-28: the context's departments and accounting where there is an amount; distinct and sorted."""
-    money = _when(F.exists(found_entities, lambda e: e["kind"] == "financial_amount"), ("accounting",))
-    return F.array_sort(F.array_union(context_departments, money))
+    return F.sort_array(F.array_union(context_departments, _when(money, ("accounting",))))
 
 
-def time_references(cleaned: Column, low: Column | None = None) -> Column:
-    """SC-29: pattern by pattern."""
-    return found(cleaned, TIMES, low)
+def time_references(cleaned: Column, bits: Column) -> Column:
+    """SC-29: pattern by pattern. ``bits``: which of ``TIMES`` may match."""
+    return F.concat(*[matches(cleaned, p, 0, is_set(bits, k)) for k, p in enumerate(TIMES)])
 
 
 def periods(references: Column) -> Column:

@@ -6,27 +6,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import questions as Q
-from marlstone.plans.samples import ASKED_SQL, any_sql, asked, cases, cases_sql, found_sql, list_sql, text_sql
+from marlstone.plans.samples import ASKED_SQL, any_sql, asked, cases, cases_sql, found_sql, list_sql, screened, text_sql
 
 NAMES = {"customers": ("Larkfield", "Osborne Mills"), "machines": ("machine 7",)}
 
 
 def parsed(questions: DataFrame) -> DataFrame:
-    """DR-06: the whole of query understanding for rows with a column ``question``."""
-    out, low = questions.withColumn("cleaned", Q.clean(F.col("question"))), F.col("_low")
-    out = out.withColumn("_low", F.lower("cleaned"))
-    out = out.withColumns({"ranked": Q.intents(F.col("cleaned"), low), "entities": Q.entities(F.col("cleaned"), low), "constraints": Q.constraints(F.col("cleaned"), low)})
-    out = out.withColumns({"departments": Q.departments(F.col("cleaned")), "times": Q.time_references(F.col("cleaned"), low), "expansion": Q.expansion(F.col("cleaned"), F.col("entities"))})
+    """DR-06: the whole of query understanding for rows with a column ``question``. Texts are screened for all patterns in one
+    pass; those that may match are matched in a step of plain columns, and structs are made of the few values found."""
+    out, text, low = Q.cleaned(questions).withColumn("_low", F.lower("cleaned")), F.col("cleaned"), F.col("_low")
+    screens = {"_b1": Q.INTENT_PATTERNS, "_b2": Q.ENTITY_PATTERNS, "_b3": Q.CONSTRAINT_PATTERNS, "_b4": Q.TIMES}
+    out = out.withColumns({name: screened(low, patterns) for name, patterns in screens.items()})
+    scores = {f"_s{k}": c for k, c in enumerate(Q.scores(text, F.col("_b1")))}
+    values = {f"_{kind}": c for kind, c in Q.entity_values(text, F.col("_b2")).items()}
+    limits = {f"_c{k}": c for k, c in enumerate(Q.constraint_values(text, F.col("_b3")))}
+    out = out.withColumns({**scores, **values, **limits, "departments": Q.departments(low), "times": Q.time_references(text, F.col("_b4"))})
+    money = F.size("_financial_amount") > 0
+    out = out.withColumns(
+        {
+            "ranked": Q.intents([F.col(c) for c in scores]),
+            "entities": Q.entities({kind: F.col(f"_{kind}") for kind in Q.KINDS}),
+            "constraints": Q.constraints([F.col(c) for c in limits]),
+            "expansion": Q.expansion(low, money),
+            "suggested": Q.suggested(F.col("departments"), money),
+            "periods": Q.periods(F.col("times")),
+        }
+    )
     ranges = F.size(F.filter("constraints", lambda c: c["kind"] == "date_range"))
     return out.withColumns(
         {
             "intent": Q.primary(F.col("ranked")),
             "intent_score": Q.primary_score(F.col("ranked")),
             "complexity": Q.complexity(Q.primary(F.col("ranked")), F.size("entities"), F.size("constraints"), ranges),
-            "suggested": Q.suggested(F.col("departments"), F.col("entities")),
-            "periods": Q.periods(F.col("times")),
         }
-    ).drop("_low")
+    ).drop("_low", *screens, *scores, *values, *limits)
 
 
 def expanded(cleaned: str = "cleaned", expansion: str = "expansion"):

@@ -6,6 +6,9 @@ import re
 from functools import reduce
 from re import _parser
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,7 +140,7 @@ def may_hold(low: Column, pattern: str) -> Column:
 
 def extracted(text: Column, pattern: str, group: int, low: Column) -> Column:
     """All matches of a pattern, or of a group of it."""
-    return F.when(~may_hold(low, pattern), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
+    return matches(text, pattern, group, may_hold(low, pattern))
 
 
 def found(text: Column, patterns, low: Column | None = None) -> Column:
@@ -146,6 +149,38 @@ def found(text: Column, patterns, low: Column | None = None) -> Column:
     return F.concat(*[extracted(text, p, 0, low) for p in patterns])
 
 
+def screen(pattern: str) -> str:
+    """A pattern in RE2's syntax, of lower-cased texts, that has a match wherever the pattern has one. Only a word boundary at
+    the start is kept: letters beyond ASCII are in no word to RE2, so that one is met more often there, others might not be."""
+    plain = pattern.replace("(?i)", "")
+    first = r"\b" if plain.startswith(r"\b") else ""
+    return first + plain.replace(r"\b", "").replace(r"\s", r"[\s\x0B]")
+
+
+def screened(low: Column, patterns: tuple[str, ...]) -> Column:
+    """A bit for each pattern, 63 at most, of a lower-cased text: 0 only where the pattern has no match in the text. RE2 takes one
+    step a byte, whatever the pattern."""
+    screens = [screen(p) for p in patterns]
+
+    @F.arrow_udf("bigint")
+    def bits(texts: pa.Array) -> pa.Array:
+        out = np.zeros(len(texts), np.int64)
+        for k, p in enumerate(screens):
+            out |= pc.fill_null(pc.match_substring_regex(texts, p), False).to_numpy(zero_copy_only=False).astype(np.int64) << k
+        return pa.array(out, mask=texts.is_null().to_numpy(zero_copy_only=False))
+
+    return bits(low)
+
+
+def is_set(bits: Column, k: int) -> Column:
+    return bits.bitwiseAND(F.lit(1 << k).cast("long")) != 0
+
+
+def matches(text: Column, pattern: str, group: int, may: Column) -> Column:
+    """All matches of a pattern, or of a group of it, in a text that may hold it."""
+    return F.when(~may, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
+
+
 def found_sql(text: str, patterns) -> str:
     return "list_concat(" + ", ".join(f"regexp_extract_all({text}, {text_sql(p)}, 0)" for p in patterns) + ")" if len(patterns) > 1 else f"regexp_extract_all({text}, {text_sql(patterns[0])}, 0)"
 
